@@ -6,9 +6,10 @@ HTML step and the ordered rules after it; ``clean_column`` materialises the
 text between the two so each native chain is evaluated once and only rows that
 contain ``&`` travel to Python.
 
-The patterns spell the character classes out. Java's ``\\w``, ``\\s`` and ``.``
-differ from the wanted meaning for combining marks, joiners, control
-separators and Unicode line ends, with and without ``(?U)``.
+All patterns run with ``(?U)``. Java's own ``\\w``, ``\\s`` and ``.`` still differ
+from the wanted meaning for combining marks, joiners, control separators and
+Unicode line ends, so the patterns use the classes below and ``(?d)``. A cheap
+look-ahead in front of the costlier patterns keeps ordinary letters out of them.
 """
 
 from __future__ import annotations
@@ -24,14 +25,12 @@ from pyspark.sql import types as T
 
 Rule = Callable[[Column], Column]
 
-# Character classes.
+# Character classes, to be read with (?U).
 WORD = r"[\p{L}\p{N}_]"
-SPACE_CHARS = (
-    r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
+SPACE_CHARS = r"\s\x1c-\x1f"
 SPACE = f"[{SPACE_CHARS}]"
 NONSPACE = f"[^{SPACE_CHARS}]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 # Code points with the Unicode Emoji property, without the
 # digits, '#' and '*' (only their keycap sequences are emoji) and without the
@@ -61,28 +60,28 @@ def _emoji_class() -> str:
     return "[" + "".join("-".join(f"\\x{{{p}}}" for p in span) for span in spans) + "]"
 
 
-# The coarse look-ahead keeps ordinary letters away from the long class.
-_EMOJI_COARSE = r"(?=[\xa9\xae\x{203C}-\x{3299}\x{1F004}-\x{1FAFF}])"
 EMOJI = (
+    r"(?=[#*0123456789\xa9\xae\x{203C}-\x{1FAFF}])(?:"
     r"[0-9#*]\x{FE0F}?\x{20E3}"
     r"|[\x{1F1E6}-\x{1F1FF}]{2}"
     r"|\x{1F3F4}[\x{E0020}-\x{E007E}]+\x{E007F}"
-    rf"|{_EMOJI_COARSE}{_emoji_class()}[\x{{FE0E}}\x{{FE0F}}\x{{1F3FB}}-\x{{1F3FF}}]*\x{{200D}}?"
-    r"|[\x{FE0E}\x{FE0F}]"
+    rf"|{_emoji_class()}[\x{{FE0E}}\x{{FE0F}}\x{{1F3FB}}-\x{{1F3FF}}]*\x{{200D}}?"
+    r"|[\x{FE0E}\x{FE0F}])"
 )
 
 
 def _sub(pattern: str, replacement: str = "") -> Rule:
-    return lambda c: F.regexp_replace(c, pattern, replacement)
+    return lambda c: F.regexp_replace(c, f"(?U){pattern}", replacement)
 
 
 # ---- single rules ---------------------------------------------------------
 
+# Also covers the four pictographs and the variation selector that one profile
+# names on top of the emoji.
 remove_emoji = _sub(EMOJI)
-remove_extra_emoji = _sub(r"[\x{1F9F5}\x{1F525}\x{1F6A8}\x{1F575}\x{FE0F}]")
-breaks_to_space = _sub(r"(?i)<br[SP]*/?>|&nbsp;".replace("[SP]", SPACE), " ")
+breaks_to_space = _sub(rf"(?i)<br{SPACE}*/?>|&nbsp;", " ")
 fence_to_token = _sub(r"(?s)```.*?```", " <CODE> ")
-unwrap_markdown = _sub(r"(?d)(\*\*|\*|__|_|~~|`)(.*?)\1", "$2")
+unwrap_markdown = _sub(r"(?d)(?=[*_~`])(\*\*|\*|__|_|~~|`)(.*?)\1", "$2")
 strip_emphasis = _sub(r"[*_]{1,3}")
 strip_headings = _sub(rf"(?md)^#{{1,6}}{SPACE}+")
 squeeze_punctuation = _sub(rf"([^\p{{L}}\p{{N}}_{SPACE_CHARS}])\1{{2,}}", "$1")
@@ -91,7 +90,7 @@ _MD_LINK = rf"\[([^\]]+?)\]\((?:https?://|mailto:)[^{SPACE_CHARS})]+\)"
 link_to_label = _sub(_MD_LINK, "$1")
 drop_links = _sub(_MD_LINK)
 drop_mentions = _sub(f"@{WORD}+")
-drop_bracketed = _sub(r"(?d)\[.*?\]|\(.*?\)")
+drop_bracketed = _sub(r"(?d)(?=[\[(])(?:\[.*?\]|\(.*?\))")
 
 _URL = rf"https?://{NONSPACE}+|www\.{NONSPACE}+"
 _SPACED_URL = rf"https?://{SPACE}*{NONSPACE}*"
@@ -127,11 +126,13 @@ def uppercase_cves(max_digits: int | None = None) -> Rule:
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse_whitespace(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    """Every run of white space becomes one blank; single blanks are not touched."""
+    run = rf"(?U) {SPACE}+|[{SPACE_CHARS}&&[^ ]]{SPACE}*"
+    return F.trim(F.regexp_replace(c, run, " "))
 
 
 def strip_quote_marks(c: Column) -> Column:
@@ -173,7 +174,6 @@ PROFILES: dict[str, tuple[list[Rule], bool, list[Rule]]] = {
             strip_headings,
             squeeze_punctuation,
             remove_emoji,
-            remove_extra_emoji,
             collapse_whitespace,
             strip_quote_marks,
         ],

@@ -47,7 +47,7 @@ def drop_source_extras(df: DataFrame, source: str) -> DataFrame:
     The id list of a reddit post becomes one comma-separated cell.
     """
     if "telegram" in source.lower():
-        return df.drop("`CVE ID.1`") if "CVE ID.1" in df.columns else df
+        return df.drop("CVE ID.1")
     if "reddit" in source.lower():
         df = df.drop("cve_counts", "clean_comments")
         if "cves" in df.columns and df.schema["cves"].dataType.typeName() == "array":
@@ -181,7 +181,7 @@ def outbound_urls(is_self: Column, url: Column, text: Column) -> Column:
     """Link target of a link post, then every address in the body."""
     empty = F.array().cast("array<string>")
     linked = F.when(~is_self & (F.coalesce(url, F.lit("")) != ""), F.array(url)).otherwise(empty)
-    written = F.regexp_extract_all(text, F.lit(f"https?://{NONSPACE}+"), F.lit(0))
+    written = F.regexp_extract_all(text, F.lit(f"(?U)https?://{NONSPACE}+"), F.lit(0))
     return F.concat(linked, F.coalesce(written, empty))
 
 

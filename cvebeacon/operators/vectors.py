@@ -20,7 +20,7 @@ from cvebeacon.sources.files import read_or_empty
 
 def whitespace_tokens(text: Column) -> Column:
     """Default tokenizer; a missing or blank text has no tokens."""
-    return F.filter(F.split(null_to_empty(text), f"{SPACE}+"), lambda t: t != "")
+    return F.filter(F.split(null_to_empty(text), f"(?U){SPACE}+"), lambda t: t != "")
 
 
 def token_windows(tokens: Column, window: int, stride: int) -> Column:
