@@ -15,12 +15,15 @@ HASH_DIGITS = 4
 RANGE_BUCKETS = 1000
 
 
-def _exclusive_totals(sums: DataFrame, order: str, names: list[str]) -> DataFrame:
+def _exclusive_totals(
+    sums: DataFrame, order: str, names: list[str], keep: list[str] | None = None
+) -> DataFrame:
     """Totals of the earlier buckets and of all buckets; ``sums`` is one row per bucket."""
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     return sums.select(
         F.col(order),
+        *(keep or []),
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__before_{n}") for n in names],
         *[F.sum(n).over(everything).alias(f"total_{n}") for n in names],
     )
@@ -75,6 +78,37 @@ def shuffled_index(
     ).drop("__hash", "__bucket", "__before")
 
 
+def first_fraction(
+    df: DataFrame, keys: list[str], seed: int, fraction: float, among: Column | None = None
+) -> Column:
+    """Condition for the first ceil(fraction * n) rows in the random order of ``keys``.
+
+    ``among`` restricts the n rows that count. Only the hash at the cut is
+    looked up, from counts per hash prefix and a ranking inside one prefix, so
+    the rows themselves are flagged where they are, without a shuffle.
+    """
+    hashed = (df if among is None else df.filter(among)).select(
+        shuffle_hash(keys, seed).alias("__hash")
+    ).withColumn("__bucket", F.substring("__hash", 1, HASH_DIGITS))
+    sums = hashed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.ceil(F.col("total_n").cast("double") * F.lit(float(fraction)))
+    holder = (
+        _exclusive_totals(sums, "__bucket", ["n"], keep=["n"])
+        .withColumn("__wanted", wanted - F.col("__before_n"))
+        .filter((F.col("__wanted") > 0) & (F.col("__wanted") <= F.col("n")))
+        .select("__bucket", "__wanted")
+    )
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy("__hash"))
+    last = (
+        hashed.join(F.broadcast(holder), "__bucket")
+        .withColumn("__place", place)
+        .filter(F.col("__place") == F.col("__wanted"))
+        .agg(F.max("__hash").alias("h"))
+    )
+    inside = F.coalesce(shuffle_hash(keys, seed) <= last.scalar(), F.lit(False))
+    return inside if among is None else among & inside
+
+
 def running_totals(
     df: DataFrame,
     order: str,

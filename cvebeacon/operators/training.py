@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cvebeacon.operators.features import SOURCES, FeatureConfig, mentions_source
 from cvebeacon.operators.metrics import THRESHOLD
-from cvebeacon.operators.ordering import shuffled_index
+from cvebeacon.operators.ordering import first_fraction, shuffled_index
+from cvebeacon.session import materialize
 
 SEED = 42
 BATCH = 128
@@ -55,11 +56,6 @@ def sample_weight(raw_score: Column, alpha: float = 1.0, threshold: float = THRE
 # ---- splits and batches ---------------------------------------------------
 
 
-def held_out(position: Column, total: Column, fraction: float) -> Column:
-    """The first ceil(fraction * total) rows of a random order."""
-    return position < F.ceil(total.cast("double") * F.lit(float(fraction)))
-
-
 def split(
     df: DataFrame,
     keys: list[str],
@@ -67,19 +63,18 @@ def split(
     test_fraction: float = TEST_FRACTION,
     validation_fraction: float = VALIDATION_FRACTION,
 ) -> DataFrame:
-    """Add ``split``: test only from rows with status ``original``, the rest train/validation."""
+    """Add ``split``: test only from rows with status ``original``, the rest train/validation.
+
+    Held-out parts have ceil(fraction * n) rows. The frame is read several
+    times, so pass a stored table.
+    """
     original = F.coalesce(F.col("epss_status") == "original", F.lit(False))
-    ranked = shuffled_index(
-        df.withColumn("__original", original), keys, seed, ["__original"], "__i", "__n"
-    )
-    is_test = F.col("__original") & held_out(F.col("__i"), F.col("__n"), test_fraction)
-    ranked = ranked.withColumn("__test", is_test).drop("__i", "__n", "__original")
-    ranked = shuffled_index(ranked, keys, seed + 1, ["__test"], "__i", "__n")
-    is_validation = held_out(F.col("__i"), F.col("__n"), validation_fraction)
-    label = (
-        F.when(F.col("__test"), "test").when(is_validation, "validation").otherwise("train")
-    )
-    return ranked.withColumn("split", label).drop("__test", "__i", "__n")
+    is_test = first_fraction(df, keys, seed, test_fraction, original)
+    marked = df.withColumn("split", F.when(is_test, "test"))
+    rest = F.col("split").isNull()
+    is_validation = first_fraction(marked, keys, seed + 1, validation_fraction, rest)
+    label = F.coalesce("split", F.when(is_validation, "validation").otherwise("train"))
+    return marked.withColumn("split", label)
 
 
 def plain_batches(df: DataFrame, keys: list[str], batch_size: int = BATCH, seed: int = SEED) -> DataFrame:
@@ -139,12 +134,14 @@ def fit_predict(
     """Weighted regression of the score; adds ``predicted`` in [0, 1] to every row.
 
     ``df`` carries ``epss_score``, ``split`` and the feature vector; rows of the
-    split ``train`` fit the model.
+    split ``train`` fit the model. The solver passes over its input many times,
+    so the input is written to the shared folder first.
     """
     score = F.col("epss_score")
     ready = df.withColumn("__label", transform_target(score, config.target)).withColumn(
         "__weight", sample_weight(score, config.alpha, config.threshold)
     )
+    ready = materialize(ready, "training")
     common = dict(
         featuresCol=features, labelCol="__label", weightCol="__weight",
         predictionCol="__prediction", maxIter=config.max_iter,

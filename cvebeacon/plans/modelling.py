@@ -15,7 +15,7 @@ from cvebeacon.plans.enrichment import ENRICHED_SQL, enriched
 from cvebeacon.plans.evaluation import KEY_SQL, rounded
 from cvebeacon.plans.registry import query
 from cvebeacon.schemas import CVSS_CATEGORICALS
-from cvebeacon.session import shared_folder
+from cvebeacon.session import materialize, shared_folder
 
 _LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -92,7 +92,7 @@ def split_rows(spark, sf_dir):
     scored = T.drop_unscored(
         enriched_scores(spark, sf_dir).select("o_orderkey", "epss_score", "epss_status")
     )
-    return T.split(scored, ["o_orderkey"]).select("o_orderkey", "epss_status", "split")
+    return T.split(materialize(scored, "scored"), ["o_orderkey"]).select("o_orderkey", "epss_status", "split")
 
 
 def enriched_scores(spark, sf_dir):
@@ -195,13 +195,13 @@ def cvss_onehot(spark, sf_dir):
 
 # ---- token windows --------------------------------------------------------
 
-_TOKENS_SQL = "list_filter(regexp_split_to_array(text, '[\\s\\p{Z}]+'), t -> t <> '')"
+_TOKENS_SQL = "list_filter(regexp_split_to_array(text, '[\\s\\p{Z}]+'), lambda x: x <> '')"
 
 
-def _windows_sql(window: int, stride: int, empty: str) -> str:
+def _windows_sql(window: int, stride: int, empty: int) -> str:
     return f"""with toks as (select doc_id, {_TOKENS_SQL} as t from documents),
-w as (select doc_id, i, list_slice(t, i * {stride} + 1, i * {stride} + {window}) as s
-  from toks, range(100000) r(i) where i * {stride} < len(t) or ({empty} and i = 0 and len(t) = 0))
+starts as (select doc_id, t, unnest(range(0, greatest(len(t), {empty}), {stride})) as a from toks),
+w as (select doc_id, a // {stride} as i, list_slice(t, a + 1, a + {window}) as s from starts)
 select doc_id, i as window_index, len(s) as tokens, md5(array_to_string(s, ' ')) as digest from w"""
 
 
@@ -216,12 +216,12 @@ def _documents_with_tokens(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", Ve.whitespace_tokens(F.col("text")).alias("t"))
 
 
-@query("token_windows", _windows_sql(62, 31, "true"))
+@query("token_windows", _windows_sql(62, 31, 1))
 def token_windows(spark, sf_dir):
     return _window_rows(_documents_with_tokens(spark, sf_dir), Ve.overlapping_windows(F.col("t"), 64))
 
 
-@query("token_chunks", _windows_sql(64, 64, "false"))
+@query("token_chunks", _windows_sql(64, 64, 0))
 def token_chunks(spark, sf_dir):
     return _window_rows(_documents_with_tokens(spark, sf_dir), Ve.token_chunks(F.col("t"), 64))
 
@@ -404,7 +404,7 @@ def encoded_documents(spark, sf_dir):
 
 
 def regression_input(spark, sf_dir, sources=Fe.SOURCES):
-    rows = T.drop_unscored(enriched(spark, sf_dir))
+    rows = materialize(T.drop_unscored(enriched(spark, sf_dir)), "enriched")
     config = T.experiment_config(_PLAIN, sources)
     return T.split(Fe.assemble_features(rows, config), ["o_orderkey"])
 

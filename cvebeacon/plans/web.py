@@ -13,28 +13,23 @@ _COMMENTS_SQL = """c as (select conv_id as post, turn as comment, nullif((turn -
   length(text) % 100 as score, role as author, text from conversations where turn > 0)"""
 
 
+_KEY_SQL = "lpad((1000000000000 - score)::varchar, 13, '0') || '-' || lpad(comment::varchar, 19, '0')"
+
+
 @query(
     "top_thread",
     f"""with recursive {_COMMENTS_SQL},
-t as (select post, comment, 0 as level, [row_number() over (partition by post order by score desc, comment)] as path
-      from c where parent is null
+k as (select *, {_KEY_SQL} as key from c),
+t as (select post, comment, 0 as level, key as path from k where parent is null
       qualify row_number() over (partition by post order by score desc, comment) = 1
   union all
-  select c.post, c.comment, t.level + 1, list_append(t.path, c.r)
-  from t join (select *, row_number() over (partition by post, parent order by score desc, comment) as r
-               from c where parent is not null) c
-  on c.post = t.post and c.parent = t.comment where t.level < 2)
-select t.post, t.comment, t.level, c.score, c.author, trim(c.text, e' \\n\\t\\r') as text,
-  row_number() over (partition by t.post order by path) as place
+  select k.post, k.comment, t.level + 1, t.path || '.' || k.key
+  from t join k on k.post = t.post and k.parent = t.comment where t.level < 2)
+select t.post, t.comment, t.level, t.path, c.score, c.author, trim(c.text, e' \\n\\t\\r') as text
 from t join c on c.post = t.post and c.comment = t.comment""",
 )
 def top_thread(spark, sf_dir):
-    thread = best_thread(V.comments(spark, sf_dir))
-    # A best thread is a handful of rows per post here; the place is for display.
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("post").orderBy("path"))
-    return thread.select("post", "comment", "level", "score", "author", "text", place.alias("place"))
+    return best_thread(V.comments(spark, sf_dir))
 
 
 @query(
