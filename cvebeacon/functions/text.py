@@ -1,21 +1,20 @@
 """Text-cleaning rules and the six source profiles.
 
-Every rule is ``Column -> Column`` and runs in the JVM, except
-``unescape_html`` (an Arrow UDF). A profile is the ordered rules before the
-HTML step and the ordered rules after it; ``clean_column`` materialises the
-text between the two so each native chain is evaluated once and only rows that
-contain ``&`` travel to Python.
+A rule is a pattern, a replacement and the needles without one of which the
+pattern cannot match: a byte search for them guards the pattern, so most texts
+skip most patterns. Everything runs in the JVM except HTML unescaping, an Arrow
+UDF that, in ``clean_column``, only sees texts with an ampersand.
 
 All patterns run with ``(?U)``. Java's own ``\\w``, ``\\s`` and ``.`` still differ
 from the wanted meaning for combining marks, joiners, control separators and
-Unicode line ends, so the patterns use the classes below and ``(?d)``. A cheap
-look-ahead in front of the costlier patterns keeps ordinary letters out of them.
+Unicode line ends, so the patterns use the classes below and ``(?d)``.
 """
 
 from __future__ import annotations
 
 import html
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -25,6 +24,32 @@ from pyspark.sql import types as T
 
 Rule = Callable[[Column], Column]
 
+
+@dataclass(frozen=True)
+class Replace:
+    """Replace a pattern; ``needles`` are texts or UTF-8 prefixes any match contains."""
+
+    pattern: str
+    replacement: str = ""
+    needles: tuple[str | bytes, ...] = ()
+
+    def __call__(self, c: Column) -> Column:
+        if not self.needles:
+            return self._replaced(c)
+        # The lambda binds the text, so it is computed once however often it is named.
+        return F.get(F.transform(F.array(c), self._guarded), F.lit(0))
+
+    def _replaced(self, c: Column) -> Column:
+        return F.regexp_replace(c, f"(?U){self.pattern}", self.replacement)
+
+    def _guarded(self, c: Column) -> Column:
+        found = [
+            F.contains(c.cast("binary") if isinstance(n, bytes) else c, F.lit(n))
+            for n in self.needles
+        ]
+        return F.when(reduce(lambda a, b: a | b, found), self._replaced(c)).otherwise(c)
+
+
 # Character classes, to be read with (?U).
 WORD = r"[\p{L}\p{N}_]"
 SPACE_CHARS = r"\s\x1c-\x1f"
@@ -70,74 +95,77 @@ EMOJI = (
 )
 
 
-def _sub(pattern: str, replacement: str = "") -> Rule:
-    return lambda c: F.regexp_replace(c, f"(?U){pattern}", replacement)
-
-
 # ---- single rules ---------------------------------------------------------
 
-# Also covers the four pictographs and the variation selector that one profile
-# names on top of the emoji.
-remove_emoji = _sub(EMOJI)
-breaks_to_space = _sub(rf"(?i)<br{SPACE}*/?>|&nbsp;", " ")
-fence_to_token = _sub(r"(?s)```.*?```", " <CODE> ")
-unwrap_markdown = _sub(r"(?d)(?=[*_~`])(\*\*|\*|__|_|~~|`)(.*?)\1", "$2")
-strip_emphasis = _sub(r"[*_]{1,3}")
-strip_headings = _sub(rf"(?md)^#{{1,6}}{SPACE}+")
-squeeze_punctuation = _sub(rf"([^\p{{L}}\p{{N}}_{SPACE_CHARS}])\1{{2,}}", "$1")
-unwrap_double_quotes = _sub(r'("{2,})([^"]+?)\1', "$2")
+# The emoji needles are UTF-8 prefixes. The class also covers the four
+# pictographs and the variation selector one profile names on top of the emoji.
+remove_emoji = Replace(
+    EMOJI, "", (b"\xf0\x9f", b"\xe2", b"\xef\xb8", b"\xc2\xa9", b"\xc2\xae", b"\xe3\x80", b"\xe3\x8a")
+)
+breaks_to_space = Replace(rf"(?i)<br{SPACE}*/?>|&nbsp;", " ", ("<", "&"))
+fence_to_token = Replace(r"(?s)```.*?```", " <CODE> ", ("```",))
+unwrap_markdown = Replace(
+    r"(?d)(?=[*_~`])(\*\*|\*|__|_|~~|`)(.*?)\1", "$2", ("*", "_", "~~", "`")
+)
+strip_emphasis = Replace(r"[*_]{1,3}", "", ("*", "_"))
+strip_headings = Replace(rf"(?md)^#{{1,6}}{SPACE}+", "", ("#",))
+squeeze_punctuation = Replace(rf"([^\p{{L}}\p{{N}}_{SPACE_CHARS}])\1{{2,}}", "$1")
+unwrap_double_quotes = Replace(r'("{2,})([^"]+?)\1', "$2", ('""',))
 _MD_LINK = rf"\[([^\]]+?)\]\((?:https?://|mailto:)[^{SPACE_CHARS})]+\)"
-link_to_label = _sub(_MD_LINK, "$1")
-drop_links = _sub(_MD_LINK)
-drop_mentions = _sub(f"@{WORD}+")
-drop_bracketed = _sub(r"(?d)(?=[\[(])(?:\[.*?\]|\(.*?\))")
+link_to_label = Replace(_MD_LINK, "$1", ("](",))
+drop_links = Replace(_MD_LINK, "", ("](",))
+drop_mentions = Replace(f"@{WORD}+", "", ("@",))
+drop_bracketed = Replace(r"(?d)(?=[\[(])(?:\[.*?\]|\(.*?\))", "", ("[", "("))
 
 _URL = rf"https?://{NONSPACE}+|www\.{NONSPACE}+"
 _SPACED_URL = rf"https?://{SPACE}*{NONSPACE}*"
 _SPACED_URL_OR_WWW = rf"(?:https?://|www\.){SPACE}*{NONSPACE}*"
 
 
-def mask_urls(token: str) -> Rule:
-    return _sub(_URL, token)
+def mask_urls(token: str) -> Replace:
+    return Replace(_URL, token, ("://", "www."))
 
 
-def mask_spaced_urls(token: str) -> Rule:
+def mask_spaced_urls(token: str) -> Replace:
     """Also takes an address that is split from its scheme by white space."""
-    return _sub(_SPACED_URL, token)
+    return Replace(_SPACED_URL, token, ("://",))
 
 
-def mask_spaced_urls_or_www(token: str) -> Rule:
-    return _sub(_SPACED_URL_OR_WWW, token)
+def mask_spaced_urls_or_www(token: str) -> Replace:
+    return Replace(_SPACED_URL_OR_WWW, token, ("://", "www."))
 
 
-def zero_width_to(token: str) -> Rule:
-    return _sub(r"[\x{200B}-\x{200D}\x{2060}]", token)
+def zero_width_to(token: str) -> Replace:
+    return Replace(r"[\x{200B}-\x{200D}\x{2060}]", token, ("\u200b", "\u200c", "\u200d", "\u2060"))
 
 
-def hashtags_to(token: str) -> Rule:
-    return _sub(f"#{SPACE}*(?={WORD})", token)
+def hashtags_to(token: str) -> Replace:
+    return Replace(f"#{SPACE}*(?={WORD})", token, ("#",))
 
 
-def uppercase_cves(max_digits: int | None = None) -> Rule:
+def uppercase_cves(max_digits: int | None = None) -> Replace:
     """Upper-case vulnerability ids that stand alone as a word."""
     tail = r"\p{Nd}{4,}" if max_digits is None else rf"\p{{Nd}}{{4,{max_digits}}}"
-    pattern = rf"(?i)(?<!{WORD})cve-(\p{{Nd}}{{4}}-{tail})(?!{WORD})"
-    return _sub(pattern, "CVE-$1")
+    # The word boundary is checked behind the first letter, which most positions fail.
+    pattern = rf"[cC](?<!{WORD}[cC])[vV][eE]-(\p{{Nd}}{{4}}-{tail})(?!{WORD})"
+    return Replace(pattern, "CVE-$1")
 
 
 def trim_space(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+# A run of white space other than one blank; single blanks are not touched.
+_squeeze_space = Replace(rf" {SPACE}+|[{SPACE_CHARS}&&[^ ]]{SPACE}*", " ")
+
+
 def collapse_whitespace(c: Column) -> Column:
-    """Every run of white space becomes one blank; single blanks are not touched."""
-    run = rf"(?U) {SPACE}+|[{SPACE_CHARS}&&[^ ]]{SPACE}*"
-    return F.trim(F.regexp_replace(c, run, " "))
+    return F.trim(_squeeze_space(c))
 
 
 def strip_quote_marks(c: Column) -> Column:
     """Drop a leading run of ``>`` and blanks; the text is one line here."""
-    return F.trim(F.regexp_replace(c, "^[> ]+", ""))
+    return F.btrim(F.ltrim(c, F.lit("> ")))
 
 
 def placeholder_to_null(c: Column) -> Column:
@@ -285,11 +313,11 @@ def clean_column(df: DataFrame, column: str, profile: str, out: str | None = Non
     first = _apply(before, F.col(column))
     if not unescapes:
         return df.withColumn(out, _apply(after, first))
-    staged = df.withColumn("__staged", first)
-    escaped = F.when(F.contains("__staged", F.lit("&")), F.col("__staged"))
+    staged = df.withColumn("__text", first)
+    escaped = F.when(F.contains("__text", F.lit("&")), F.col("__text"))
     staged = staged.withColumn("__plain", unescape_html(escaped))
-    text = _apply(after, F.coalesce("__plain", "__staged"))
-    return staged.withColumn(out, text).drop("__staged", "__plain")
+    text = _apply(after, F.coalesce("__plain", "__text"))
+    return staged.withColumn(out, text).drop("__text", "__plain")
 
 
 def clean_items(df: DataFrame, items: str, profile: str, out: str) -> DataFrame:
