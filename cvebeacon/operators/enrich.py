@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cvebeacon.functions.time import iso_date
 from cvebeacon.operators.skew import lookup_join
 from cvebeacon.schemas import CVSS_COLUMNS, REQUIRED_FOR_USABLE
 
@@ -23,8 +22,8 @@ def _require(df: DataFrame, columns: list[str]) -> None:
 def with_day(df: DataFrame, date: str = "date", out: str = "__day") -> DataFrame:
     """Day as DATE from a DATE, TIMESTAMP or ISO-string column; bad text is NULL."""
     kind = df.schema[date].dataType.simpleString()
-    day = iso_date(F.col(date)).cast("date") if kind == "string" else F.col(date).cast("date")
-    return df.withColumn(out, day)
+    when = F.try_to_timestamp(F.col(date)) if kind == "string" else F.col(date)
+    return df.withColumn(out, when.cast("date"))
 
 
 def one_score_per_day(history: DataFrame) -> DataFrame:
@@ -78,24 +77,22 @@ def resolve_scores(
         .agg(F.min("epss").alias("exact"), F.max("asked").alias("asked"))
         .withColumn("n", F.unix_date("day"))
     )
-    by_day = Window.partitionBy("cve").orderBy("n")
-    return (
-        per_day.withColumn(
-            "previous", F.last("exact", True).over(by_day.rangeBetween(-max_days, -1))
-        )
-        .withColumn(
-            "following", F.first("exact", True).over(by_day.rangeBetween(1, max_days))
-        )
-        .filter("asked")
-        .select(
-            "cve",
-            F.col("day").alias("__day"),
-            F.col("exact").alias("exact_score"),
-            fallback_score(F.col("previous"), F.col("following"), zero_is_missing).alias(
-                "near_score"
-            ),
-        )
+    # The nearest scored day on either side; one sort serves both directions.
+    nearest = per_day.withColumn("known", F.when(F.col("exact").isNotNull(), F.struct("n", "exact")))
+    over = "ignore nulls over (partition by cve order by n)"
+    nearest = nearest.withColumn("p", F.expr(f"lag(known, 1) {over}")).withColumn(
+        "f", F.expr(f"lead(known, 1) {over}")
+    )
+    previous = F.when(F.col("n") - F.col("p.n") <= max_days, F.col("p.exact"))
+    following = F.when(F.col("f.n") - F.col("n") <= max_days, F.col("f.exact"))
+    resolved = nearest.filter("asked").select(
+        "cve",
+        F.col("day").alias("__day"),
+        F.col("exact").alias("exact_score"),
+        fallback_score(previous, following, zero_is_missing).alias("near_score"),
     )
+    # The shape the lookup needs; both of its branches then share this exchange.
+    return resolved.repartition("cve", "__day")
 
 
 def exact_scores(obs: DataFrame, history: DataFrame) -> DataFrame:
