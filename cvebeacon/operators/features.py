@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,6 +131,9 @@ def assemble_features(
     for enabled, column in ((config.text, "text"), (config.description, "description")):
         if enabled:
             result, blocks = text_blocks(result, column, f"__{column}", config)
+            for block in blocks:
+                size = VectorSizeHint(inputCol=block, size=config.vector_size, handleInvalid="optimistic")
+                result = size.transform(result)
             inputs += blocks
     if config.cvss_score:
         result = result.withColumn("__score", score_feature(F.col("cvss_score")))

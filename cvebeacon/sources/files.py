@@ -66,19 +66,16 @@ def with_file_stem(df: DataFrame, out: str = "source") -> DataFrame:
 
 def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
     """An existing store, or an empty table when it is absent or corrupt."""
-    reader = spark.read.schema(f"{schema}, _corrupt_record STRING").option("mode", "PERMISSIVE")
+    # A file that does not parse is dropped, which leaves the table empty.
+    reader = spark.read.schema(schema).option("mode", "DROPMALFORMED")
     if fmt == "json":
         reader = reader.option("multiLine", True)
     try:
-        if fmt == "parquet":
-            return spark.read.schema(schema).parquet(path)
-        found = reader.format(fmt).load(path)
+        return reader.format(fmt).load(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    good = found.filter(F.col("_corrupt_record").isNull())
-    return good.drop("_corrupt_record")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
