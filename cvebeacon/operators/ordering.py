@@ -10,6 +10,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cvebeacon.session import materialize
+
 # 16**4 buckets: the per-bucket table has at most 65 536 rows and is broadcast.
 HASH_DIGITS = 4
 RANGE_BUCKETS = 1000
@@ -120,8 +122,10 @@ def running_totals(
 
     ``order`` is numeric with one row per value: group equal values first.
     Bucket limits are approximate quantiles of the values, so no bucket holds
-    much more than 1/buckets of them; the totals themselves are exact.
+    much more than 1/buckets of them; the totals themselves are exact. The
+    values are read three times and so go to the shared folder first.
     """
+    df = materialize(df.select(order, *sums), "ordered")
     probabilities = [i / buckets for i in range(1, buckets)]
     limits = df.approxQuantile(order, probabilities, 1 / (2 * buckets))
     splits = [-float("inf"), *sorted(set(limits)), float("inf")]

@@ -51,6 +51,6 @@ def top_thread(comments: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
             F.concat_ws(".", "path", "__key").alias("path"),
         )
         found = found.unionByName(level)
-    return lookup_join(comments, found, ["post", "comment"], "inner").select(
+    return comments.join(found, ["post", "comment"]).select(
         "post", "comment", "level", "path", "score", "author", trim_space(F.col("text")).alias("text")
     )

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cvebeacon.operators.features import SOURCES, FeatureConfig, mentions_source
-from cvebeacon.operators.metrics import THRESHOLD
+from cvebeacon.operators.features import (
+    SOURCES,
+    FeatureConfig,
+    assemble_features,
+    mentions_source,
+    observed_categories,
+)
+from cvebeacon.operators.metrics import THRESHOLD, batch_loss, pr_auc, r_squared
 from cvebeacon.operators.ordering import first_fraction, shuffled_index
 from cvebeacon.session import materialize
 
@@ -178,6 +185,46 @@ def experiment_config(base: FeatureConfig, enabled: tuple[str, ...]) -> FeatureC
     return replace(base, sources=enabled)
 
 
+def evaluate(
+    predicted: DataFrame, keys: list[str], config: RegressionConfig = RegressionConfig()
+) -> DataFrame:
+    """One row ``test_loss, r2, pr_auc`` over the test rows of a prediction table."""
+    test = predicted.filter(F.col("split") == "test").withColumn(
+        "__weight", sample_weight(F.col("epss_score"), config.alpha, config.threshold)
+    )
+    space = {c: transform_target(F.col(c), config.target) for c in ("epss_score", "predicted")}
+    loss = batch_loss(test.withColumns(space), keys, "epss_score", "predicted", "__weight")
+    r2 = r_squared(test, "epss_score", "predicted")
+    area = pr_auc(test, "epss_score", "predicted", config.threshold)
+    # Three one-row tables side by side.
+    return loss.select(
+        F.col("loss").alias("test_loss"),
+        r2.scalar().alias("r2"),
+        area.scalar().alias("pr_auc"),
+    )
+
+
+def run_experiments(
+    df: DataFrame,
+    keys: list[str],
+    features: FeatureConfig = FeatureConfig(),
+    config: RegressionConfig = RegressionConfig(),
+    runs: dict[str, tuple[str, ...]] | None = None,
+) -> DataFrame:
+    """Fit and evaluate one model per source experiment: (experiment, test_loss, r2, pr_auc).
+
+    Every run sees the same rows and the same split; only the features differ.
+    """
+    table = materialize(split(materialize(drop_unscored(df), "scored"), keys), "split")
+    categories = observed_categories(table) if features.cvss_categorical else None
+    results = []
+    for name, enabled in (runs or experiments(features.all_sources)).items():
+        vectors = assemble_features(table, experiment_config(features, enabled), categories)
+        done = materialize(fit_predict(vectors, config=config).drop("features"), "predicted")
+        results.append(evaluate(done, keys, config).select(F.lit(name).alias("experiment"), "*"))
+    return reduce(DataFrame.unionByName, results)
+
+
 def experiment_grid(df: DataFrame, sources: tuple[str, ...] = SOURCES) -> DataFrame:
     """Rows per (experiment, enabled source) with a text block and a one-hot mark.
 

@@ -2,34 +2,49 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cvebeacon.operators.skew import lookup_join
 from cvebeacon.operators.unify import clean_posts
 
 KEY = "permalink"
 
 
-def unseen(new: DataFrame, stored: DataFrame, key: str | list[str] = KEY) -> DataFrame:
-    """Rows of ``new`` whose key is not stored.
+def _identity(keys: list[str]) -> Column:
+    """Text of the key columns; a missing key is a value of its own."""
+    return F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+
+
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else key
+
 
-    Only key columns of the store are read, and they are first reduced to the
-    keys the batch asks for, so the long history stays put when the batch is
-    the small side.
+def _seen(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """Asked-for ids the store holds.
+
+    Only key columns of the store are read, and they are reduced to the ids the
+    batch asks for, so the long history stays put when the batch is the small side.
     """
-    keys = [key] if isinstance(key, str) else key
-    asked = new.select(*keys).distinct()
-    seen = _match(stored.select(*keys), asked, keys, "left_semi").distinct()
-    return _match(new, seen, keys, "left_anti")
+    asked = new.select("__id").distinct()
+    return stored.join(asked, "__id", "left_semi").distinct()
+
+
+def unseen(new: DataFrame, stored: DataFrame, key: str | list[str] = KEY) -> DataFrame:
+    """Rows of ``new`` whose key is not stored; many rows may share a key."""
+    keys = _keys(key)
+    new = new.withColumn("__id", _identity(keys))
+    seen = _seen(new, stored.select(_identity(keys).alias("__id")))
+    marked = lookup_join(new, seen.withColumn("__stored", F.lit(True)), ["__id"])
+    return marked.filter(F.col("__stored").isNull()).drop("__id", "__stored")
 
 
-def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Semi or anti join that treats a missing key as a value of its own."""
-    other = right.select(*[F.col(k).alias(f"__{k}") for k in keys])
-    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"__{k}"]) for k in keys])
-    return left.join(other, same, how)
+def unseen_unique(new: DataFrame, stored: DataFrame, key: str | list[str] = KEY) -> DataFrame:
+    """``unseen`` for a batch with one row per key: nothing to spread, one anti join."""
+    keys = _keys(key)
+    new = new.withColumn("__id", _identity(keys))
+    seen = _seen(new, stored.select(_identity(keys).alias("__id")))
+    return new.join(seen, "__id", "left_anti").drop("__id")
 
 
 def first_per_key(df: DataFrame, key: str = KEY, order: list[str] | None = None) -> DataFrame:
@@ -69,7 +84,8 @@ def update_cleaned(stored: DataFrame, raw: DataFrame, order: list[str] | None =
 
 
 def new_cleaned(stored: DataFrame, raw: DataFrame, order: list[str] | None = None) -> DataFrame:
-    return clean_posts(first_per_key(unseen(raw, stored), KEY, order))
+    # Copies of a post combine first, so a hot key is one row before it shuffles.
+    return clean_posts(unseen_unique(first_per_key(raw, KEY, order), stored))
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
@@ -78,10 +94,9 @@ def pending(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     A result whose key was never asked for means the two tables do not belong
     together; ``check_resume`` turns that into an error.
     """
-    return _match(wanted, done.select(*key).distinct(), key, "left_anti")
+    return unseen(wanted, done, key)
 
 
 def check_resume(wanted: DataFrame, done: DataFrame, key: list[str]) -> None:
-    stray = _match(done.select(*key), wanted.select(*key).distinct(), key, "left_anti")
-    if not stray.isEmpty():
+    if not unseen_unique(done.select(*key).distinct(), wanted, key).isEmpty():
         raise ValueError("the stored output does not match the input; cannot resume")

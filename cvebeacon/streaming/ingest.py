@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cvebeacon.functions.cve import has_cve
-from cvebeacon.operators.upsert import KEY, first_per_key, unseen
+from cvebeacon.operators.upsert import KEY, first_per_key, unseen_unique
 from cvebeacon.sources.files import read_or_empty
 
 JOB_COLUMN = "ingest_job"
@@ -53,7 +53,7 @@ def store_batch(
     def write(batch: DataFrame, batch_id: int) -> None:
         own = (F.col(JOB_COLUMN) == job) & (F.col(BATCH_COLUMN) == batch_id)
         others = read_store(batch.sparkSession, store, schema).filter(~own)
-        fresh = unseen(first_per_key(batch, key, order), others, key)
+        fresh = unseen_unique(first_per_key(batch, key, order), others, key)
         if transform is not None:
             fresh = transform(fresh)
         folder = f"{store}/{JOB_COLUMN}={job}/{BATCH_COLUMN}={batch_id}"

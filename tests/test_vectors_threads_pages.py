@@ -128,6 +128,22 @@ def test_regression_beats_a_constant(spark):
         assert got.e < 0.08 and got.a >= 0 and got.b <= 1
 
 
+def test_run_experiments(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(160):
+        source = rng.choice(["reddit_1", "mastodon_2"])
+        rows.append({"id": i, "source": source, "text": "t", "cvss_score": 9.0, "scope": "U"})
+    frame = enriched(spark, rows).withColumn("epss_status", F.lit("original")).withColumn(
+        "epss_score", F.expr("case when source = 'reddit_1' then 0.4D else 0.004D end")
+    )
+    config = Fe.FeatureConfig(text=False, description=False)
+    runs = {"all_sources": Fe.SOURCES, "only_hackernews": ("hackernews",)}
+    got = {r.experiment: r for r in T.run_experiments(frame, ["id"], config, T.RegressionConfig(max_iter=20), runs).collect()}
+    assert got["all_sources"].r2 > 0.9 and got["all_sources"].pr_auc == pytest.approx(1.0)
+    assert got["only_hackernews"].r2 < 0.1 and got["only_hackernews"].test_loss > got["all_sources"].test_loss
+
+
 # ---- threads --------------------------------------------------------------
 
 
