@@ -10,7 +10,7 @@ from cvebeacon.plans import views as V
 from cvebeacon.plans.cleaning import restated
 from cvebeacon.plans.registry import query
 from cvebeacon.schemas import OBSERVATION_COLUMNS
-from cvebeacon.session import shared_folder
+from cvebeacon.session import shared_folder, state_session
 from cvebeacon.sources import files as S
 from cvebeacon.streaming.ingest import ingest, posts_with_cve, read_store
 
@@ -203,9 +203,10 @@ def stream_upsert(spark, sf_dir):
     """The whole events table arrives as a file stream, twice, into one store."""
     store, schema = shared_folder(spark, "store"), "event_id BIGINT, text STRING"
     source = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    streams = state_session(spark)
     for _ in range(2):
         arriving = (
-            spark.readStream.schema(source)
+            streams.readStream.schema(source)
             .parquet(f"{sf_dir}/events*.parquet")
             .select("event_id", F.col("ts").cast("timestamp").alias("ts"),
                     F.expr(_EVENT_POST).alias("text"), F.lit("").alias("title"))

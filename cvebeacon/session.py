@@ -49,3 +49,20 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application for stateful streams.
+
+    A stream keeps its number of state partitions for life. More of them than
+    the application has cores only multiplies the state files of every batch.
+    """
+    session = spark.newSession()
+    for key in ("spark.checkpoint.dir", "spark.sql.session.timeZone"):
+        value = spark.conf.get(key, None)
+        if value is not None:
+            session.conf.set(key, value)
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    session.conf.set("spark.sql.shuffle.partitions", str(min(wanted, cores)))
+    return session
