@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 HEADLINE = [
@@ -55,7 +54,6 @@ def main() -> None:
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
         "spark.sql.shuffle.partitions": cpus,
-        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
     }
     for key, value in settings.items():
         builder = builder.config(key, value)

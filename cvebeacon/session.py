@@ -31,12 +31,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     a local master without the setting (tests) gets a temporary folder; a real
     cluster without it is an error, never a machine-local path.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="cvebeacon-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cvebeacon-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -58,10 +59,7 @@ def state_session(spark: SparkSession) -> SparkSession:
     the application has cores only multiplies the state files of every batch.
     """
     session = spark.newSession()
-    for key in ("spark.checkpoint.dir", "spark.sql.session.timeZone"):
-        value = spark.conf.get(key, None)
-        if value is not None:
-            session.conf.set(key, value)
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cores = spark.sparkContext.defaultParallelism
     session.conf.set("spark.sql.shuffle.partitions", str(min(wanted, cores)))
