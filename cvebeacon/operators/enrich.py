@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cvebeacon.operators.skew import lookup_join
 from cvebeacon.schemas import CVSS_COLUMNS, REQUIRED_FOR_USABLE
+from cvebeacon.session import materialize
 
 MAX_DAYS = 30
 
@@ -22,8 +23,8 @@ def _require(df: DataFrame, columns: list[str]) -> None:
 def with_day(df: DataFrame, date: str = "date", out: str = "__day") -> DataFrame:
     """Day as DATE from a DATE, TIMESTAMP or ISO-string column; bad text is NULL."""
     kind = df.schema[date].dataType.simpleString()
-    when = F.try_to_timestamp(F.col(date)) if kind == "string" else F.col(date)
-    return df.withColumn(out, when.cast("date"))
+    column = F.col(date)
+    return df.withColumn(out, column.try_cast("date") if kind == "string" else column.cast("date"))
 
 
 def one_score_per_day(history: DataFrame) -> DataFrame:
@@ -50,58 +51,81 @@ def fallback_score(previous: Column, following: Column, zero_is_missing: bool =
     )
 
 
+def _per_day(wanted: DataFrame, history: DataFrame) -> DataFrame:
+    """One row per (cve, day) with the exact score and the number of wanted rows.
+
+    Wanted keys and history meet in one aggregate, so a key is resolved once
+    however often it occurs and hot keys are combined before the shuffle.
+    Wanted keys may be NULL.
+    """
+    asked = wanted.select(
+        "cve", "__day", F.lit(None).cast("double").alias("epss"), F.lit(1).alias("asked")
+    )
+    scored = with_day(history).select(
+        "cve", "__day", F.coalesce("epss", F.lit(0.0)).alias("epss"), F.lit(0).alias("asked")
+    ).dropna(subset=["cve", "__day"])
+    return asked.unionByName(scored).groupBy("cve", "__day").agg(
+        F.min("epss").alias("exact_score"), F.sum("asked").alias("asked_rows")
+    )
+
+
 def resolve_scores(
     wanted: DataFrame,
     history: DataFrame,
     max_days: int = MAX_DAYS,
     zero_is_missing: bool = True,
 ) -> DataFrame:
-    """Score of every distinct wanted (cve, day).
+    """Score of every distinct wanted (cve, day), with its number of wanted rows.
 
-    Wanted keys and history meet in one aggregate, so a key is resolved once
-    however often it occurs and hot keys are combined before the shuffle. The
-    window then sees at most one row per id and calendar day.
+    The window sees at most one row per id and calendar day.
     """
-    asked = wanted.select(
-        "cve", F.col("__day").alias("day"), F.lit(None).cast("double").alias("epss"),
-        F.lit(True).alias("asked"),
-    )
-    scored = with_day(history).select(
-        "cve", F.col("__day").alias("day"),
-        F.coalesce("epss", F.lit(0.0)).alias("epss"), F.lit(False).alias("asked"),
-    )
-    per_day = (
-        asked.unionByName(scored)
-        .filter(F.col("cve").isNotNull() & F.col("day").isNotNull())
-        .groupBy("cve", "day")
-        .agg(F.min("epss").alias("exact"), F.max("asked").alias("asked"))
-        .withColumn("n", F.unix_date("day"))
-    )
+    per_day = _per_day(wanted, history).withColumn("n", F.unix_date("__day"))
     # The nearest scored day on either side; one sort serves both directions.
-    nearest = per_day.withColumn("known", F.when(F.col("exact").isNotNull(), F.struct("n", "exact")))
+    known = F.when(F.col("exact_score").isNotNull(), F.struct("n", "exact_score"))
     over = "ignore nulls over (partition by cve order by n)"
-    nearest = nearest.withColumn("p", F.expr(f"lag(known, 1) {over}")).withColumn(
-        "f", F.expr(f"lead(known, 1) {over}")
+    nearest = per_day.withColumn("known", known).withColumns(
+        {"p": F.expr(f"lag(known, 1) {over}"), "f": F.expr(f"lead(known, 1) {over}")}
     )
-    previous = F.when(F.col("n") - F.col("p.n") <= max_days, F.col("p.exact"))
-    following = F.when(F.col("f.n") - F.col("n") <= max_days, F.col("f.exact"))
-    resolved = nearest.filter("asked").select(
+    previous = F.when(F.col("n") - F.col("p.n") <= max_days, F.col("p.exact_score"))
+    following = F.when(F.col("f.n") - F.col("n") <= max_days, F.col("f.exact_score"))
+    resolved = nearest.filter("asked_rows > 0").select(
         "cve",
-        F.col("day").alias("__day"),
-        F.col("exact").alias("exact_score"),
+        "__day",
+        "asked_rows",
+        "exact_score",
         fallback_score(previous, following, zero_is_missing).alias("near_score"),
     )
-    # The shape the lookup needs; both of its branches then share this exchange.
-    return resolved.repartition("cve", "__day")
+    return resolved
 
 
 def exact_scores(obs: DataFrame, history: DataFrame) -> DataFrame:
     """Left lookup of the score of the same id and day."""
     _require(obs, ["cve", "date"])
-    scores = one_score_per_day(history).select(
-        "cve", F.col("date").alias("__day"), F.col("epss").alias("epss_score")
+    dated = with_day(obs)
+    scores = _per_day(dated, history).filter("asked_rows > 0").select(
+        "cve", "__day", "asked_rows", F.col("exact_score").alias("epss_score")
+    )
+    return _lookup(dated, materialize(scores, "scores"))
+
+
+def _lookup(dated: DataFrame, scores: DataFrame) -> DataFrame:
+    return lookup_join(dated, scores, ["cve", "__day"], weight="asked_rows").drop("__day")
+
+
+def _score_table(
+    dated: DataFrame, history: DataFrame, max_days: int, zero_is_missing: bool
+) -> DataFrame:
+    """Score and status per wanted key, stored: the lookup reads it several times."""
+    scores = resolve_scores(dated, history, max_days, zero_is_missing).select(
+        "cve",
+        "__day",
+        "asked_rows",
+        F.coalesce("exact_score", "near_score").alias("epss_score"),
+        F.when(F.col("exact_score").isNotNull(), "original")
+        .otherwise("enriched")
+        .alias("epss_status"),
     )
-    return lookup_join(with_day(obs), scores, ["cve", "__day"]).drop("__day")
+    return materialize(scores, "scores")
 
 
 def enrich_epss(
@@ -114,22 +138,12 @@ def enrich_epss(
 
     The score of the day is ``original``; otherwise the nearest scores within
     ``max_days`` before and after stand in and the status is ``enriched``, also
-    when nothing was found.
+    when nothing was found. The distinct keys are resolved and stored when the
+    function is called; the lookup itself is lazy.
     """
     _require(obs, ["cve", "date"])
     dated = with_day(obs)
-    scores = resolve_scores(dated, history, max_days, zero_is_missing).select(
-        "cve",
-        "__day",
-        F.coalesce("exact_score", "near_score").alias("epss_score"),
-        F.when(F.col("exact_score").isNotNull(), "original")
-        .otherwise("enriched")
-        .alias("epss_status"),
-    )
-    joined = lookup_join(dated, scores, ["cve", "__day"])
-    return joined.withColumn("epss_status", F.coalesce("epss_status", F.lit("enriched"))).drop(
-        "__day"
-    )
+    return _lookup(dated, _score_table(dated, history, max_days, zero_is_missing))
 
 
 def fill_missing_scores(
@@ -141,10 +155,10 @@ def fill_missing_scores(
     """Fill NULL ``epss_score`` only; bad dates stay NULL, other columns untouched."""
     dated = with_day(scored)
     gaps = dated.filter(F.col("epss_score").isNull())
-    found = resolve_scores(gaps, history, max_days, zero_is_missing).select(
-        "cve", "__day", F.coalesce("exact_score", "near_score").alias("__filled")
+    found = _score_table(gaps, history, max_days, zero_is_missing).select(
+        "cve", "__day", "asked_rows", F.col("epss_score").alias("__filled")
     )
-    filled = lookup_join(gaps, found, ["cve", "__day"])
+    filled = lookup_join(gaps, found, ["cve", "__day"], weight="asked_rows")
     filled = filled.withColumn("epss_score", F.coalesce("epss_score", "__filled"))
     complete = dated.filter(F.col("epss_score").isNotNull())
     return complete.unionByName(filled.drop("__filled")).drop("__day")
@@ -217,8 +231,22 @@ def with_usable(df: DataFrame) -> DataFrame:
     return df.withColumn("usable", known)
 
 
-def enrich(obs: DataFrame, history: DataFrame, nvd: DataFrame) -> DataFrame:
-    """All appended columns in their published order."""
-    full = with_usable(attach_cvss(enrich_epss(obs, history), nvd))
+def enrich(
+    obs: DataFrame,
+    history: DataFrame,
+    nvd: DataFrame,
+    max_days: int = MAX_DAYS,
+    zero_is_missing: bool = True,
+) -> DataFrame:
+    """All appended columns in their published order.
+
+    Scores and severity meet per distinct (cve, day) first, which has at most
+    one row per id and day, so the observations are joined only once.
+    """
+    _require(obs, ["cve", "date"])
+    dated = with_day(obs)
+    scores = _score_table(dated, history, max_days, zero_is_missing)
+    details = cvss_details(nvd).select("cve", *CVSS_COLUMNS)
+    full = with_usable(_lookup(dated, scores.join(details, "cve", "left")))
     added = ["epss_score", "epss_status", *CVSS_COLUMNS, "usable"]
     return full.select(*obs.columns, *added)

@@ -35,19 +35,28 @@ def lookup_join(
     on: list[str],
     how: str = "left",
     limit: int = HEAVY_KEYS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``dim``, which has one row per key.
 
     Rows of the heaviest keys meet a broadcast of at most ``limit`` dimension
     rows and never shuffle; all other rows take the planner's ordinary join.
-    Rows with a NULL key are handled like any other key and match nothing.
+    Rows with a NULL key are handled like any other key.
+
+    ``weight`` names a column of ``dim`` that already holds the rows per key; it
+    then covers every key of ``facts``, NULLs included, and saves the counting.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported lookup join: {how}")
-    heavy = heavy_keys(key_counts(facts, on), on, limit)
-    heavy_dim = heavy.join(dim.join(F.broadcast(heavy), on, "left_semi"), on, how)
+    values = [c for c in dim.columns if c not in (*on, weight)]
+    if weight is not None:
+        ranked = dim.withColumnRenamed(weight, "__rows")
+        heavy_dim = ranked.orderBy(F.desc("__rows"), *on).limit(limit).select(*on, *values)
+        heavy = heavy_dim.select(*on)
+    else:
+        heavy = heavy_keys(key_counts(facts, on), on, limit)
+        heavy_dim = heavy.join(dim.join(F.broadcast(heavy), on, "left_semi"), on, how)
 
-    values = [c for c in dim.columns if c not in on]
     marked = F.broadcast(heavy_dim.withColumnsRenamed({k: f"__{k}" for k in on}))
     of_heavy = facts.join(marked, _same_key(facts, marked, on), "inner").select(
         *facts.columns, *values
@@ -55,7 +64,7 @@ def lookup_join(
     known = F.broadcast(heavy.withColumnsRenamed({k: f"__{k}" for k in on}))
     of_rest = (
         facts.join(known, _same_key(facts, known, on), "left_anti")
-        .join(dim, on, how)
+        .join(dim.select(*on, *values), on, how)
         .select(*facts.columns, *values)
     )
     return of_heavy.unionByName(of_rest)

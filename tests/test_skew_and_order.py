@@ -29,6 +29,16 @@ def test_lookup_join_equals_plain_join(spark, skewed, limit, how):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("limit", [1, 5, 1000])
+def test_lookup_join_with_known_weights(skewed, limit):
+    rows, facts = skewed
+    dim = facts.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("v"))
+    got = sorted((r.id, r.v) for r in lookup_join(facts, dim, ["k"], "left", limit, "n").collect())
+    last = {k: i for i, k in rows if k is not None}
+    common = [(i, v) for i, v in got if dict(rows)[i] is not None]
+    assert len(got) == len(rows) and common == sorted((i, last[k]) for i, k in rows if k is not None)
+
+
 def test_heavy_keys_are_bounded_and_heaviest(skewed):
     _, facts = skewed
     heavy = [r.k for r in heavy_keys(key_counts(facts, ["k"]), ["k"], 2).collect()]
