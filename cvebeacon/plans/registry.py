@@ -3,20 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cvebeacon.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _with_package(run: Query) -> Query:
+    """Queries may use Python workers, which need the package."""
+
+    @wraps(run)
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return run(spark, sf_dir)
+
+    return call
+
+
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = run
+        QUERIES[name] = _with_package(run)
         if oracle is not None:
             ORACLES[name] = oracle
         return run

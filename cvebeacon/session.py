@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -64,3 +66,21 @@ def state_session(spark: SparkSession) -> SparkSession:
     cores = spark.sparkContext.defaultParallelism
     session.conf.set("spark.sql.shuffle.partitions", str(min(wanted, cores)))
     return session
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The same as ``--py-files``: the driver serves the archive to every executor,
+    so the package need not be installed there.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    folder, name = os.path.split(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), name)
+    context.addPyFile(shutil.make_archive(archive, "zip", folder, name))
+    _SHIPPED.add(context.applicationId)
