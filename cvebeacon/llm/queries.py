@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cvebeacon.llm import minhash
+from cvebeacon.llm import minhash, quality
 from cvebeacon.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -41,3 +41,11 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with at least 0.8 of their four-word shingles in common."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHash(words=4))
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; held-out rows were never learned from."""
+    return quality.quality_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
