@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cvebeacon.llm import minhash, quality
+from cvebeacon.llm import (
+    learned_search,
+    lines,
+    minhash,
+    mixing,
+    neardup_vectors,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    toxicity,
+)
 from cvebeacon.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -37,6 +51,121 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 """
 
 
+#: Folder of the public tokenizers; the environment variable of the same name wins.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a vocabulary file; every executor needs it at the same place."""
+    return os.path.join(os.environ.get("TOKENIZERS", TOKENIZERS), name)
+
+
+_LINKS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0),
+e AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y
+  ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+r(node, reached) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT d.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.component_id = d.vec_id AS kept
+FROM embeddings d JOIN c ON c.node = d.vec_id LEFT JOIN n ON n.a = d.vec_id
+"""
+
+
+@query("op1_embedding_near_dedup", _LINKS_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of equal label with a cosine of 0.98 or more."""
+    return neardup_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; held-out rows were never learned from."""
+    return toxicity.toxicity_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
+_LINES_SQL = f"""
+WITH l AS (
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS line,
+    list_distinct(regexp_extract_all({_ASCII_LOWER.format("ls[i]")}, '[^\\x20\\x09-\\x0D]+')) AS ws
+  FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+t AS (SELECT doc_id, line, list_sort(ws) AS ws FROM l WHERE len(ws) >= 5),
+k AS (SELECT ws, min((doc_id, line)) AS at, len(ws) AS n FROM t GROUP BY ws),
+w AS (SELECT at, n, ws, unnest(ws) AS w FROM k),
+f AS (SELECT w, count(*) AS df FROM w GROUP BY w),
+p AS (
+  SELECT * FROM (
+    SELECT at, n, ws, w.w, row_number() OVER (PARTITION BY at ORDER BY df, w.w) AS place
+    FROM w JOIN f ON f.w = w.w)
+  WHERE place <= n - (n * 80 + 99) // 100 + 1),
+g AS (
+  SELECT DISTINCT b.at FROM p a JOIN p b ON a.w = b.w AND a.at < b.at
+  WHERE 100 * len(list_intersect(a.ws, b.ws)) >= 80 * (a.n + b.n - len(list_intersect(a.ws, b.ws)))),
+x AS (
+  SELECT t.doc_id, t.line FROM t JOIN k USING (ws)
+  WHERE k.at <> (t.doc_id, t.line) OR k.at IN (SELECT at FROM g)),
+r AS (
+  SELECT doc_id, count(*) AS n, string_agg(line, ',' ORDER BY line) AS lines FROM x GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, coalesce(r.lines, '') AS removed_lines,
+  CASE WHEN r.n IS NULL THEN d.text ELSE (
+    SELECT coalesce(string_agg(s.line_text, chr(10) ORDER BY s.i), '')
+    FROM (SELECT unnest(string_split(d.text, chr(10))) AS line_text,
+            generate_subscripts(string_split(d.text, chr(10)), 1) AS i) s
+    WHERE NOT list_contains(string_split(r.lines, ','), CAST(s.i - 1 AS VARCHAR))) END AS text
+FROM documents d LEFT JOIN r USING (doc_id)
+"""
+
+
+@query("op3_line_dedup", _LINES_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier line resembles by 0.8 or more."""
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("removed_lines").cast("long").alias("n_removed"),
+        F.array_join("removed_lines", ",").alias("removed_lines"),
+        "text",
+    )
+
+
+@query("op4_mixture_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens, sources in proportion."""
+    return packing.pack(table(spark, sf_dir, "documents"), packing.Packing(tokenizer_path()))
+
+
+@query("op5_sampled_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by fixed patterns and by novelty."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op7_learned_search")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every vector whose id is divisible by 20."""
+    return learned_search.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_temperature_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn pass by pass so that sources reach their tempered weights."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 @query("op8_minhash_near_dedup", _NEAR_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with at least 0.8 of their four-word shingles in common."""
