@@ -237,8 +237,9 @@ def search(
         shape = work.table(sizes.join(groups, ["dim", "part"]), "shape")
         hashed = F.xxhash64("vec_id")
         left = asked.join(shape, ["dim", "part"]).select(
-            "dim", "part", F.pmod(hashed, F.col("groups")).alias("g"),
-            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "vec_id", "v",
+            F.col("dim").alias("dim"), F.col("part").alias("part"), F.pmod(hashed, F.col("groups")).alias("g"),
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"),
+            F.col("vec_id").alias("vec_id"), F.col("v").alias("v"),
         )
         right = routed.join(shape, ["dim", "part"]).select(
             "dim", "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"),

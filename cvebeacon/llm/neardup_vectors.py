@@ -317,7 +317,10 @@ def near_vectors(
         )
         members = work.table(members, "members")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        left = members.select("component", F.col("own").alias("i"), F.explode(every).alias("j"), "node", "v", "weight")
+        left = members.select(
+            F.col("component").alias("component"), F.col("own").alias("i"), F.explode(every).alias("j"),
+            F.col("node").alias("node"), F.col("v").alias("v"), F.col("weight").alias("weight"),
+        )
         right = members.select("component", F.explode(every).alias("i"), F.col("own").alias("j"), "node", "v", "weight")
         keys = ["component", "i", "j"]
         counted = (

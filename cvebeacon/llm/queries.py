@@ -98,20 +98,20 @@ WITH l AS (
   FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
 t AS (SELECT doc_id, line, list_sort(ws) AS ws FROM l WHERE len(ws) >= 5),
-k AS (SELECT ws, min((doc_id, line)) AS at, len(ws) AS n FROM t GROUP BY ws),
-w AS (SELECT at, n, ws, unnest(ws) AS w FROM k),
+k AS (SELECT ws, min((doc_id, line)) AS pos, len(ws) AS n FROM t GROUP BY ws),
+w AS (SELECT pos, n, ws, unnest(ws) AS w FROM k),
 f AS (SELECT w, count(*) AS df FROM w GROUP BY w),
 p AS (
   SELECT * FROM (
-    SELECT at, n, ws, w.w, row_number() OVER (PARTITION BY at ORDER BY df, w.w) AS place
+    SELECT pos, n, ws, w.w, row_number() OVER (PARTITION BY pos ORDER BY df, w.w) AS place
     FROM w JOIN f ON f.w = w.w)
   WHERE place <= n - (n * 80 + 99) // 100 + 1),
 g AS (
-  SELECT DISTINCT b.at FROM p a JOIN p b ON a.w = b.w AND a.at < b.at
+  SELECT DISTINCT b.pos FROM p a JOIN p b ON a.w = b.w AND a.pos < b.pos
   WHERE 100 * len(list_intersect(a.ws, b.ws)) >= 80 * (a.n + b.n - len(list_intersect(a.ws, b.ws)))),
 x AS (
   SELECT t.doc_id, t.line FROM t JOIN k USING (ws)
-  WHERE k.at <> (t.doc_id, t.line) OR k.at IN (SELECT at FROM g)),
+  WHERE k.pos <> (t.doc_id, t.line) OR k.pos IN (SELECT pos FROM g)),
 r AS (
   SELECT doc_id, count(*) AS n, string_agg(line, ',' ORDER BY line) AS lines FROM x GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, coalesce(r.lines, '') AS removed_lines,
