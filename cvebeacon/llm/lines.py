@@ -235,42 +235,45 @@ def later_matches(work: Scratch, texts: DataFrame, how: LineDedup) -> DataFrame:
     return work.table(removed.join(kept, ["doc_id", "line"], "left_anti"), "removed", keep=True)
 
 
+def _remaining(docs: DataFrame, how: LineDedup, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the text left, and the array ``__removed`` of line numbers (or null)."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession, "lines") as work:
+        removed = later_matches(work, texts.where("doc_id is not null"), how)
+    grouped = removed.groupBy(F.col("doc_id").alias("__id")).agg(
+        F.sort_array(F.collect_list("line")).alias("__removed")
+    )
+    joined = docs.join(grouped, docs[id_col].cast("long") == F.col("__id"), "left")
+    left = F.array_join(
+        F.filter(F.split(docs[text_col], "\n"), lambda _, i: ~F.array_contains(F.col("__removed"), i)),
+        "\n",
+    )
+    own = F.when(F.col("__removed").isNull(), docs[text_col]).otherwise(left).alias(text_col)
+    return joined.select(*(own if c == text_col else docs[c] for c in docs.columns), "__removed")
+
+
 def dedup_lines(
     docs: DataFrame, how: LineDedup = LineDedup(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with the text left after removal, and the array ``removed_lines``.
 
-    Lines end at a newline; blank lines and lines of few words stay. Ties do not
-    occur: lines are ordered by (document id, line number). Rows that share an
-    id share their line numbers, and a line never removes one of its own number.
-    Rows without id stay as they are and remove nothing of others'; null texts
-    stay null. Extra columns stay. An empty table gives an empty result.
+    Lines end at a newline; blank lines and lines of few words stay. Lines are
+    ordered by (document id, line number), so equal lines of different documents
+    are no tie. Rows that share an id must be copies: they share their line
+    numbers, and a line never removes one of its own number. Rows without id
+    stay as they are and remove nothing of others'; null texts stay null. Extra
+    columns stay; one named ``removed_lines`` is replaced. An empty table gives
+    an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    with scratch(docs.sparkSession, "lines") as work:
-        known = texts.where("doc_id is not null")
-        removed = later_matches(work, known, how)
-        grouped = removed.groupBy(F.col("doc_id").alias("__id")).agg(
-            F.sort_array(F.collect_list("line")).alias("removed_lines")
-        )
-        joined = docs.join(grouped, docs[id_col].cast("long") == F.col("__id"), "left")
-        lines = F.split(docs[text_col], "\n")
-        left = F.array_join(
-            F.filter(lines, lambda _, i: ~F.array_contains(F.col("removed_lines"), i)), "\n"
-        )
-        return joined.select(
-            *(
-                F.when(F.col("removed_lines").isNull(), docs[c]).otherwise(left).alias(c)
-                if c == text_col
-                else docs[c]
-                for c in docs.columns
-            ),
-            F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"),
-        )
+    found = _remaining(docs, how, id_col, text_col)
+    none = F.array().cast("array<int>")
+    return found.withColumn("removed_lines", F.coalesce("__removed", none)).drop("__removed")
 
 
-def without_later_lines(docs: DataFrame, how: LineDedup = LineDedup(), text_col: str = "text") -> DataFrame:
-    """``docs`` with later matching lines removed; documents left without any word go."""
-    found = dedup_lines(docs, how, text_col=text_col)
-    emptied = (F.size("removed_lines") > 0) & ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\s]")
-    return found.where(~emptied).select(*docs.columns)
+def without_later_lines(
+    docs: DataFrame, how: LineDedup = LineDedup(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with later matching lines removed; documents emptied by that go."""
+    found = _remaining(docs, how, id_col, text_col)
+    emptied = F.col("__removed").isNotNull() & ~F.col(text_col).rlike(r"\S")
+    return found.where(~emptied).drop("__removed")
