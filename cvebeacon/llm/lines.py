@@ -3,7 +3,8 @@
 Method: a line is the set of its words. Words are ordered by rarity; two lines
 that are similar enough share a word in their prefixes, the first
 ``n - ceil(similarity * n) + 1`` words in that order. Pairs that share a prefix
-word and pass the length and positional filters are verified on their full sets.
+word and pass the length and positional filters, and a filter on 64-bit word maps
+that bounds what they share, are verified on their full sets.
 A line goes if an earlier one, by document id and line number, is that similar.
 
 Rarity comes from word counts over all texts in a table of fixed size, shared by
@@ -91,7 +92,7 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-_LINE = "doc_id long, line int, h1 long, h2 long, n int, prefix array<int>"
+_LINE = "doc_id long, line int, h1 long, h2 long, n int, bits long, prefix array<int>"
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], how: LineDedup, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -110,6 +111,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], how: LineDedup, rank: np.ndarra
             first = np.cumsum(n[keep]) - n[keep]
             h1 = np.add.reduceat(words.mix(inside), first)
             h2 = np.add.reduceat(words.mix(inside ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (inside >> np.uint64(58)), first)
             size = prefix_size(n[keep], how)
             short = (tokens[_ranges(starts[keep], size)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -120,9 +122,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], how: LineDedup, rank: np.ndarra
                     pa.array(h1.view(np.int64)),
                     pa.array(h2.view(np.int64)),
                     pa.array(n[keep].astype(np.int32)),
+                    pa.array(bits.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(short)),
                 ],
-                names=["doc_id", "line", "h1", "h2", "n", "prefix"],
+                names=["doc_id", "line", "h1", "h2", "n", "bits", "prefix"],
             )
 
 
@@ -188,26 +191,27 @@ def later_matches(work: Scratch, texts: DataFrame, how: LineDedup) -> DataFrame:
     classes = work.table(
         lines.groupBy("h1", "h2").agg(
             F.min(F.struct("doc_id", "line")).alias("at"),
-            F.any_value("n").alias("n"),
+            F.max("n").alias("n"),
+            F.max("bits").alias("bits"),
             F.any_value("prefix").alias("prefix"),
-        ).select("at.doc_id", "at.line", "n", "prefix"),
+        ).select("at.doc_id", "at.line", "n", "bits", "prefix"),
         "classes",
     )
-    postings = classes.select("doc_id", "line", "n", F.posexplode("prefix").alias("i", "word"))
+    postings = classes.select("doc_id", "line", "n", "bits", F.posexplode("prefix").alias("i", "word"))
     earliest = postings.groupBy("word").agg(
-        F.min(F.struct("doc_id", "line", "n", "i")).alias("x"), F.count("*").alias("members")
+        F.min(F.struct("doc_id", "line", "n", "bits", "i")).alias("x"), F.count("*").alias("members")
     )
     earliest = work.table(
         earliest.where("members > 1").select(
             "word", F.col("x.doc_id").alias("a_doc"), F.col("x.line").alias("a_line"),
-            F.col("x.n").alias("a_n"), F.col("x.i").alias("a_i"),
+            F.col("x.n").alias("a_n"), F.col("x.bits").alias("a_bits"), F.col("x.i").alias("a_i"),
         ),
         "earliest",
     )
     postings = work.table(
         postings.join(earliest.select("word"), "word", "left_semi").select(
             "word", F.col("doc_id").alias("b_doc"), F.col("line").alias("b_line"),
-            F.col("n").alias("b_n"), F.col("i").alias("b_i"),
+            F.col("n").alias("b_n"), F.col("bits").alias("b_bits"), F.col("i").alias("b_i"),
         ),
         "postings",
     )
@@ -215,14 +219,17 @@ def later_matches(work: Scratch, texts: DataFrame, how: LineDedup) -> DataFrame:
     passes = F.expr(
         f"(a_doc < b_doc or (a_doc = b_doc and a_line < b_line))"
         f" and {num} * greatest(a_n, b_n) <= {den} * least(a_n, b_n)"
-        f" and {num + den} * (1 + least(a_n - a_i, b_n - b_i) - 1) >= {num} * (a_n + b_n)"
+        f" and {num + den} * least(a_n - a_i, b_n - b_i) >= {num} * (a_n + b_n)"
+        # Bits that only one line has are words that only it has.
+        f" and {num + den} * least(a_n - bit_count(a_bits & ~b_bits), b_n - bit_count(b_bits & ~a_bits))"
+        f" >= {num} * (a_n + b_n)"
     )
     ids = ["a_doc", "a_line", "b_doc", "b_line"]
     first = work.table(postings.join(earliest, "word").where(passes).select(ids).distinct(), "first-pairs")
     gone = _verified(work, first, texts, how)
     open_ = postings.join(small(gone), ["b_doc", "b_line"], "left_anti")
     ahead = postings.select(
-        "word", *(F.col(f"b_{c}").alias(f"a_{c}") for c in ("doc", "line", "n", "i"))
+        "word", *(F.col(f"b_{c}").alias(f"a_{c}") for c in ("doc", "line", "n", "bits", "i"))
     )
     rest = open_.join(ahead, "word").where(passes).select(ids).distinct()
     rest = work.table(rest.join(first, ids, "left_anti"), "pairs")
