@@ -137,7 +137,11 @@ def element_loss(actual: Column, predicted: Column, kind: str = "huber") -> Colu
 
 
 def r_squared(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """One row ``r2``: NULL below two rows; a constant target gives 1 or 0."""
+    """One row ``r2``: NULL below two rows; a constant target gives 1 or 0.
+
+    Only rows where both values are known count.
+    """
+    df = df.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
     error = F.col(predicted) - F.col(actual)
     sums = df.agg(
         F.count(F.lit(1)).alias("n"),

@@ -128,7 +128,9 @@ def running_totals(
     df = materialize(df.select(order, *sums), "ordered")
     probabilities = [i / buckets for i in range(1, buckets)]
     limits = df.approxQuantile(order, probabilities, 1 / (2 * buckets))
-    splits = [-float("inf"), *sorted(set(limits)), float("inf")]
+    # A column without finite values still needs one limit.
+    finite = sorted({x for x in limits if abs(x) != float("inf")}) or [0.0]
+    splits = [-float("inf"), *finite, float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="__value", outputCol="__bucket").transform(
         df.withColumn("__value", F.col(order).cast("double"))
     )

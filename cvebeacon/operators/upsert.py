@@ -13,7 +13,13 @@ KEY = "permalink"
 
 def _identity(keys: list[str]) -> Column:
     """Text of the key columns; a missing key is a value of its own."""
-    return F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    # All digits of a timestamp: the default format stops at milliseconds.
+    exact = {
+        "ignoreNullFields": "false",
+        "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+        "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    }
+    return F.to_json(F.struct(*keys), exact)
 
 
 def _keys(key: str | list[str]) -> list[str]:

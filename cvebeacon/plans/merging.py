@@ -254,9 +254,8 @@ def json_round_trip(spark, sf_dir):
     )
     S.write_json(written, folder)
     schema = "permalink STRING, title STRING, article_text STRING, cves ARRAY<STRING>"
-    back = spark.read.schema(schema).json(folder)
-    tagged = back.withColumn("source", S.source_from_name(F.col("_metadata.file_name")))
-    return tagged.select(
+    back = S.read_json_folder(spark, folder, schema, lines=True)
+    return back.select(
         "permalink", "title", "article_text", "source", F.col("cves")[0].alias("first_cve")
     )
 

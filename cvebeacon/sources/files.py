@@ -28,16 +28,24 @@ def read_csv(
     )
 
 
-def read_json_array(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Files that hold one object or an array of objects, one row per object."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json_array(
+    spark: SparkSession, path: str | list[str], schema: str, lines: bool = False
+) -> DataFrame:
+    """Files that hold one object or an array of objects, one row per object.
+
+    ``lines`` reads files of one object per line instead, as ``write_json``
+    leaves them; those are split among tasks.
+    """
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
-def read_json_folder(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def read_json_folder(
+    spark: SparkSession, folder: str, schema: str, lines: bool = False
+) -> DataFrame:
     """Every ``*.json`` of a folder, tagged with the source its file name tells."""
     posts = (
         spark.read.schema(schema)
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("pathGlobFilter", "*.json")
         .json(folder)
     )
@@ -64,12 +72,17 @@ def with_file_stem(df: DataFrame, out: str = "source") -> DataFrame:
     return df.withColumn(out, source_from_stem(F.col("_metadata.file_name")))
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
-    """An existing store, or an empty table when it is absent or corrupt."""
+def read_or_empty(
+    spark: SparkSession, path: str, schema: str, fmt: str = "json", lines: bool = False
+) -> DataFrame:
+    """An existing store, or an empty table when it is absent or corrupt.
+
+    ``lines`` reads a JSON store that ``write_json`` wrote.
+    """
     # A file that does not parse is dropped, which leaves the table empty.
     reader = spark.read.schema(schema).option("mode", "DROPMALFORMED")
     if fmt == "json":
-        reader = reader.option("multiLine", True)
+        reader = reader.option("multiLine", not lines)
     try:
         return reader.format(fmt).load(path)
     except AnalysisException as error:
