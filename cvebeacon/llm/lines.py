@@ -54,7 +54,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         for part in words.slices(batch):
-            flat, _ = words.word_hashes(part["text"].to_pylist())
+            flat, _ = words.word_hashes(part["text"])
             seen += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["counter", "n"])

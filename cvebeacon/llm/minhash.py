@@ -75,7 +75,7 @@ def _sign(batches: Iterator[pa.RecordBatch], how: MinHash) -> Iterator[pa.Record
     salt = words.mix(np.arange(1, how.bands + 1, dtype=np.uint64))
     for batch in batches:
         for part in words.slices(batch):
-            flat, counts = words.word_hashes(part["text"].to_pylist())
+            flat, counts = words.word_hashes(part["text"])
             values, number = words.shingles(flat, counts, how.words)
             sizes, ids, signatures, bands = [], [], [], []
             for doc in np.split(values, np.cumsum(number)[:-1]):
@@ -104,7 +104,7 @@ def _sign(batches: Iterator[pa.RecordBatch], how: MinHash) -> Iterator[pa.Record
 def _distinct(batches: Iterator[pa.RecordBatch], how: MinHash) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.slices(batch):
-            flat, counts = words.word_hashes(part["text"].to_pylist())
+            flat, counts = words.word_hashes(part["text"])
             values, number = words.shingles(flat, counts, how.words)
             sets = [np.unique(x).tobytes() for x in np.split(values, np.cumsum(number)[:-1])]
             yield pa.RecordBatch.from_arrays(

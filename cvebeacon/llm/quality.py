@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,62 +40,54 @@ class Quality:
     window: int = 2
 
 
-def word_class(word: str) -> int:
-    """Class of a word, without the repeat bit."""
-    core = word.lstrip("\"'([{<¿¡«")
-    lead = int(len(core) < len(word))
-    bare = core.rstrip("".join({c for c in core if not c.isalnum()})) if core else core
-    tail = core[len(bare) :]
-    if not bare:
-        shape, tail = 0, word
-    elif bare.isdigit():
-        shape = 1
-    elif not bare.isalpha():
-        shape = 2
-    elif bare.islower():
-        shape = 3
-    elif bare.isupper() and len(bare) > 1:
-        shape = 4
-    elif bare[1:].islower() or len(bare) == 1:
-        shape = 5
-    else:
-        shape = 6
+def _tail_sign(tail: str) -> int:
+    """Kind (0 to 7) of the signs after a word."""
     if not tail:
-        sign = 0
-    elif tail in (",", ".", ":", ";"):
-        sign = 1 if tail == "," else 2
-    elif len(tail) == 1:
-        sign = 3
-    elif len(set(tail)) == 1:
-        sign = 4 + xxhash.xxh32_intdigest(tail[:1].encode("utf-8", "surrogatepass")) % 3
-    else:
-        sign = 7
-    letters = xxhash.xxh3_64_intdigest(bare.lower().encode("utf-8", "surrogatepass")) % 64
+        return 0
+    if tail in (",", ".", ":", ";"):
+        return 1 if tail == "," else 2
+    if len(tail) == 1:
+        return 3
+    if len(set(tail)) == 1:
+        return 4 + xxhash.xxh32_intdigest(tail[:1].encode()) % 3
+    return 7
+
+
+def word_classes(written: pa.Array) -> np.ndarray:
+    """Class of each word, without the repeat bit."""
+    core = pc.utf8_ltrim(written, "\"'([{<¿¡«")
+    lead = np.asarray(pc.not_equal(core, written)).astype(np.int64)
+    bare = pc.replace_substring_regex(core, r"[^\pL\pN]+$", "")
+    tail = pc.replace_substring_regex(core, r"^(?s:.*)[\pL\pN]", "")
+    empty = pc.equal(bare, "")
+    tails = pc.if_else(empty, written, tail).dictionary_encode()
+    kinds = np.array([_tail_sign(t) for t in tails.dictionary.to_pylist()], np.int64)
+    sign = kinds[np.asarray(tails.indices)]
+    rest = pc.utf8_slice_codeunits(bare, 1)
+    single = pc.equal(pc.utf8_length(bare), 1)
+    tests = [
+        empty,
+        pc.utf8_is_digit(bare),
+        pc.invert(pc.utf8_is_alpha(bare)),
+        pc.utf8_is_lower(bare),
+        pc.and_(pc.utf8_is_upper(bare), pc.invert(single)),
+        pc.or_(pc.utf8_is_lower(rest), single),
+    ]
+    shape = np.select([np.asarray(t) for t in tests], range(6), 6).astype(np.int64)
+    letters = (words.hashes(pc.utf8_lower(bare)) % np.uint64(64)).astype(np.int64)
     return (((lead * 8 + shape) * 8 + sign) << 6) | letters
 
 
-class _Classes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= words.MEMORY:
-            self.clear()
-        value = word_class(word)
-        name = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ((1 << 48) - 1)
-        value = self[word] = (name << 13) | value
-        return value
-
-
-_classes = _Classes()
-
-
-def classes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def classes(texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Class of each word, text after text, and words per text."""
-    parts = [t.split() if t else [] for t in texts]
-    counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    get = _classes.__getitem__
-    flat = np.fromiter((get(w) for p in parts for w in p), np.int64, int(counts.sum()))
-    repeat = np.zeros(len(flat), np.int64)
-    repeat[1:] = flat[1:] == flat[:-1]
-    return (flat & 0x1FFF) | (repeat << 13), counts
+    split = pc.utf8_split_whitespace(words.texts_array(texts))
+    at, distinct, counts = words.numbered(split)
+    if not len(at):
+        return np.zeros(0, np.int64), counts
+    repeat = np.zeros(len(at), np.int64)
+    repeat[1:] = at[1:] == at[:-1]
+    repeat[(np.cumsum(counts) - counts)[counts > 0]] = 0
+    return word_classes(distinct)[at] | (repeat << 13), counts
 
 
 def index_vectors() -> np.ndarray:
@@ -117,7 +110,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
     seen = np.zeros(CLASSES, np.int64)
     for batch in batches:
         for part in words.slices(batch):
-            flat, counts = classes(part["text"].to_pylist())
+            flat, counts = classes(part["text"])
             if not len(flat):
                 continue
             owner = np.repeat(np.arange(len(counts)), counts)
@@ -159,7 +152,7 @@ def _pool(batches: Iterator[pa.RecordBatch], context: np.ndarray) -> Iterator[pa
     table = np.hstack([context, index_vectors()])
     for batch in batches:
         for part in words.slices(batch):
-            flat, counts = classes(part["text"].to_pylist())
+            flat, counts = classes(part["text"])
             pooled = np.zeros((len(counts), table.shape[1] + 3), np.float32)
             some = np.flatnonzero(counts)
             starts = (np.cumsum(counts) - counts)[some]

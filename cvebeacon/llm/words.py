@@ -11,21 +11,10 @@ import xxhash
 
 #: Bytes of text that are split at a time; bounds the memory of a task.
 CHUNK_BYTES = 4_000_000
-#: Words whose hash a worker remembers before it starts anew.
+#: Words that a worker remembers before it starts anew.
 MEMORY = 300_000
 
 
-class _Known(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_known = _Known()
-
-
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in slices of about CHUNK_BYTES of text, one row at least."""
     if batch.num_rows == 0:
@@ -37,16 +26,42 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         yield batch.slice(a, b - a)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def numbered(cells: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Number of each non-empty word, the distinct words, and words per text.
+
+    Python then sees each distinct word of a slice once.
+    """
+    flat = cells.flatten()
+    sizes = np.asarray(pa.compute.list_value_length(cells), np.int64)
+    full = np.asarray(pa.compute.binary_length(flat)) > 0
+    if not full.all():
+        owner = np.repeat(np.arange(len(sizes)), sizes)[full]
+        sizes = np.bincount(owner, minlength=len(sizes))
+        flat = flat.filter(pa.array(full))
+    coded = flat.dictionary_encode()
+    return np.asarray(coded.indices), coded.dictionary, sizes
+
+
+def hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string."""
+    values = map(xxhash.xxh3_64_intdigest, strings.cast(pa.binary()).to_pylist())
+    return np.fromiter(values, np.uint64, len(strings))
+
+
+def texts_array(texts: list[str | None] | pa.Array) -> pa.Array:
+    """The texts as Arrow strings, null as empty."""
+    strings = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    return pa.compute.fill_null(strings, "")
+
+
+def word_hashes(texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, text after text, and the number of words of each text.
 
     Words are runs of anything but space and 0x09-0x0D; A-Z count as a-z.
     """
-    parts = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    get = _known.__getitem__
-    flat = np.fromiter((get(w) for p in parts for w in p), np.uint64, int(counts.sum()))
-    return flat, counts
+    lower = pa.compute.ascii_lower(texts_array(texts))
+    at, distinct, counts = numbered(pa.compute.ascii_split_whitespace(lower))
+    return hashes(distinct)[at], counts
 
 
 def mix(x: np.ndarray) -> np.ndarray:
