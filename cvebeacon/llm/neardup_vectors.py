@@ -5,16 +5,20 @@ hyperplane codes: nodes are sorted by code, and those next to each other whose
 sketches are near are scored. NN-descent then joins each node's neighbours with
 one another, scores the new pairs and keeps the nearest; lists whose every entry is
 above the threshold are saturated and enlarged. Edges above the threshold give
-components. An audit compares a set of nodes with every node of their label in
-blocks; edges it finds between components are added, and the descent goes on from
-new codes until the audit finds none.
+components.
+
+Exact finish: lists are bounded, so in dense groups the descent may miss the only
+link of a node. Nodes are dealt to the nearest of some pivots; a node is also a
+guest in every cell whose border is within the threshold's distance. Own nodes and
+guests of a cell are compared block against block, and links between components
+are added, so components are exact whatever the descent has found.
 
 Counting: all links of a node lie inside its component, so links are counted there
 exactly, block against block in numpy; only counts leave a task, never the pairs.
 
 Codes of b bits in T tables: a pair at the threshold differs in a bit with
 probability angle / pi, and T is set so that it is missed in all tables with
-probability below ``miss``. Sketches of 256 bits drop pairs more than seven
+probability below ``miss``, as far as a code is shared by few. Sketches of 256 bits drop pairs more than seven
 standard deviations from what the threshold allows.
 """
 
@@ -38,16 +42,15 @@ SKETCH = 256
 
 @dataclass(frozen=True)
 class NearVectors:
-    """``neighbours`` is the first list size, ``audit`` the nodes of an audit."""
+    """``neighbours`` is the first list size; ``pivots`` the most cells of a label."""
 
     threshold: float = 0.98
     neighbours: int = 8
     largest: int = 32
     beside: int = 4
     miss: float = 1e-7
-    audit: int = 128
-    rounds: int = 3
     descents: int = 3
+    pivots: int = 256
     block: int = 4096
     seed: int = 3
 
@@ -196,26 +199,114 @@ def _descend(
     return work.table(_scored(fresh, nodes), "descent")
 
 
-def _audit(
-    batches: Iterator[pa.RecordBatch], asked: dict[int, tuple], how: NearVectors
+def _cells(
+    batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], how: NearVectors
 ) -> Iterator[pa.RecordBatch]:
-    """Links between the asked nodes and nodes of other components."""
+    """Every node in the cell of its nearest pivot, and as a guest in earlier cells it may reach.
+
+    Of x in cell p and a linked y in cell q: (y, q - p) exceeds (x, q - p), which is
+    at most 0, by no more than the distance of x and y times that of the pivots.
+    """
+    reach = math.sqrt(max(2 - 2 * how.threshold, 0))
     for batch in batches:
-        group, node, place = (np.asarray(batch[c]) for c in ("group", "node", "component"))
-        raw = batch["v"]
-        for own, (nodes, places, x) in asked.items():
-            at = np.flatnonzero(group == own)
-            if not len(at):
-                continue
-            y = unit(unpack(raw.take(pa.array(at)).to_pylist()))
-            for lo in range(0, len(at), how.block):
-                near = x @ y[lo : lo + how.block].T >= how.threshold - 1e-9
-                near &= places[:, None] != place[at[lo : lo + how.block]][None, :]
+        if not batch.num_rows:
+            continue
+        dims = np.asarray(batch["dim"])
+        for d in np.unique(dims):
+            part = batch.filter(pa.array(dims == d))
+            cell = np.zeros(part.num_rows, np.int64)
+            i = j = np.zeros(0, np.int64)
+            if d in pivots:
+                own = pivots[d]
+                side = unit(unpack(part["v"].to_pylist())) @ own.T
+                cell = side.argmax(axis=1)
+                apart = np.sqrt(np.maximum(2 - 2 * own @ own.T, 0))
+                near = side.max(axis=1)[:, None] - side <= reach * apart[cell] + 1e-6
+                near &= np.arange(len(own))[None, :] < cell[:, None]
                 i, j = np.nonzero(near)
-                a, b = nodes[i], node[at[lo + j]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
-                )
+            at = pa.array(np.concatenate([np.arange(part.num_rows), i]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part["group"].take(at),
+                    pa.array(np.concatenate([cell, j]).astype(np.int32)),
+                    pa.array(np.arange(len(at)) >= part.num_rows),
+                    part["node"].take(at),
+                    part["component"].take(at),
+                    part["v"].take(at),
+                ],
+                names=["group", "cell", "guest", "node", "component", "v"],
+            )
+
+
+def _joining(left: pa.Table, right: pa.Table, how: NearVectors) -> pa.Table:
+    """Links of one block with another that join components, a spanning forest of them."""
+    a, b = [], []
+    if left.num_rows and right.num_rows:
+        x, y = (unit(unpack(t["v"].to_pylist())) for t in (left, right))
+        own, other = left["node"].to_numpy(), right["node"].to_numpy()
+        mine, theirs = (t["component"].to_numpy().copy() for t in (left, right))
+        for lo in range(0, len(x), 512):
+            cosine = x[lo : lo + 512] @ y.T
+            near = (cosine >= how.threshold - 1e-12) & (mine[lo : lo + 512, None] != theirs[None, :])
+            for i in np.flatnonzero(near.any(axis=1)):
+                j = np.flatnonzero(near[i] & (theirs != mine[lo + i]))
+                # Sums in another order may differ in the last bits: decide those by one order.
+                close = np.flatnonzero(cosine[i, j] < how.threshold + 1e-12)
+                low = in_order(np.repeat(x[lo + i][None, :], len(close), axis=0), y[j[close]]) < how.threshold
+                j = np.delete(j, close[low])
+                if not len(j):
+                    continue
+                joined, first = np.unique(theirs[j], return_index=True)
+                a += [own[lo + i]] * len(joined)
+                b += list(other[j[first]])
+                joined = np.append(joined, mine[lo + i])
+                for places in (mine, theirs):
+                    places[np.isin(places, joined)] = joined.min()
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _finish(work: Scratch, placed_nodes: DataFrame, nodes: DataFrame, n: int, how: NearVectors) -> DataFrame:
+    """Links that join all components with a link between them, as a table (a, b)."""
+    most = min(how.pivots, math.ceil(n / how.block))
+    drawn = nodes.orderBy(F.xxhash64("node", F.lit(how.seed)), "node").limit(most).select("dim", "v").collect()
+    pivots = {
+        d: unit(unpack([bytes(r["v"]) for r in drawn if r["dim"] == d])) for d in {r["dim"] for r in drawn}
+    }
+    cells = work.table(
+        placed_nodes.select("group", "dim", "node", "component", "v").mapInArrow(
+            lambda x: _cells(x, pivots, how),
+            "group long, cell int, guest boolean, node long, component long, v binary",
+        ),
+        "cells",
+    )
+    sizes = cells.groupBy("group", "cell").agg(
+        F.ceil(F.count_if(~F.col("guest")) / how.block).alias("owns"),
+        F.ceil(F.count_if("guest") / how.block).alias("guests"),
+        F.min("component").alias("least"), F.max("component").alias("last"),
+    )
+    # Cells of one component have nothing to join; guests without own nodes meet in another cell.
+    sizes = sizes.where("owns > 0 and least < last").select("group", "cell", "owns", "guests")
+    members = work.table(
+        cells.join(sizes, ["group", "cell"]).withColumn(
+            "own", F.expr("pmod(xxhash64(node), if(guest, guests, owns)) + if(guest, owns, 0)")
+        ),
+        "cell-members",
+    )
+    at = ["group", "cell"]
+    left = members.where("not guest").select(
+        *at, F.col("own").alias("i"), F.explode(F.expr("sequence(own, owns + guests - 1)")).alias("j"),
+        "node", "component", "v",
+    )
+    right = members.select(
+        *at, F.explode(F.expr("sequence(0L, if(guest, owns - 1, own))")).alias("i"), F.col("own").alias("j"),
+        "node", "component", "v",
+    )
+    keys = [*at, "i", "j"]
+    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(
+        lambda x, y: _joining(x, y, how), "a long, b long"
+    )
+    return work.table(found.distinct(), "joining")
 
 
 def _count(left: pa.Table, right: pa.Table, how: NearVectors) -> pa.Table:
@@ -273,40 +364,21 @@ def near_vectors(
         )
         n = nodes.count()
         bits = max(8, math.ceil(math.log2(max(n, 2))) - 3)
-        asked = nodes.orderBy(F.xxhash64("node", F.lit(how.seed)), "node").limit(how.audit)
-        asked = [(r["group"], r["node"], bytes(r["v"])) for r in asked.select("group", "node", "v").collect()]
-        scored = links = placed = None
-        for turn in range(how.rounds):
-            more = _start(work, nodes, how, bits, turn)
-            scored = more if scored is None else work.table(scored.unionByName(more).distinct(), "scored")
-            edges = scored.where(F.col("cosine") >= how.threshold).select("a", "b")
-            links = edges if links is None else links.unionByName(edges)
-            placed = work.table(components(work, links), "components")
-            for _ in range(how.descents):
-                fresh = _descend(work, nodes, scored, placed, how)
-                scored = work.table(scored.unionByName(fresh), "scored")
-                won = fresh.where(F.col("cosine") >= how.threshold).select("a", "b")
-                if won.isEmpty():
-                    break
-                links = work.table(links.unionByName(won), "links")
-                placed = work.table(components(work, links), "components")
-            placed_nodes = work.table(_placed(nodes, placed), "placed")
-            where = {
-                r["node"]: r["component"]
-                for r in placed_nodes.where(F.col("node").isin([a[1] for a in asked])).select("node", "component").collect()
-            }
-            wanted = {}
-            for group in {a[0] for a in asked}:
-                own = [a for a in asked if a[0] == group]
-                ids = np.array([a[1] for a in own])
-                wanted[group] = (ids, np.array([where[i] for i in ids]), unit(unpack([a[2] for a in own])))
-            missed = work.table(
-                placed_nodes.mapInArrow(lambda x, w=wanted: _audit(x, w, how), "a long, b long").distinct(),
-                "missed",
-            )
-            if missed.isEmpty():
+        scored = _start(work, nodes, how, bits, 0)
+        links = scored.where(F.col("cosine") >= how.threshold).select("a", "b")
+        placed = work.table(components(work, links), "components")
+        for _ in range(how.descents):
+            fresh = _descend(work, nodes, scored, placed, how)
+            scored = work.table(scored.unionByName(fresh), "scored")
+            won = fresh.where(F.col("cosine") >= how.threshold).select("a", "b")
+            if won.isEmpty():
                 break
-            links = work.table(links.unionByName(missed), "links")
+            links = work.table(links.unionByName(won), "links")
+            placed = work.table(components(work, links), "components")
+        placed_nodes = work.table(_placed(nodes, placed), "placed")
+        joining = _finish(work, placed_nodes, nodes, n, how)
+        if not joining.isEmpty():
+            links = work.table(links.unionByName(joining), "links")
             placed = work.table(components(work, links), "components")
             placed_nodes = work.table(_placed(nodes, placed), "placed")
         sizes = placed_nodes.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")

@@ -43,6 +43,45 @@ def test_links_against_brute_force(spark, vectors):
         assert (r["n_links"], r["component_id"], r["kept"]) == (link[i].sum(), low[i], low[i] == i)
 
 
+def exact_links(x, labels):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    link = (u @ u.T >= 0.98) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(link, False)
+    low, before = np.arange(len(x)), None
+    while before is None or (low != before).any():
+        before = low
+        low = np.minimum(low, np.where(link, low[None, :], len(x)).min(axis=1))
+    return link.sum(axis=1), low
+
+
+def test_rim_of_a_dense_group(spark):
+    """Vectors that only a few of a dense group link to."""
+    draw = np.random.default_rng(7)
+    centre = draw.normal(size=32)
+    centre /= np.linalg.norm(centre)
+    x = centre + draw.normal(size=(2600, 32)) * 0.012
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rim = []
+    for i in range(160):
+        out = x[i] - (x[i] @ centre) * centre
+        rim.append(x[i] + out / np.linalg.norm(out) * 0.2)
+    x = np.vstack([x, rim]).astype(np.float32)
+    labels = np.ones(len(x), int)
+    links, low = exact_links(x, labels)
+    assert (links[2600:] > 0).sum() > 100 and np.median(links[2600:]) < 100
+    for r in neardup_vectors.near_vectors(frame(spark, x, labels)).collect():
+        assert (r["n_links"], r["component_id"]) == (links[r["vec_id"]], low[r["vec_id"]])
+
+
+def test_links_without_descent(spark, vectors):
+    """The finish alone finds all components, over many cells and blocks."""
+    x, labels = vectors
+    links, low = exact_links(x, labels)
+    how = neardup_vectors.NearVectors(beside=0, descents=0, block=40)
+    for r in neardup_vectors.near_vectors(frame(spark, x, labels), how).collect():
+        assert (r["n_links"], r["component_id"]) == (links[r["vec_id"]], low[r["vec_id"]])
+
+
 def test_search_recall(spark, vectors):
     x, labels = vectors
     draw = np.random.default_rng(4)
