@@ -1,27 +1,34 @@
 """Secret scans: fixed patterns, and novelty under a dictionary-primed zstandard.
 
-Method: besides the spans of three fixed patterns, runs of key characters in a
-sensitive context are candidates. Identifiers that occur in the contexts of all
-candidates are counted; the most frequent prime a zstandard dictionary. What a
-candidate adds to the compressed size of its surrounding text, under that
-dictionary, is its novelty: names and paths that the corpus knows add little, a
-random string adds nearly its length. Candidates above a rate are reported.
+Method: besides the spans of three fixed patterns, runs of key characters with a
+sensitive word on either side are candidates; of NAME=value the value is measured
+and the name is context. Identifiers are counted over all documents; known are those
+met more often outside candidates than in them, and more than once. The most
+frequent prime a zstandard dictionary of fixed size, and each candidate has the
+known ones that it holds itself in front of its text, however rare. What a
+candidate adds to the compressed size of its surrounding text is its novelty: names
+and paths that the corpus knows add little, a random string adds nearly its length.
+Candidates above a rate are reported.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cvebeacon.llm import words
-from cvebeacon.llm.common import scratch
+from cvebeacon.llm.common import scratch, small
 
 #: The base patterns, the fewest characters, and the order of kinds.
 ASSIGN = re.compile(
@@ -32,11 +39,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Shorter values say too little about their rate.
+SHORTEST = 8
+_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 _MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.DOTALL)
 _SENSITIVE = re.compile(
     r"(?i:key|secret|token|passw|pwd|auth|credential|bearer|private|signature)", re.ASCII
 )
+_WORDS = ("key", "secret", "token", "passw", "pwd", "auth", "credential", "bearer", "private", "signature")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,39}")
 
 
@@ -59,18 +69,47 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
+def _values(run: str) -> Iterator[tuple[int, str]]:
+    """(offset, value) of what a run may hold: behind NAME=, pieces of a path without digits."""
+    body = run.rstrip("=")
+    at = body.find("=")
+    while 0 <= at < len(body) and body[at] == "=":
+        at += 1
+    at = max(at, 0)
+    value = run[at:]
+    if _MIXED.match(value):
+        yield at, value
+        return
+    for piece in value.split("/"):
+        yield at, piece
+        at += len(piece) + 1
+
+
 def candidates(text: str, spans: list[tuple[int, int, str]], how: Secrets) -> list[tuple]:
-    """(start, value, text before, text after) of runs in a sensitive context, outside spans."""
+    """(start, value, text before, text after) of values in a sensitive context, outside spans."""
+    low = text.lower()
+    if not any(w in low for w in _WORDS):
+        return []
+    words_at = [m.span() for m in _SENSITIVE.finditer(text)]
+    starts = [a for a, _ in words_at]
     found = []
     for m in _RUN.finditer(text):
-        if not _MIXED.match(m[0]):
-            continue
-        start, end = m.span()
-        if not _SENSITIVE.search(text, max(0, start - how.near), start):
+        # The first word that may be near; most runs have none.
+        k = bisect_left(starts, m.start() - how.near)
+        if k == len(starts) or starts[k] >= m.end() + how.near:
             continue
-        if any(a < end and start < b for a, b, _ in spans):
-            continue
-        found.append((start, m[0], text[max(0, start - how.around) : start], text[end : end + how.around]))
+        for offset, value in _values(m[0]):
+            start = m.start() + offset
+            end = start + len(value)
+            if len(value) < SHORTEST or any(a < end and start < b for a, b, _ in spans):
+                continue
+            # A name in the same run is context even if it is longer than ``near``.
+            first = min(m.start(), start - how.near)
+            for a, b in words_at[bisect_left(starts, first) : bisect_left(starts, end + how.near)]:
+                if b <= start or (a >= end and b <= end + how.near):
+                    before, after = text[max(0, start - how.around) : start], text[end : end + how.around]
+                    found.append((start, value, before, after))
+                    break
     return found
 
 
@@ -80,17 +119,41 @@ def _clean(text: str) -> str:
 
 _FOUND = pa.schema(
     [
+        ("row", pa.int64()),
         ("doc_id", pa.int64()),
         ("spans", pa.list_(pa.string())),
         ("starts", pa.list_(pa.int64())),
         ("values", pa.list_(pa.string())),
         ("before", pa.list_(pa.string())),
         ("after", pa.list_(pa.string())),
+        ("names", pa.list_(pa.string())),
+        ("outside", pa.list_(pa.int64())),
+        ("inside", pa.list_(pa.int64())),
     ]
 )
 
 
+def _count_names(text: str, found: list[tuple], outside: Counter, inside: Counter) -> None:
+    at = 0
+    for start, value, *_ in found:
+        outside.update(_NAME.findall(text[at:start]))
+        inside.update(_NAME.findall(value))
+        at = start + len(value)
+    outside.update(_NAME.findall(text[at:] if at else text))
+
+
+def _counts(outside: Counter, inside: Counter) -> pa.RecordBatch:
+    """A row of name counts; it is no document and has no row number."""
+    names = list(outside | inside)
+    values = [None, None, [], [], [], [], [], names, [outside[n] for n in names], [inside[n] for n in names]]
+    outside.clear(), inside.clear()
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _FOUND, strict=True)], schema=_FOUND)
+
+
 def _scan(batches: Iterator[pa.RecordBatch], how: Secrets) -> Iterator[pa.RecordBatch]:
+    """Spans and candidates of each document, and rows of name counts between them."""
+    row = TaskContext.get().partitionId() << 40
+    outside, inside = Counter(), Counter()
     for batch in batches:
         for part in words.slices(batch):
             columns: list[list] = [[] for _ in range(5)]
@@ -98,19 +161,27 @@ def _scan(batches: Iterator[pa.RecordBatch], how: Secrets) -> Iterator[pa.Record
                 text = text or ""
                 spans = base_spans(text)
                 more = candidates(text, spans, how)
+                _count_names(text, more, outside, inside)
                 columns[0].append([f"{k}:{a}:{b}" for a, b, k in spans])
                 columns[1].append([c[0] for c in more])
                 for at in (1, 2, 3):
                     columns[at + 1].append([_clean(c[at]) for c in more])
-            arrays = [part["doc_id"]]
-            arrays += [pa.array(c, f.type) for c, f in zip(columns, list(_FOUND)[1:], strict=True)]
+            arrays = [pa.array(row + np.arange(part.num_rows)), part["doc_id"]]
+            row += part.num_rows
+            columns += [[[]] * part.num_rows] * 3
+            arrays += [pa.array(c, f.type) for c, f in zip(columns, list(_FOUND)[2:], strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=_FOUND)
+            if len(outside) + len(inside) > words.MEMORY:
+                yield _counts(outside, inside)
+    yield _counts(outside, inside)
 
 
-def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _value_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [n for c in ("before", "after") for own in batch[c].to_pylist() for t in own for n in _NAME.findall(t)]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["name"])
+        pairs = [(v, n) for v in batch["value"].to_pylist() for n in set(_NAME.findall(v))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["value", "name"]
+        )
 
 
 def compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -128,25 +199,35 @@ def added_bytes(how: zstandard.ZstdCompressor, value: str, before: str, after: s
     return len(how.compress(whole)) - len(how.compress(rest))
 
 
-def _report(batches: Iterator[pa.RecordBatch], how: Secrets, dictionary: bytes) -> Iterator[pa.RecordBatch]:
+def _novel(batches: Iterator[pa.RecordBatch], how: Secrets, dictionary: bytes) -> Iterator[pa.RecordBatch]:
+    """Candidates that add enough, as row and span."""
     own = compressor(dictionary, how.level)
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            value = r["value"]
+            before = " ".join([*sorted(r["known"] or []), r["before"]])
+            if added_bytes(own, value, before, r["after"]) >= how.rate * len(value):
+                rows.append((r["row"], f"novel:{r['start']}:{r['start'] + len(value)}"))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())],
+            names=["row", "span"],
+        )
+
+
+def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
-            spans = [(int(a), KINDS.index(k), s) for s in row["spans"] for k, a, _ in [s.split(":")]]
-            counts = [sum(k == i for _, k, _ in spans) for i in range(3)]
-            base = ",".join(s for *_, s in spans)
-            parts = zip(row["starts"], row["values"], row["before"], row["after"], strict=True)
-            for start, value, before, after in parts:
-                if added_bytes(own, value, before, after) >= how.rate * len(value):
-                    spans.append((start, 3, f"novel:{start}:{start + len(value)}"))
-            spans.sort()
-            sha = hashlib.sha256(base.encode()).hexdigest()
-            rows.append((row["doc_id"], *counts, sha, ",".join(s for *_, s in spans)))
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2
+            base = row["spans"]
+            kinds = [s.split(":")[0] for s in base]
+            spans = [(int(a), KINDS.index(k), s) for s in [*base, *(row["novel"] or [])] for k, a, _ in [s.split(":")]]
+            sha = hashlib.sha256(",".join(base).encode()).hexdigest()
+            rows.append((row["doc_id"], *map(kinds.count, KINDS[:3]), sha, ",".join(s for *_, s in sorted(spans))))
+        types = [pa.int64()] * 4 + [pa.string()] * 2
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
             names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
         )
 
@@ -167,19 +248,33 @@ def scan(
         found = work.table(
             texts.mapInArrow(
                 lambda x: _scan(x, how),
-                "doc_id long, spans array<string>, starts array<long>, values array<string>, "
-                "before array<string>, after array<string>",
+                "row long, doc_id long, spans array<string>, starts array<long>, values array<string>, "
+                "before array<string>, after array<string>, names array<string>, outside array<long>, "
+                "inside array<long>",
             ),
             "found",
         )
-        names = found.where(F.size("values") > 0).select("before", "after").mapInArrow(_names, "name string")
-        known = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+        counts = found.where("row is null").selectExpr("inline(arrays_zip(names, outside, inside))")
+        counts = counts.groupBy(F.col("names").alias("name")).agg(
+            F.sum("outside").alias("n"), F.sum("inside").alias("inside")
+        )
+        known = work.table(counts.where("n > greatest(1, inside)").select("name", "n"), "known")
         # At least five bytes each: the rows fit the dictionary's fixed size.
-        known = known.orderBy(F.desc("n"), "name").limit(how.dictionary_bytes // 5).collect()
-        dictionary = "\n".join(r["name"] for r in known).encode()[: how.dictionary_bytes]
+        top = known.orderBy(F.desc("n"), "name").limit(how.dictionary_bytes // 5).collect()
+        dictionary = "\n".join(r["name"] for r in top).encode()[: how.dictionary_bytes]
         dictionary = b"\n".join(reversed(dictionary.split(b"\n")))
-        result = found.mapInArrow(
-            lambda x: _report(x, how, dictionary),
-            "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string",
+        docs_found = found.where("row is not null")
+        zipped = "inline(arrays_zip(starts, values, before, after))"
+        each = docs_found.where(F.size("values") > 0).selectExpr("row", zipped)
+        each = work.table(each.toDF("row", "start", "value", "before", "after"), "candidates")
+        held = each.select("value").distinct().mapInArrow(_value_names, "value string, name string")
+        held = held.join(known.select("name"), "name").groupBy("value").agg(F.collect_list("name").alias("known"))
+        each = each.join(small(work.table(held, "held"), 100_000), "value", "left")
+        novel = each.select("row", "start", "value", "before", "after", "known").mapInArrow(
+            lambda x: _novel(x, how, dictionary), "row long, span string"
+        )
+        novel = work.table(novel.groupBy("row").agg(F.collect_list("span").alias("novel")), "novel")
+        result = docs_found.select("row", "doc_id", "spans").join(small(novel, 100_000), "row", "left").mapInArrow(
+            _report, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
         )
         return work.table(result, "result", keep=True)

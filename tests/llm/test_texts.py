@@ -186,6 +186,21 @@ def test_secrets(spark, odd, none):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(none).count() == 0
 
 
+def test_secrets_in_any_place(spark):
+    """Values behind their own name, short, without digits, or before their context."""
+    values = ["Xk39vQ2mZr8LtY7wPn4s", "wJalrXUtnFEMIzK7MDENGzbPxRfiCY", "qW3xZ9pLk", "zXqLwRtYuIoPaSdFgHjKlmNbVc", "Hj4Kd82nXcQw5RtY9uLp"]
+    texts = [
+        f"DB_PWD={values[0]}", f"export AWS_SECRET_ACCESS_KEY={values[1]}", f"the pwd is {values[2]}",
+        f"private key {values[3]}", f"{values[4]} is the credential", "the key is shared_buffer_offset42",
+        *["call shared_buffer_offset42 here"] * 9,
+    ]
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs_frame(spark, texts)).collect()}
+    for i, v in enumerate(values):
+        start = texts[i].index(v)
+        assert f"novel:{start}:{start + len(v)}" in found[i].split(",")
+    assert not any(found[i] for i in range(5, len(texts)))
+
+
 def test_minhash_against_brute_force(spark, odd, none):
     texts = corpus(3, 80)
     rows = minhash.near_duplicates(docs_frame(spark, texts), minhash.MinHash(words=2)).collect()
