@@ -1,10 +1,11 @@
 """Toxicity: words restored through a noisy channel, then scored.
 
 Method: letters may have been replaced (4 for a, $ for s), spread out by spaces or
-signs, or repeated. A suspicious word becomes a lattice of what each character may
-stand for; Viterbi finds the likeliest letters under a character trigram model
-counted over all documents. Restored words have log-odds of the label from
-training rows; a document's totals go through a small calibrated network.
+signs, or repeated. Every word with a sign that may stand for a letter, or with a
+repeat, becomes a lattice of what each character may stand for, of any length;
+Viterbi finds the likeliest letters under a character trigram model counted over all
+documents. Spread text has word breaks in its lattice too. Words count as written and
+as restored. They have log-odds of the label from training rows; a document's totals go through a small calibrated network.
 """
 
 from __future__ import annotations
@@ -69,79 +70,102 @@ def character_model(texts: DataFrame) -> np.ndarray:
     return np.log(table / table.sum(axis=2, keepdims=True))
 
 
-def decode(word: str, model: np.ndarray, swap: float = 1.5, drop: float = 3.0, again: float = 0.7) -> str:
-    """The likeliest lower-case letters behind a word.
+def decode(
+    word: str, model: np.ndarray, swap: float = 1.5, drop: float = 3.0, again: float = 0.7, breaks: bool = False
+) -> str:
+    """The likeliest lower-case letters behind a word, with ``breaks`` words with spaces between.
 
     States are the last two letters. A letter stands for itself, a sign for its
     letters at cost ``swap``; signs may be noise at cost ``drop``; a repeat of the
-    last letter may be spurious at cost ``again``.
+    last letter may be spurious at cost ``again``. Letters outside a-z stay. Each
+    step keeps where its states came from, so time grows with the length only.
     """
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    cost = _lists(model)
+    best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    steps: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
     previous = ""
     for char in word.lower():
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-
-        def offer(state, score, text, after=after):
-            if state not in after or score > after[state][0]:
-                after[state] = (score, text)
-
-        own = [char] if "a" <= char <= "z" else []
-        other = STANDS_FOR.get(char, "")
-        for (x, y), (score, text) in best.items():
-            for letter in own:
-                z = ord(letter) - 96
-                offer((y, z), score + model[x, y, z], text + letter)
-            for letter in other:
-                z = ord(letter) - 96
-                offer((y, z), score + model[x, y, z] - swap, text + letter)
+        after: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        foreign = char.isalpha() and not "a" <= char <= "z"
+        own = [(char, 0 if foreign else ord(char) - 96, 0.0)] if char.isalpha() else []
+        options = own + [(letter, ord(letter) - 96, swap) for letter in STANDS_FOR.get(char, "")]
+        for (x, y), score in best.items():
+            offers = [((y, z), score + cost[x][y][z] - price, letter) for letter, z, price in options]
+            if breaks and y:
+                ended = score + cost[x][y][0]
+                offers += [((0, z), ended + cost[y][0][z] - price, " " + letter) for letter, z, price in options]
             if not own:
-                offer((x, y), score - drop, text)
-            if char == previous and y:
-                offer((x, y), score - again, text)
+                offers.append(((x, y), score - drop, ""))
+            if char == previous and (y or foreign):
+                offers.append(((x, y), score - again, ""))
+            for state, value, letter in offers:
+                if state not in after or value > after[state]:
+                    after[state], came[state] = value, ((x, y), letter)
+        steps.append(came)
         best, previous = after, char
-    ended = ((score + model[x, y, 0], text) for (x, y), (score, text) in best.items())
-    return max(ended, default=(0.0, ""))[1]
+    state = max(best, key=lambda at: (best[at] + cost[at[0]][at[1]][0], at))
+    letters = []
+    for came in reversed(steps):
+        state, letter = came[state]
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
-_SPREAD = re.compile(r"(?<!\S)(?:[A-Za-z0-9@$!|+][ .*_-]+){2,}[A-Za-z0-9@$!|+](?![A-Za-z0-9])")
+_LISTS: dict[int, tuple[np.ndarray, list]] = {}
+
+
+def _lists(model: np.ndarray) -> list:
+    """The model as lists, which Python reads faster than an array; the last one is kept."""
+    if id(model) not in _LISTS or _LISTS[id(model)][0] is not model:
+        _LISTS.clear()
+        _LISTS[id(model)] = (model, model.tolist())
+    return _LISTS[id(model)][1]
+
+
+_SPREAD = re.compile(r"(?<!\S)(?:[A-Za-z0-9@$!|+(€][ .*_-]+){2,}[A-Za-z0-9@$!|+(€](?![A-Za-z0-9])")
 _REPEAT = re.compile(r"([a-z])\1\1")
+_AGAIN = re.compile(r"(.)\1")
 _EDGE = ".,;:!?\"'()[]{}<>*%&#~^_-=|/\\«»¿¡…"
+_EDGE_NOISE = "".join(c for c in _EDGE if c not in STANDS_FOR)
 
 
 class _Restored(dict):
-    """Restored word by written word; memory is bounded."""
+    """The word as written and, if it differs, as restored, by written word; memory is bounded."""
 
     def __init__(self, model: np.ndarray):
         self.model = model
 
-    def __missing__(self, word: str) -> tuple[str, bool]:
+    def __missing__(self, word: str) -> tuple[list[str], bool]:
         if len(self) >= words.MEMORY:
             self.clear()
         bare = word.strip(_EDGE).lower()
-        odd = False
-        if bare.isascii() and len(bare) <= 40:
-            letters = sum("a" <= c <= "z" for c in bare)
-            swapped = letters < len(bare) and letters * 2 >= len(bare) and letters > 0
-            trailing = word.rstrip(_EDGE.replace("!", "")).lower()
-            if swapped or _REPEAT.search(bare):
-                odd = True
-                bare = decode(trailing if trailing[:1].isalnum() or trailing[:1] in "@$!" else bare, self.model) or bare
-        value = self[word] = (bare, odd)
+        whole = word.strip(_EDGE_NOISE).lower()
+        signs = any(c in STANDS_FOR for c in whole)
+        found = [bare]
+        # Signs at an edge may be letters or punctuation: both readings count.
+        for own in {bare, whole} if signs or _AGAIN.search(bare) else ():
+            restored_word = decode(own, self.model)
+            if restored_word and restored_word not in found:
+                found.append(restored_word)
+        swapped = any("a" <= c <= "z" for c in bare) and any(c in STANDS_FOR for c in bare)
+        value = self[word] = (found, swapped or bool(_REPEAT.search(bare)))
         return value
 
 
 def restored(text: str | None, known: _Restored) -> tuple[list[str], int]:
-    """Restored words of a text and how many were distorted."""
+    """Words of a text as written and restored, and how many were distorted."""
     if not text:
         return [], 0
     odd = 0
     extra = []
     for m in _SPREAD.finditer(text):
         joined = re.sub(r"[ .*_-]+", "", m[0])
-        extra.append(decode(joined, known.model) if len(joined) <= 40 else joined.lower())
+        whole = decode(joined, known.model)
+        extra += [whole, *(w for w in decode(joined, known.model, breaks=True).split() if w != whole)]
         odd += 1
     found = [known[w] for w in text.split()]
-    return [w for w, _ in found] + extra, odd + sum(o for _, o in found)
+    return [w for own, _ in found for w in own] + extra, odd + sum(o for _, o in found)
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -260,3 +260,39 @@ def test_restored_words():
     known = toxicity._Restored(model)
     assert "idiot" in toxicity.restored("so i d i o t here", known)[0]
     assert toxicity.restored(None, known) == ([], 0)
+
+
+def test_restored_in_any_form():
+    """Heavily distorted, doubled, spread, long and foreign words, as texts hold them."""
+    model = np.log(np.full((27, 27, 27), 1e-4))
+    for word in ("idiot", "moron", "loser", "asshole", "a"):
+        code = [0, 0, *(ord(c) - 96 for c in word), 0]
+        for x, y, z in zip(code, code[1:], code[2:], strict=False):
+            model[x, y, z] = np.log(0.5)
+        model[code[-2], 0, 1:] = np.log(0.03)
+    known = toxicity._Restored(model)
+    for written, word in [
+        ("1d10t", "idiot"), ("1d1111ot", "idiot"), ("id1000t", "idiot"), ("iddiot", "idiot"), ("l0$3r", "loser"),
+        ("4$$h0l3", "asshole"), ("(!d!ot)", "idiot"), ("asshole", "asshole"), ("i" * 50 + "diot", "idiot"),
+        ("a i d i o t", "idiot"), ("m o r o n i d i o t", "moron"), ("m o r o n i d i o t", "idiot"),
+        (" ".join("moronidiot" * 9), "moron"), ("café3", "café"),
+    ]:
+        assert word in toxicity.restored(f"so {written} here", known)[0], written
+
+
+def test_distorted_words_are_scored(spark):
+    """Only plain words are labelled; distorted ones must be found by the operator."""
+    draw = random.Random(8)
+    plain = "the river runs past a stone while people walk along a quiet water under old trees".split()
+    texts, labels = [], []
+    for i in range(300):
+        own = [draw.choice(plain) for _ in range(draw.randint(8, 24))]
+        if i % 2:
+            own[5] = "idiot"
+        texts.append(" ".join(own))
+        labels.append((i, 0, i % 2))
+    forms = ["1d1111ot", "id1000t", "iddiot", "1d10t", "a i d i o t"]
+    texts += [" ".join([*plain[:5], f, *plain[5:9]]) for f in forms] + [" ".join(plain[:10])]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(docs_frame(spark, texts), marks).collect()}
+    assert [rows[300 + k] for k in range(len(forms))] == [1] * len(forms) and rows[300 + len(forms)] == 0
