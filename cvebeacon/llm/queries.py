@@ -15,9 +15,11 @@ from cvebeacon.llm import (
     neardup_vectors,
     packing,
     quality,
+    rules,
     secrets,
     sharding,
     toxicity,
+    whitening,
 )
 from cvebeacon.llm.registry import ORACLES, QUERIES, query, table
 
@@ -178,3 +180,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     )
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their eight largest components, scaled to unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_quality_rules")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the base rules and the learned decision list."""
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
