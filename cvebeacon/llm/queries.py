@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cvebeacon.llm import (
+    conversation_trie,
     learned_search,
     lines,
     minhash,
@@ -192,3 +193,50 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under the base rules and the learned decision list."""
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, md5(length(r)::VARCHAR || ':' || r || x) AS id,
+    len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(length(r)::VARCHAR || ':' || r || x)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x
+        FROM conversations WHERE conv_id IS NOT NULL)),
+h AS (
+  SELECT c, xor(list_reduce(
+      list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''),
+        lambda s: [ascii(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b)
+        ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END) END),
+    4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+r AS (
+  SELECT h.c, 0 AS k, pos, id, words FROM h JOIN t ON t.c = h.c - h.c % 20 AND pos <= h
+  UNION ALL SELECT h.c, 1, pos, id, words FROM h JOIN t ON t.c = h.c AND pos > h),
+p AS (
+  SELECT h.c, coalesce(list(id ORDER BY k, pos) FILTER (WHERE id IS NOT NULL), []) AS ids,
+    coalesce(list(words ORDER BY k, pos) FILTER (WHERE id IS NOT NULL), []) AS ws
+  FROM h LEFT JOIN r ON r.c = h.c GROUP BY h.c),
+n AS (
+  SELECT key, d, min(c) AS conv_id, count(*) AS n, any_value(w) AS w,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = size), '')) AS ends
+  FROM (SELECT c, d, ids[1:d] AS key, coalesce(ws[d], 0) AS w, len(ids) AS size
+        FROM (SELECT *, unnest(generate_series(0, len(ids))) AS d FROM p))
+  GROUP BY key, d),
+k AS (
+  SELECT n.*, q.conv_id AS parent, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND x.key[1:n.d] = n.key) AS children
+  FROM n LEFT JOIN n q ON q.d = n.d - 1 AND q.key = n.key[1:n.d - 1]),
+s AS (
+  SELECT key[1:a] AS key, a AS d, sum((children = 0)::INT) AS leaves, sum((n - 1) * w) AS saved
+  FROM (SELECT *, unnest(generate_series(0, d)) AS a FROM k) GROUP BY 1, 2)
+SELECT k.conv_id, k.d AS depth, k.parent AS parent_conv_id, k.n AS n_convs, k.children AS n_children,
+  s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, k.ends AS ends_sha256
+FROM k JOIN s ON s.d = k.d AND s.key = k.key
+"""
+
+
+@query("op11_conversation_trie", _TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
