@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cvebeacon.operators.skew import lookup_join
@@ -174,11 +174,12 @@ def _either(first: Column, second: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), second)
 
 
-def cvss_details(nvd: DataFrame) -> DataFrame:
-    """Flat severity columns, one row per id, from nested records.
+def cvss_versions(nvd: DataFrame) -> DataFrame:
+    """Flat severity columns with ``modified``, one row per record.
 
     The first metric block present wins and its first element counts; version-2
-    names stand in where the newer field is missing or empty.
+    names stand in where the newer field is missing or empty. A record without
+    a readable time has a NULL ``modified`` and is older than all others.
     """
     blocks = [(F.get(F.col(f"cve.metrics.{name}"), F.lit(0)), label) for name, label in CVSS_BLOCKS]
     present = [(F.col(f"cve.metrics.{name}").isNotNull(), label) for name, label in CVSS_BLOCKS]
@@ -193,11 +194,13 @@ def cvss_details(nvd: DataFrame) -> DataFrame:
     english = F.get(F.filter("cve.descriptions", lambda d: d["lang"] == "en"), F.lit(0))
     flat = nvd.select(
         F.col("cve.id").alias("id"),
+        F.col("cve.lastModified").try_cast("timestamp").alias("modified"),
         english["value"].alias("description"),
         version.alias("cvss_version"),
         chosen.alias("m"),
     ).select(
         F.col("id").alias("cve"),
+        "modified",
         "description",
         "cvss_version",
         F.col("m.baseScore").alias("cvss_score"),
@@ -214,9 +217,18 @@ def cvss_details(nvd: DataFrame) -> DataFrame:
         F.col("m.integrityImpact").alias("integrity_impact"),
         F.col("m.availabilityImpact").alias("availability_impact"),
     )
-    # A feed may repeat an id after an update; min over the row keeps one, repeatably.
-    row = F.struct(*[c for c in flat.columns if c != "cve"])
-    return flat.groupBy("cve").agg(F.min(row).alias("r")).select("cve", "r.*")
+    return flat
+
+
+def cvss_details(nvd: DataFrame) -> DataFrame:
+    """The newest version of each id: one row per id, combined before the shuffle.
+
+    Of versions modified at the same time the greatest row counts.
+    """
+    versions = cvss_versions(nvd)
+    rest = [c for c in versions.columns if c != "cve"]
+    newest = versions.groupBy("cve").agg(F.max(F.struct(*rest)).alias("r"))
+    return newest.select("cve", *[F.col(f"r.{c}") for c in rest if c != "modified"])
 
 
 def attach_cvss(obs: DataFrame, nvd: DataFrame) -> DataFrame:
@@ -225,6 +237,37 @@ def attach_cvss(obs: DataFrame, nvd: DataFrame) -> DataFrame:
     return lookup_join(obs, cvss_details(nvd).select("cve", *CVSS_COLUMNS), ["cve"])
 
 
+def attach_cvss_asof(obs: DataFrame, nvd: DataFrame) -> DataFrame:
+    """Left lookup of the version that was valid at the end of the post's day.
+
+    A version is valid from its ``modified`` until the next one of its id. Days
+    before the first version, unknown ids and bad dates get NULLs; a version
+    without a time is valid from the beginning. Wanted keys are distinct before
+    they meet the versions, so the window sees one row per id and day.
+    """
+    _require(obs, ["cve", "date"])
+    dated = with_day(obs)
+    versions = cvss_versions(nvd)
+    row = F.struct(*CVSS_COLUMNS)
+    # Several versions of one day: the last of the day stands.
+    by_day = versions.groupBy("cve", F.coalesce(F.to_date("modified"), F.lit("0001-01-01").cast("date")).alias("__day")).agg(
+        F.max_by(row, F.struct("modified", row)).alias("version"), F.lit(0).cast("long").alias("asked_rows")
+    )
+    asked = dated.groupBy("cve", "__day").agg(
+        F.lit(None).cast(by_day.schema["version"].dataType).alias("version"), F.count(F.lit(1)).alias("asked_rows")
+    )
+    both = by_day.unionByName(asked).groupBy("cve", "__day").agg(
+        F.first("version", ignorenulls=True).alias("version"), F.sum("asked_rows").alias("asked_rows")
+    )
+    until = Window.partitionBy("cve").orderBy("__day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    current = F.when(
+        F.col("__day").isNotNull() & F.col("cve").isNotNull(), F.last("version", ignorenulls=True).over(until)
+    )
+    resolved = both.withColumn("version", current).filter("asked_rows > 0")
+    found = materialize(resolved.select("cve", "__day", "asked_rows", "version.*"), "versions")
+    return _lookup(dated, found)
+
+
 def with_usable(df: DataFrame) -> DataFrame:
     """``usable``: every field a model needs is known."""
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in REQUIRED_FOR_USABLE])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from cvebeacon.functions.text import null_to_empty
 from cvebeacon.functions.time import iso_date
 from cvebeacon.operators.enrich import one_score_per_day
 from cvebeacon.operators.skew import lookup_join
+from cvebeacon.operators.vector_store import VectorStore
 from cvebeacon.operators.vectors import get_encoder, zero_vector
 from cvebeacon.schemas import CVSS_CATEGORICALS
 
@@ -45,6 +47,8 @@ class FeatureConfig:
     encoder: str = "hashing"
     vector_size: int = 768
     all_sources: tuple[str, ...] = field(default=SOURCES)
+    # Folder of a vector store; without it every call encodes its rows.
+    store: str | None = None
 
     @property
     def per_source_blocks(self) -> bool:
@@ -101,22 +105,32 @@ def cvss_one_hot(
     return df.withColumns(columns), list(columns)
 
 
+def _encoded(df: DataFrame, column: str, wanted: Column, config: FeatureConfig) -> DataFrame:
+    """Add ``__vector`` for the wanted rows; the others get zeros and meet no encoder."""
+    zeros = zero_vector(config.vector_size)
+    if config.store is not None:
+        store = VectorStore(config.store, config.encoder)
+        found = store.attach(df, column, "__vector", wanted)
+        return found.withColumn("__vector", F.coalesce("__vector", zeros))
+    filled = df.withColumn("__text", null_to_empty(F.col(column)))
+    encoded = get_encoder(config.encoder)(filled.filter(wanted), "__text", "__vector")
+    rest = filled.filter(~wanted).withColumn("__vector", zeros)
+    return encoded.unionByName(rest).drop("__text") if config.per_source_blocks else encoded.drop("__text")
+
+
 def text_blocks(df: DataFrame, column: str, prefix: str, config: FeatureConfig) -> tuple[DataFrame, list[str]]:
     """One vector for everything, or one block per enabled source.
 
     Rows outside an enabled source keep zeros in its block; no row is removed.
     """
-    encode = get_encoder(config.encoder)
-    filled = df.withColumn("__text", null_to_empty(F.col(column)))
-    encoded = encode(filled, "__text", "__vector")
     if not config.per_source_blocks:
-        return encoded.withColumnRenamed("__vector", f"{prefix}_all").drop("__text"), [f"{prefix}_all"]
+        encoded = _encoded(df, column, F.lit(True), config)
+        return encoded.withColumnRenamed("__vector", f"{prefix}_all"), [f"{prefix}_all"]
     zeros = zero_vector(config.vector_size)
-    blocks = {
-        f"{prefix}_{n}": F.when(mentions_source(F.col("source"), n), F.col("__vector")).otherwise(zeros)
-        for n in config.sources
-    }
-    return encoded.withColumns(blocks).drop("__text", "__vector"), list(blocks)
+    of_source = {n: mentions_source(F.col("source"), n) for n in config.sources}
+    encoded = _encoded(df, column, reduce(lambda a, b: a | b, of_source.values()), config)
+    blocks = {f"{prefix}_{n}": F.when(c, F.col("__vector")).otherwise(zeros) for n, c in of_source.items()}
+    return encoded.withColumns(blocks).drop("__vector"), list(blocks)
 
 
 def assemble_features(

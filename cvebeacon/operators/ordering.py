@@ -150,3 +150,33 @@ def running_totals(
             f"running_{c}", F.col(f"__before_{c}") + F.sum(c).over(inside)
         )
     return placed.drop("__bucket", "__value", *[f"__before_{c}" for c in sums])
+
+
+def running_totals_by(
+    df: DataFrame, group: str, order: str, sums: list[str], descending: bool = False
+) -> DataFrame:
+    """``running_<c>`` and ``total_<c>`` within each group, groups of any size.
+
+    One row per (group, order) value. Ranges of (group, order) are the pieces of
+    a group; each piece is summed in order and starts from the totals of the
+    pieces before it.
+    """
+    direction = F.desc(order) if descending else F.asc(order)
+    ranged = df.select(group, order, *sums).repartitionByRange(F.col(group), direction)
+    pieces = materialize(ranged.withColumn("__piece", F.spark_partition_id()), "pieces")
+    per_piece = pieces.groupBy(group, "__piece").agg(*[F.sum(c).alias(c) for c in sums])
+    whole = Window.partitionBy(group)
+    before = whole.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_piece.select(
+        group,
+        "__piece",
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before_{c}") for c in sums],
+        *[F.sum(c).over(whole).alias(f"total_{c}") for c in sums],
+    )
+    inside = Window.partitionBy(group, "__piece").orderBy(direction).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    placed = pieces.join(offsets, [group, "__piece"])
+    for c in sums:
+        placed = placed.withColumn(f"running_{c}", F.col(f"__before_{c}") + F.sum(c).over(inside))
+    return placed.drop("__piece", *[f"__before_{c}" for c in sums])

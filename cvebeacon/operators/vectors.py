@@ -137,6 +137,23 @@ def hashing_encoder(size: int = 768) -> Encoder:
     return encode
 
 
+def digest_encoder(size: int) -> Encoder:
+    """Unit-length token counts by the first byte of the token's MD5; any engine can repeat it."""
+
+    def encode(df: DataFrame, text: str, out: str) -> DataFrame:
+        def place(token: Column) -> Column:
+            return F.conv(F.substring(F.md5(token), 1, 2), 16, 10).cast("int") % size
+
+        places = F.transform(whitespace_tokens(F.lower(F.col(text))), place)
+        numbers = F.sequence(F.lit(0), F.lit(size - 1))
+        placed = df.withColumn("__places", places)
+        counts = F.transform(numbers, lambda k: F.size(F.filter("__places", lambda p: p == k)).cast("double"))
+        counted = placed.withColumn("__counts", as_vector(counts))
+        return l2_normalize(counted, "__counts", out).drop("__places", "__counts")
+
+    return encode
+
+
 def hybrid_encoder(short: Encoder, long: Encoder, limit: int) -> Encoder:
     """Short texts through one encoder, long texts through another, by token count."""
 
@@ -178,6 +195,7 @@ def chunked_encoder(encoder: Encoder, max_length: int, size: int, key: str) -> E
 
 
 register_encoder("hashing", hashing_encoder())
+register_encoder("digest", digest_encoder(8))
 register_encoder("hybrid", hybrid_encoder(hashing_encoder(), hashing_encoder(), 382))
 
 

@@ -110,6 +110,20 @@ def cvss_attach(spark, sf_dir):
     return E.attach_cvss(obs, V.nvd_records(spark, sf_dir))
 
 
+@query(
+    "cvss_asof",
+    V.with_views(
+        "obs versions",
+        f""", spans as (select *, lead(modified) over (partition by cve order by modified) as until from versions)
+select o_orderkey, o.cve, o.date, {_CVSS} from obs o left join spans c
+on c.cve = o.cve and o.d >= c.modified and (c.until is null or o.d < c.until)""",
+    ),
+)
+def cvss_asof(spark, sf_dir):
+    obs = V.observations(spark, sf_dir).select("o_orderkey", "cve", "date")
+    return E.attach_cvss_asof(obs, V.nvd_records(spark, sf_dir))
+
+
 def enriched(spark, sf_dir):
     return E.enrich(
         V.observations(spark, sf_dir), V.epss_history(spark, sf_dir), V.nvd_records(spark, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from cvebeacon.operators import experiments as X
 from cvebeacon.operators import features as Fe
 from cvebeacon.operators import training as T
 from cvebeacon.operators import vectors as Ve
@@ -76,17 +77,19 @@ def high_low(spark, sf_dir):
 _OBS_ORDER = "md5(concat_ws(':', o_orderkey, '{}')), o_orderkey"
 
 
-@query(
-    "split_rows",
-    V.with_views(
-        "obs epss scored",
-        f""", a as (select o_orderkey, epss_status, count(*) over (partition by epss_status = 'original') as n,
-  row_number() over (partition by epss_status = 'original' order by {_OBS_ORDER.format(42)}) - 1 as i from scored
+# Test rows from those with an original score, then validation rows from the rest.
+SPLIT_SQL = f"""a as (select o_orderkey, epss_status, count(*) over (partition by epss_status = 'original') as n,
+  row_number() over (partition by epss_status = 'original' order by {_OBS_ORDER.format(42)}) - 1 as i from {{rows}}
   where epss_score is not null),
 b as (select *, epss_status = 'original' and i < ceil(0.2::double * n) as t from a),
-c as (select *, count(*) over (partition by t) as m, row_number() over (partition by t order by {_OBS_ORDER.format(43)}) - 1 as j from b)
-select o_orderkey, epss_status, case when t then 'test' when j < ceil(0.1::double * m) then 'validation' else 'train' end as split from c""",
-    ),
+c as (select *, count(*) over (partition by t) as m, row_number() over (partition by t order by {_OBS_ORDER.format(43)}) - 1 as j from b),
+split_rows as (select o_orderkey, epss_status,
+  case when t then 'test' when j < ceil(0.1::double * m) then 'validation' else 'train' end as split from c)"""
+
+
+@query(
+    "split_rows",
+    V.with_views("obs epss scored", ", " + SPLIT_SQL.format(rows="scored") + " select * from split_rows"),
 )
 def split_rows(spark, sf_dir):
     scored = T.drop_unscored(
@@ -304,28 +307,132 @@ def flatten_vector(spark, sf_dir):
 # ---- the feature vector ----------------------------------------------------
 
 _PLAIN = Fe.FeatureConfig(text=False, description=False)
+_DIGEST_SIZE = 8
+
+
+def full_config(spark) -> Fe.FeatureConfig:
+    """Every block on; texts by an encoder that SQL can repeat, through a vector store."""
+    return Fe.FeatureConfig(encoder="digest", vector_size=_DIGEST_SIZE, store=shared_folder(spark, "vectors"))
+
+
+def _digest_sql(text: str) -> str:
+    """The digest encoder: unit-length counts of tokens by the first byte of their MD5."""
+    tokens = f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[\\s\\p{{Z}}]+'), lambda t: t <> '')"
+    places = f"list_transform({tokens}, lambda t: ('0x' || substr(md5(t), 1, 2))::int % {_DIGEST_SIZE})"
+    counts = f"list_transform(range(0, {_DIGEST_SIZE}), lambda k: len(list_filter({places}, lambda p: p = k))::double)"
+    return (
+        f"(select list_transform(c, lambda v: case when n = 0 then 0 else v / n end) from (select c, "
+        f"sqrt(list_sum(list_transform(c, lambda v: v * v))) as n from (select {counts} as c)))"
+    )
+
+
+def _full_sql(base: str) -> str:
+    """Rows of ``base`` with x: text, description, score and category features."""
+    pairs = " union all ".join(
+        f"select {i + 1} as c, coalesce({c}, 'NONE') as v from {base}" for i, c in enumerate(CVSS_CATEGORICALS)
+    )
+    cats = "[" + ", ".join(f"coalesce({c}, 'NONE')" for c in CVSS_CATEGORICALS) + "]"
+    return f"""vectors as (select t, {_digest_sql("t")} as v from (
+  select distinct text as t from {base} union select distinct description from {base})),
+names as (select list({{'c': c, 'v': v}} order by c, v) as ns from (select distinct c, v from ({pairs}))),
+full_rows as (select o_orderkey, source, epss_score, epss_status,
+    list_concat(a.v, b.v, [coalesce(cvss_score, 0) / 10], list_transform(ns, lambda n: ({cats}[n.c] = n.v)::int::double)) as x
+  from {base} join names on true join vectors a on a.t is not distinct from text
+  join vectors b on b.t is not distinct from description)"""
 
 
 @query(
     "assemble_features",
     V.with_views(
         "obs epss scored cvss",
-        ", " + ENRICHED_SQL + ", names as (select distinct c, v from (" + " union all ".join(
-            f"select {i} as c, coalesce({c}, 'NONE') as v from enriched" for i, c in enumerate(CVSS_CATEGORICALS)
-        ) + ")), rows_ as (select o_orderkey, round(coalesce(cvss_score, 0) / 10, 6)::varchar as score, "
-        + "[" + ", ".join(f"coalesce({c}, 'NONE')" for c in CVSS_CATEGORICALS) + "] as cats, "
-        + "concat_ws(',', " + ", ".join(f"contains(source, '{s}')::int::double" for s in Fe.SOURCES) + ") as src from enriched)"
-        + " select o_orderkey, score || ',' || string_agg((cats[c + 1] = v)::int::double::varchar, ',' order by c, v) || ',' || src"
-        " as features from rows_, names group by o_orderkey, score, src",
+        ", " + ENRICHED_SQL + ", " + _full_sql("enriched") + " select o_orderkey, array_to_string(list_transform(list_concat(x, ["
+        + ", ".join(f"contains(source, '{s}')::int::double" for s in Fe.SOURCES)
+        + "]), lambda v: round(v, 6)::varchar), ',') as features from full_rows",
     ),
 )
 def assemble_features(spark, sf_dir):
-    rows = enriched(spark, sf_dir)
-    vectors = Fe.assemble_features(rows, _PLAIN)
+    """Text, description, score, categories and sources; texts are encoded once and stored."""
+    rows = materialize(enriched(spark, sf_dir), "enriched")
+    vectors = Fe.assemble_features(rows, full_config(spark))
     values = F.transform(vector_to_array("features"), lambda x: F.round(x, 6).cast("string"))
     return vectors.select("o_orderkey", F.array_join(values, ",").alias("features"))
 
 
+_CLIPPED = "greatest(least({0}, 1 - 1e-6), 1e-6)"
+_LOGIT = f"ln({_CLIPPED} / (1 - {_CLIPPED}))"
+_ON = "({0}.bit = 0 or (g.mask & {0}.bit) <> 0)"
+_RUNS_SQL = f""", known as (select * from enriched where epss_score is not null), {_full_sql("known")},
+{SPLIT_SQL.format(rows="known")},
+src as (select unnest([{", ".join(f"'{s}'" for s in Fe.SOURCES)}]) as s, unnest(range(0, {len(Fe.SOURCES)})) as b),
+r as (select o_orderkey, split, epss_score, x, {_LOGIT.format("epss_score")} as y, 1 + (epss_score >= 0.02)::int as w,
+    {" + ".join(f"contains(lower(source), '{s}')::int * {1 << i}" for i, s in enumerate(Fe.SOURCES))} as mask
+  from full_rows join split_rows using (o_orderkey) where split <> 'validation'),
+size as (select max(len(x)) as n from r),
+place as (select unnest(generate_series(1, n + 2)) as i from size),
+g as (select mask, i.i, j.i as j, sum(w * z[i.i] * z[j.i]) as v
+  from (select mask, w, list_concat(x, [1.0, y]) as z from r where split = 'train'), place i, place j group by all),
+runs as (select 'all_sources' as run, b from src
+  union all select 'leave_out_' || a.s, o.b from src a join src o on a.b <> o.b union all select 'only_' || s, b from src),
+parted as (
+  select distinct run, t as part, case when c = {len(Fe.SOURCES)} then 0 else b end as b, t * {_DIGEST_SIZE} + k as i,
+    case when c = {len(Fe.SOURCES)} then 0 else 1 << b end as bit
+  from (select *, count(*) over (partition by run) as c from runs), (select unnest([0, 1]) as t),
+    (select unnest(generate_series(1, {_DIGEST_SIZE})) as k)
+  union all select distinct run, 2, 0, i, 0 from runs, place, size where i > {2 * _DIGEST_SIZE} and i <= n
+  union all select run, 3, b, n + 1, 1 << b from runs, size
+  union all select distinct run, 4, 0, n + 1, 0 from runs, size),
+cols as (select run, i, bit, row_number() over (partition by run order by part, b, i) as k,
+  count(*) over (partition by run) as m from parted),
+normal as (
+  select a.run, a.k, b.k as l, sum(case when {_ON.format("a")} and {_ON.format("b")} then v else 0 end)
+    + case when a.k = b.k and a.k < any_value(a.m) then 1e-4 * (select sum(v) from g, size where i = n + 1 and j = n + 1) else 0 end as v
+  from cols a join cols b using (run) join g on g.i = a.i and g.j = b.i group by a.run, a.k, b.k
+  union all
+  select a.run, a.k, a.m + 1, sum(case when {_ON.format("a")} then v else 0 end)
+  from cols a, size join g on g.j = n + 2 where g.i = a.i group by a.run, a.k, a.m),
+solve(run, k, m) as (
+  select run, 1, list(line order by k) from (select run, k, list(v order by l) as line from normal group by run, k) group by run
+  union all
+  select run, k + 1, list_transform(m, lambda line, i: case when i = k then p
+      else list_transform(line, lambda v, j: v - line[k] * p[j]) end)
+  from (select run, k, m, list_transform(m[k], lambda v: v / m[k][k]) as p from solve where k <= len(m))),
+beta as (select run, generate_subscripts(m, 1) as k, unnest(list_transform(m, lambda line: line[len(m) + 1])) as c
+  from solve where k = len(m) + 1),
+weights as (
+  select run, mask, list(c order by i) as c from (
+    select run, g.mask, i, sum(case when {_ON.format("cols")} then c else 0 end) as c
+    from cols join beta using (run, k), (select distinct mask from r) g group by run, g.mask, i)
+  group by run, mask),
+pred as (
+  select run, o_orderkey, epss_score as actual,
+    round(greatest(0, least(1, 1 / (1 + exp(-list_dot_product(list_concat(x, [1.0::double]), c))))), 9) as predicted
+  from r join weights using (mask) where split = 'test'),
+batches as (select *, (row_number() over (partition by run order by md5(concat_ws(':', o_orderkey, '42')), o_orderkey) - 1) // 128 as batch from pred),
+losses as (select run, avg(l) as test_loss, sum(n) as test_rows from (
+  select run, batch, count(*) as n, avg((case when abs(e) <= 1 then e * e * 0.5 else abs(e) - 0.5 end) * (1 + (actual >= 0.02)::int)) as l
+  from (select *, {_LOGIT.format("predicted")} - {_LOGIT.format("actual")} as e from batches) group by run, batch) group by run),
+r2s as (select run, 1 - sum((predicted - actual) ** 2) / (var_pop(actual) * count(*)) as r2 from pred group by run),
+ranked as (select run, predicted, sum(p) over w as tp, sum(n) over w as k, sum(p) over (partition by run) as p, p as own, n
+  from (select run, predicted, sum((actual >= 0.02)::int) as p, count(*) as n from pred group by 1, 2)
+  window w as (partition by run order by predicted desc)),
+areas as (select run, sum(own / p * (tp / k + case when k = n then 1.0 else (tp - own) / (k - n) end) / 2) as pr_auc from ranked group by run)
+select run as experiment, (select max(m) from cols c where c.run = l.run) - 1 as features,
+  (select count(*) from r where split = 'train') as train_rows, test_rows::bigint as test_rows,
+  round(test_loss, 6) as test_loss, round(r2, 6) as r2, round(pr_auc, 6) as pr_auc
+from losses l join r2s using (run) join areas using (run)"""
+
+
+@query(
+    "experiment_runs",
+    V.with_views("obs epss scored cvss", ", " + ENRICHED_SQL + _RUNS_SQL).replace("with ", "with recursive ", 1),
+)
+def experiment_runs(spark, sf_dir):
+    """All 13 experiments with every block on, fitted from one scan of the training rows."""
+    rows = materialize(enriched(spark, sf_dir), "enriched")
+    runs = X.experiment_runs(rows, ["o_orderkey"], full_config(spark))
+    return rounded(runs, "test_loss", "r2", "pr_auc")
+
+
 @query(
     "per_source_blocks",
     V.with_views(

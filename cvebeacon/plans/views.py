@@ -19,22 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(names: str, select: str) -> str:
     """Checking SQL: the named views followed by the query."""
-    return "with " + ",\n".join(SQL_VIEWS[n] for n in names.split()) + "\n" + select
+    found = [x for n in names.split() for x in (("versions", n) if n == "cvss" else (n,))]
+    return "with " + ",\n".join(SQL_VIEWS[n] for n in found) + "\n" + select
 
 
 def cve_of(number: str, year: int = 2024) -> str:
-    return f"'CVE-{year}-' || lpad(cast({number} as varchar(20)), 4, '0')"
+    """The id of a number: four digits, more where it needs them."""
+    digits = f"cast({number} as varchar(20))"
+    return f"'CVE-{year}-' || case when {number} < 1000 then lpad({digits}, 4, '0') else {digits} end"
 
 
 # ---- expressions shared by both engines -----------------------------------
 
-OBS_CVE = cve_of("o_custkey % 500")
+OBS_CVE = cve_of("o_custkey")
 OBS_SOURCE = (
     "case o_orderkey % 5 when 0 then 'reddit_22_05' when 1 then 'mastodon_22_05' "
     "when 2 then 'telegram_21_05' when 3 then 'exploitdb_22_05' else 'bleepingcomputer_22_05' end"
 )
-EPSS_CVE = cve_of("l_partkey % 500")
-NVD_ID = cve_of("p_partkey % 700")
+EPSS_CVE = cve_of("l_partkey")
+# Two parts are two versions of one record.
+NVD_ID = cve_of("cast(floor(p_partkey / 2) as bigint)")
+NVD_DAYS = "cast((p_partkey * 37) % 2400 as int)"
 
 POST_TEXT = (
     "text || ' cve-2024-' || lpad(cast(doc_id % 500 as varchar(20)), 4, '0')"
@@ -127,12 +132,11 @@ def _metric(fields: dict[str, str]) -> str:
 
 
 def nvd_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested vulnerability records, the part with the smallest key of each id."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size",
-                                                F.expr(NVD_ID).alias("id"))
-    first = parts.groupBy("id").agg(
-        F.min_by(F.struct("p_partkey", "p_name", "p_size"), "p_partkey").alias("r")
-    ).select("id", "r.*")
+    """Nested vulnerability records, one per part: several versions of an id."""
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", "p_size", F.expr(NVD_ID).alias("id"),
+        F.date_format(F.expr(f"date_add(date'1992-01-01', {NVD_DAYS})"), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("modified"),
+    )
     english = "named_struct('lang', 'en', 'value', p_name)"
     record = f"""named_struct(
         'id', id,
@@ -143,8 +147,9 @@ def nvd_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         'metrics', named_struct(
             'cvssMetricV31', case when p_partkey % 4 = 0 then {_metric(_V3)} end,
             'cvssMetricV30', case when p_partkey % 4 = 1 then {_metric(_V3)} end,
-            'cvssMetricV2', case when p_partkey % 4 in (0, 2) then {_metric(_V2)} end))"""
-    return first.select(F.expr(record).cast(NVD_CVE).alias("cve"))
+            'cvssMetricV2', case when p_partkey % 4 in (0, 2) then {_metric(_V2)} end),
+        'lastModified', modified)"""
+    return parts.select(F.expr(record).cast(NVD_CVE).alias("cve"))
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,8 +232,8 @@ scored as (
                    when prev is not null and prev <> 0 then prev else nxt end as epss_score,
          case when exact is not null then 'original' else 'enriched' end as epss_status
   from obs o join near_scores s on s.cve = o.cve and s.d = o.d)""",
-    "cvss": f"""cvss as (
-  select {NVD_ID.replace('p_partkey', 'p.p_partkey')} as cve, p_name as description,
+    "versions": f"""versions as (
+  select {NVD_ID} as cve, date '1992-01-01' + {NVD_DAYS} as modified, p_name as description,
     case p_partkey % 4 when 0 then '3.1' when 1 then '3.0' when 2 then '2.0' end as cvss_version,
     case when p_partkey % 4 < 3 then (p_size % 101) / 10.0::double end as cvss_score,
     case when p_partkey % 4 < 2 and p_size % 5 = 0 then 'ADJACENT'
@@ -243,8 +248,10 @@ scored as (
     {", ".join(f'''case when p_partkey % 4 < 2 then {_pick('HIGH', 'LOW', 'NONE')}
          when p_partkey % 4 = 2 then {_pick('COMPLETE', 'PARTIAL', 'NONE')} end as {c}'''
          for c in ('confidentiality_impact', 'integrity_impact', 'availability_impact'))}
-  from part p
-  where p_partkey in (select min(p_partkey) from part group by p_partkey % 700))""",
+  from part)""",
+    "cvss": """cvss as (
+  select * exclude (modified) from versions
+  qualify row_number() over (partition by cve order by modified desc) = 1)""",
     "posts": f"""posts as (
   select doc_id, {POST_PERMALINK} as permalink, ' ' || source || ' cve-2021-0001 ' as title,
          {POST_TEXT} as text,

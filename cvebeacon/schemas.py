@@ -28,7 +28,7 @@ _METRIC_LIST = f"ARRAY<STRUCT<cvssData:{_CVSS_DATA}>>"
 NVD_CVE = (
     "STRUCT<id:STRING, descriptions:ARRAY<STRUCT<lang:STRING,value:STRING>>, "
     f"metrics:STRUCT<cvssMetricV31:{_METRIC_LIST}, cvssMetricV30:{_METRIC_LIST}, "
-    f"cvssMetricV2:{_METRIC_LIST}>>"
+    f"cvssMetricV2:{_METRIC_LIST}>, lastModified:STRING>"
 )
 NVD = f"cve {NVD_CVE}"
 
