@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cvebeacon.functions.cve import explode_cves
+from cvebeacon.functions.cve import explode_cves, find_cves
 from cvebeacon.functions.text import NONSPACE, clean_column, clean_items, trim_space
 from cvebeacon.functions.time import iso_date, split_timestamp
 from cvebeacon.schemas import OBSERVATION_COLUMNS
+from cvebeacon.session import materialize
 
 # ---- schema unification ---------------------------------------------------
 
@@ -55,20 +56,44 @@ def drop_source_extras(df: DataFrame, source: str) -> DataFrame:
     return df
 
 
+def _dated(df: DataFrame, source: str, kind: str) -> DataFrame:
+    """Extras dropped, text, date and time named, the id cell under ``cve``."""
+    df = drop_source_extras(df, source)
+    df = text_column(df, kind).withColumn("source", F.lit(source))
+    df = rename_cve_column(split_timestamp(df))
+    missing = [c for c in ("date", "time") if c not in df.columns]
+    return df.withColumns({c: F.lit(None).cast("string") for c in missing})
+
+
 def normalize_source(df: DataFrame, source: str, kind: str) -> DataFrame:
     """Canonical rows of one source: one row per distinct (post, id).
 
     Duplicates are removed over all columns of the source, before projection
     and before cleaning; equal rows combine on the map side first.
     """
-    df = drop_source_extras(df, source)
-    df = text_column(df, kind).withColumn("source", F.lit(source))
-    df = explode_cves(rename_cve_column(split_timestamp(df)), "cve")
-    missing = [c for c in ("date", "time") if c not in df.columns]
-    df = df.withColumns({c: F.lit(None).cast("string") for c in missing})
+    df = explode_cves(_dated(df, source, kind), "cve")
     return df.dropDuplicates().select(*OBSERVATION_COLUMNS)
 
 
+def normalize_counted(df: DataFrame, source: str, kind: str) -> DataFrame:
+    """As ``normalize_source``, with ``raw_rows``: NULL but in one more row per source.
+
+    Every raw row adds a blank row to the rows of its ids; equal blanks combine
+    where they are read, and the number of them is the number of raw rows. So
+    one scan gives both counts, also when tasks run twice. The blank row has no
+    id; a source without rows has none.
+    """
+    df = _dated(df, source, kind)
+    ids = F.coalesce(F.array_distinct(find_cves(F.col("cve"))), F.array().cast("array<string>"))
+    blank = F.array(F.lit(None).cast("string"))
+    rows = df.withColumn("cve", F.explode(F.concat(blank, ids)))
+    real = F.col("cve").isNotNull()
+    rest = [c for c in rows.columns if c not in ("cve", "source")]
+    rows = rows.withColumns({c: F.when(real, F.col(c)) for c in rest})
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n"))
+    return counted.select(*OBSERVATION_COLUMNS, F.when(~real, F.col("__n")).alias("raw_rows"))
+
+
 def clean_observations(obs: DataFrame, profile: str = "unified") -> DataFrame:
     return clean_column(obs, "text", profile)
 
@@ -100,39 +125,50 @@ def merge(frames: list[DataFrame]) -> DataFrame:
     return merged
 
 
+def _stats(counted: DataFrame, sources: list[Source]) -> DataFrame:
+    """Rows per stage from the counted rows of all sources; one aggregate, TOTAL included."""
+    spark = counted.sparkSession
+    names = spark.createDataFrame([(s.name, s.clean) for s in sources], "path STRING, cleaned BOOLEAN")
+    sums = (
+        counted.groupBy(F.col("source").alias("path"))
+        .agg(F.sum("raw_rows").alias("initial"), F.count("cve").alias("kept"))
+    )
+    # A handful of names; a source without rows has no sums.
+    known = names.join(sums, "path", "left").select(
+        "path", "cleaned", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("initial", "kept")]
+    )
+    total = F.grouping("path") == 1
+    return known.rollup("path").agg(
+        F.when(total, None).otherwise(F.sum("initial")).alias("initial"),
+        F.when(total, None).otherwise(F.sum("kept")).alias("after_normalize"),
+        F.when(total | F.bool_and("cleaned"), F.sum("kept")).alias("after_clean"),
+        total.alias("__total"),
+    ).select(
+        F.when(F.col("__total"), "TOTAL").otherwise(F.col("path")).alias("path"),
+        "initial", "after_normalize", "after_clean",
+    )
+
+
 def source_stats(sources: list[Source]) -> DataFrame:
     """Rows per source: ``initial``, ``after_normalize``, ``after_clean``, and TOTAL.
 
     Cleaning maps rows one to one, so its count is that of normalisation; the
-    total counts the merged table. Each stage is counted before it is combined.
+    total counts the merged table. Every source is scanned once.
     """
-    counted = []
+    return _stats(merge([normalize_counted(s.frame, s.name, s.kind) for s in sources]), sources)
+
+
+def unify_with_stats(sources: list[Source]) -> tuple[DataFrame, DataFrame]:
+    """The merged, cleaned observations and the counts of their stages, from one scan per source.
+
+    The merged rows are written to the shared folder, the counts beside them.
+    """
+    frames = []
     for s in sources:
-        raw = s.frame.agg(F.count(F.lit(1)).alias("n"))
-        kept = normalize_source(s.frame, s.name, s.kind).agg(F.count(F.lit(1)).alias("n"))
-        rows = [("initial", raw), ("after_normalize", kept)]
-        counted += [
-            stage.select(
-                F.lit(s.name).alias("path"), F.lit(s.clean).alias("cleaned"),
-                F.lit(name).alias("stage"), "n",
-            )
-            for name, stage in rows
-        ]
-    stages = merge(counted)
-    table = stages.groupBy("path").agg(
-        F.max(F.when(F.col("stage") == "initial", F.col("n"))).alias("initial"),
-        F.max(F.when(F.col("stage") == "after_normalize", F.col("n"))).alias("after_normalize"),
-        F.max(
-            F.when((F.col("stage") == "after_normalize") & F.col("cleaned"), F.col("n"))
-        ).alias("after_clean"),
-    )
-    total = stages.filter(F.col("stage") == "after_normalize").agg(
-        F.lit("TOTAL").alias("path"),
-        F.lit(None).cast("long").alias("initial"),
-        F.lit(None).cast("long").alias("after_normalize"),
-        F.sum("n").alias("after_clean"),
-    )
-    return table.unionByName(total)
+        counted = normalize_counted(s.frame, s.name, s.kind)
+        frames.append(clean_observations(counted) if s.clean else counted)
+    stored = materialize(merge(frames), "unified")
+    return stored.filter("cve is not null").select(*OBSERVATION_COLUMNS), _stats(stored, sources)
 
 
 # ---- older per-source loaders ---------------------------------------------

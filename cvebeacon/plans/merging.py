@@ -12,6 +12,7 @@ from cvebeacon.plans.registry import query
 from cvebeacon.schemas import OBSERVATION_COLUMNS
 from cvebeacon.session import shared_folder, state_session
 from cvebeacon.sources import files as S
+from cvebeacon.sources.checked import QUARANTINE
 from cvebeacon.streaming.ingest import ingest, posts_with_cve, read_store
 
 # ---- raw sources over the given tables --------------------------------------
@@ -243,21 +244,66 @@ def csv_round_trip(spark, sf_dir):
     "json_round_trip",
     V.with_views(
         "posts",
-        """select permalink, title, article_text, 'unknown' as source,
-  'CVE-2024-' || lpad(cast(doc_id % 500 as varchar(20)), 4, '0') as first_cve from posts""",
+        """select permalink, title, p.text, article_text, 'unknown' as source,
+  'CVE-2024-' || lpad(cast(doc_id % 500 as varchar(20)), 4, '0') as first_cve,
+  'first **note** on ' || d.source as first_comment, 2::bigint as n_comments
+from posts p join documents d using (doc_id)""",
     ),
 )
 def json_round_trip(spark, sf_dir):
     folder = shared_folder(spark, "json")
     written = V.posts(spark, sf_dir).select(
-        "permalink", "title", "article_text", F.array(F.expr(V.cve_of("doc_id % 500"))).alias("cves")
+        "permalink", "title", "text", "article_text", F.array(F.expr(V.cve_of("doc_id % 500"))).alias("cves"), "comments"
     )
     S.write_json(written, folder)
-    schema = "permalink STRING, title STRING, article_text STRING, cves ARRAY<STRING>"
+    schema = (
+        "permalink STRING, title STRING, text STRING, article_text STRING, cves ARRAY<STRING>, "
+        "comments ARRAY<STRUCT<score:INT,text:STRING,level:INT>>"
+    )
     back = S.read_json_folder(spark, folder, schema, lines=True)
     return back.select(
-        "permalink", "title", "article_text", "source", F.col("cves")[0].alias("first_cve")
+        "permalink", "title", "text", "article_text", "source", F.col("cves")[0].alias("first_cve"),
+        F.col("comments")[0]["text"].alias("first_comment"), F.size("comments").cast("long").alias("n_comments"),
+    )
+
+
+_BAD_SQL = """stored as (select doc_id, lang, n_chars, doc_id // 100 as part, doc_id % 17 = 3 as mistyped,
+  doc_id // 100 % 7 = 3 as cut from documents)"""
+
+
+@query(
+    "store_with_bad_records",
+    f"""with {_BAD_SQL} select 'kept' as state, doc_id, lang, n_chars from stored where not mistyped and not cut
+union all select 'record', doc_id, null, null from stored where mistyped and not cut
+union all select 'file', part, null, null from stored where cut group by part""",
+)
+def store_with_bad_records(spark, sf_dir):
+    """Files of JSON arrays, some objects mistyped, some files cut off; what is kept and what is not.
+
+    The files are made of the documents, a hundred to a file, so they grow in number only.
+    """
+    folder, quarantine = shared_folder(spark, "stores"), shared_folder(spark, "quarantine")
+    count = F.col("n_chars").cast("string")
+    value = F.when(F.col("doc_id") % 17 == 3, F.lit('"many"')).otherwise(count)
+    record = F.concat(
+        F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit(', "lang": "'), "lang", F.lit('",\n "n_chars": '),
+        value, F.lit("}"),
+    )
+    files = (
+        V.table(spark, sf_dir, "documents")
+        .groupBy(F.expr("doc_id div 100").alias("part"))
+        .agg(F.array_join(F.collect_list(record), ",\n").alias("body"))
+        .select("part", F.concat(F.lit("["), "body", F.when(F.col("part") % 7 == 3, "").otherwise("]")).alias("value"))
+    )
+    files.write.partitionBy("part").text(folder)
+    read = S.read_json_checked(spark, f"{folder}/*/*.txt", "doc_id BIGINT, lang STRING, n_chars BIGINT", quarantine)
+    bad = spark.read.schema(QUARANTINE).parquet(quarantine)
+    number = F.when(F.col("reason") == "record", F.get_json_object("record", "$.doc_id")).otherwise(
+        F.regexp_extract("file", r"part=(\d+)", 1)
     )
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("n_chars", "long"))]
+    kept = read.rows.select(F.lit("kept").alias("state"), "doc_id", "lang", "n_chars")
+    return kept.unionByName(bad.select(F.col("reason").alias("state"), number.cast("long").alias("doc_id"), *nothing))
 
 
 @query(

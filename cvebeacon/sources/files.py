@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cvebeacon.sources.checked import read_json_checked
+
 # Source names looked for in a file name, in this order.
 KNOWN_SOURCES = ("reddit", "telegram", "mastodon")
 
@@ -29,20 +31,30 @@ def read_csv(
 
 
 def read_json_array(
-    spark: SparkSession, path: str | list[str], schema: str, lines: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    schema: str,
+    lines: bool = False,
+    quarantine: str | None = None,
 ) -> DataFrame:
     """Files that hold one object or an array of objects, one row per object.
 
     ``lines`` reads files of one object per line instead, as ``write_json``
-    leaves them; those are split among tasks.
+    leaves them; those are split among tasks. With ``quarantine`` bad records are
+    appended to that table and left out; without it their bad fields are NULL.
     """
+    if quarantine is not None:
+        return read_json_checked(spark, path, schema, quarantine, lines).rows.drop("__file")
     return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def read_json_folder(
-    spark: SparkSession, folder: str, schema: str, lines: bool = False
+    spark: SparkSession, folder: str, schema: str, lines: bool = False, quarantine: str | None = None
 ) -> DataFrame:
     """Every ``*.json`` of a folder, tagged with the source its file name tells."""
+    if quarantine is not None:
+        posts = read_json_checked(spark, folder, schema, quarantine, lines, "*.json").rows
+        return posts.withColumn("source", source_from_name(F.col("__file"))).drop("__file")
     posts = (
         spark.read.schema(schema)
         .option("multiLine", not lines)
@@ -77,14 +89,14 @@ def read_or_empty(
 ) -> DataFrame:
     """An existing store, or an empty table when it is absent or corrupt.
 
-    ``lines`` reads a JSON store that ``write_json`` wrote.
+    ``lines`` reads a JSON store that ``write_json`` wrote. Of a JSON store bad
+    records are left out and good ones beside them stay; a file that does not
+    parse counts as empty, with a warning.
     """
-    # A file that does not parse is dropped, which leaves the table empty.
-    reader = spark.read.schema(schema).option("mode", "DROPMALFORMED")
     if fmt == "json":
-        reader = reader.option("multiLine", not lines)
+        return read_json_checked(spark, path, schema, lines=lines).rows.drop("__file")
     try:
-        return reader.format(fmt).load(path)
+        return spark.read.schema(schema).format(fmt).load(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
