@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAVY_KEYS = 1000
+#: Keys the sketch of heavy keys tracks; its counts are off by at most about 2/this of the rows.
+SKETCH_KEYS = 20_000
+#: Most pieces of one key.
+MOST_PIECES = 1024
 
 
 def key_counts(facts: DataFrame, on: list[str]) -> DataFrame:
@@ -25,8 +29,22 @@ def heavy_keys(counts: DataFrame, on: list[str], limit: int = HEAVY_KEYS) -> Dat
     return counts.orderBy(F.desc("__rows"), *on).limit(limit).select(*on)
 
 
-def _same_key(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"__{k}"]) for k in on])
+def _pieces(rows: Column, total: Column, partitions: int) -> Column:
+    """Pieces of a key: two for each fair share of a partition it holds, one below half a share."""
+    wanted = F.ceil(rows * (2.0 * partitions) / F.greatest(total, F.lit(1)))
+    return F.greatest(F.least(wanted, F.lit(MOST_PIECES)), F.lit(1)).cast("int")
+
+
+def _sketched(facts: DataFrame, key: Column, limit: int, partitions: int) -> DataFrame:
+    """(__lj_key, __lj_pieces) of keys that need more than one piece, from a sketch over the key columns alone."""
+    top = facts.select(key.alias("__lj_key")).agg(
+        F.expr(f"approx_top_k(__lj_key, {limit}, {max(SKETCH_KEYS, limit)})").alias("top"),
+        F.count(F.lit(1)).alias("total"),
+    )
+    each = top.select("total", F.inline("top")).select(
+        F.col("item").alias("__lj_key"), _pieces(F.col("count"), F.col("total"), partitions).alias("__lj_pieces")
+    )
+    return each.filter("__lj_pieces > 1")
 
 
 def lookup_join(
@@ -37,34 +55,54 @@ def lookup_join(
     limit: int = HEAVY_KEYS,
     weight: str | None = None,
 ) -> DataFrame:
-    """Join ``facts`` to ``dim``, which has one row per key.
+    """Join ``facts`` to ``dim``, which has one row per key, in one pass over ``facts``.
+
+    The rows of a heavy key are dealt over several pieces of it, and its one row
+    of ``dim`` is repeated for each piece, so no task gets much more than its
+    share. A sketch over the key columns names the heavy keys (``limit`` at most);
+    a key it overlooks is joined like the others. Fewer keys than twice the
+    partitions can be heavy, so their list is broadcast.
 
-    Rows of the heaviest keys meet a broadcast of at most ``limit`` dimension
-    rows and never shuffle; all other rows take the planner's ordinary join.
-    Rows with a NULL key are handled like any other key.
+    A row's piece follows from its values and its input partition: a task that
+    runs again deals its rows the same way, and equal rows are dealt apart.
 
     ``weight`` names a column of ``dim`` that already holds the rows per key; it
-    then covers every key of ``facts``, NULLs included, and saves the counting.
+    then covers every key of ``facts``, NULLs included, and saves the sketch.
+    Without it NULL keys match nothing.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported lookup join: {how}")
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = [c for c in dim.columns if c not in (*on, weight)]
-    if weight is not None:
-        ranked = dim.withColumnRenamed(weight, "__rows")
-        heavy_dim = ranked.orderBy(F.desc("__rows"), *on).limit(limit).select(*on, *values)
-        heavy = heavy_dim.select(*on)
-    else:
-        heavy = heavy_keys(key_counts(facts, on), on, limit)
-        heavy_dim = heavy.join(dim.join(F.broadcast(heavy), on, "left_semi"), on, how)
 
-    marked = F.broadcast(heavy_dim.withColumnsRenamed({k: f"__{k}" for k in on}))
-    of_heavy = facts.join(marked, _same_key(facts, marked, on), "inner").select(
-        *facts.columns, *values
-    )
-    known = F.broadcast(heavy.withColumnsRenamed({k: f"__{k}" for k in on}))
-    of_rest = (
-        facts.join(known, _same_key(facts, known, on), "left_anti")
-        .join(dim.select(*on, *values), on, how)
-        .select(*facts.columns, *values)
+    def key(df: DataFrame) -> Column:
+        # The literal keeps a NULL key apart from an empty list of columns.
+        return F.xxhash64(F.lit(7), *[df[c].cast(dim.schema[c].dataType) for c in on])
+
+    if weight is None:
+        heavy = F.broadcast(_sketched(facts, key(facts), limit, partitions))
+        spread = dim.select(*on, *values, key(dim).alias("__lj_key")).join(heavy, "__lj_key", "left")
+    else:
+        total = dim.agg(F.sum(weight).alias("t")).select("t").scalar()
+        spread = dim.select(
+            *on, *values, key(dim).alias("__lj_key"), _pieces(F.col(weight), total, partitions).alias("__lj_pieces")
+        )
+        heavy = F.broadcast(spread.filter("__lj_pieces > 1").select("__lj_key", "__lj_pieces"))
+    numbers = F.sequence(F.lit(0), F.coalesce("__lj_pieces", F.lit(1)) - 1)
+    # Fresh names: ``dim`` may be made of ``facts``.
+    spread = spread.select(
+        *[F.col(c).alias(f"__lj_key_{i}") for i, c in enumerate(on)],
+        *[F.col(c).alias(f"__lj_value_{i}") for i, c in enumerate(values)],
+        F.explode(numbers).alias("__lj_of"),
     )
-    return of_heavy.unionByName(of_rest)
+    plain = [c for c, kind in facts.dtypes if "map<" not in kind]
+    dealt = F.pmod(F.xxhash64(*plain) + F.hash(F.spark_partition_id()), F.col("__lj_pieces")).cast("int")
+    marked = facts.withColumn("__lj_key", key(facts)).join(heavy, "__lj_key", "left")
+    marked = marked.withColumn("__lj_piece", F.when(F.col("__lj_pieces") > 1, dealt).otherwise(0))
+    same = [
+        F.col(c).eqNullSafe(F.col(f"__lj_key_{i}")) if weight is not None else F.col(c) == F.col(f"__lj_key_{i}")
+        for i, c in enumerate(on)
+    ]
+    matches = reduce(lambda a, b: a & b, same) & (F.col("__lj_piece") == F.col("__lj_of"))
+    found = [F.col(f"__lj_value_{i}").alias(c) for i, c in enumerate(values)]
+    return marked.join(spread, matches, how).select(*facts.columns, *found)

@@ -9,46 +9,40 @@ from cvebeacon.functions.text import trim_space
 from cvebeacon.operators.skew import lookup_join
 
 MAX_LEVEL = 2
-_SCORE_CEILING = 10**12
 
 
-def _rank_key(score: Column, comment: Column) -> Column:
-    """Text that sorts siblings: higher score first, then smaller id.
+def _step(comments: DataFrame) -> Column:
+    """A struct that sorts siblings: higher score first, missing scores last, then smaller id.
 
-    Fixed-width numbers make text order equal numeric order, so a comment's
-    place among its siblings needs no window over them.
+    Whole numbers are turned round bit by bit, which no value overflows.
     """
-    # NULL scores sort last; the offset keeps negative scores positive.
-    down = F.lit(_SCORE_CEILING) - F.coalesce(score, F.lit(-_SCORE_CEILING))
-    return F.concat(
-        F.lpad(down.cast("string"), 13, "0"), F.lit("-"), F.lpad(comment.cast("string"), 19, "0")
-    )
+    score = F.col("score")
+    whole = comments.schema["score"].dataType.typeName() in ("byte", "short", "integer", "long")
+    down = F.bitwise_not(score) if whole else -score
+    return F.struct(score.isNull().alias("unscored"), down.alias("down"), F.col("comment"))
 
 
 def top_thread(comments: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
     """The best-ranked top-level comment of every post and its replies.
 
     ``comments`` has one row per (post, comment) with ``parent`` (NULL for a
-    top-level comment), numeric ``comment`` ids, ``score``, ``author`` and
-    ``text``. Ordering a post's rows by ``path`` gives the depth-first order.
+    top-level comment), ids of any type that sorts, a numeric ``score``, ``author``
+    and ``text``. ``path`` is an array with a step per level; ordering a post's
+    rows by it gives the depth-first order.
     """
-    ranked = comments.withColumn("__key", _rank_key(F.col("score"), F.col("comment")))
-    first = (
-        ranked.filter(F.col("parent").isNull())
-        .groupBy("post")
-        .agg(F.min("__key").alias("path"), F.min_by("comment", "__key").alias("comment"))
-    )
+    ranked = comments.select("post", "parent", "comment", _step(comments).alias("step"))
+    first = ranked.filter(F.col("parent").isNull()).groupBy("post").agg(F.min("step").alias("step"))
     # Only (post, comment, path) climbs the levels; texts join once at the end.
-    level = first.select("post", "comment", F.lit(0).alias("level"), "path")
+    level = first.select("post", "step.comment", F.lit(0).alias("level"), F.array("step").alias("path"))
+    replies = ranked.filter(F.col("parent").isNotNull())
     found = level
-    replies = ranked.filter(F.col("parent").isNotNull()).select("post", "parent", "comment", "__key")
     for depth in range(1, max_level + 1):
         parents = level.select("post", F.col("comment").alias("parent"), "path")
         level = lookup_join(replies, parents, ["post", "parent"], "inner").select(
             "post",
             "comment",
             F.lit(depth).alias("level"),
-            F.concat_ws(".", "path", "__key").alias("path"),
+            F.array_append("path", F.col("step")).alias("path"),
         )
         found = found.unionByName(level)
     return comments.join(found, ["post", "comment"]).select(

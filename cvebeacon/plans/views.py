@@ -185,6 +185,17 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def comment_id(turn: str) -> str:
+    """Ids of 20 characters, like those of a forum."""
+    return f"'t1_' || lpad(cast({turn} as varchar(20)), 17, '0')"
+
+
+COMMENT_SCORE = (
+    "case when turn % 7 = 0 then null when length(text) % 5 = 0 then cast(-2000000000000 - length(text) % 100 as bigint) "
+    "else cast(length(text) % 100 as bigint) end"
+)
+
+
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thread rows: replies hang below turn (turn - 1) / 2; turn 0 is the post."""
     return (
@@ -192,9 +203,9 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter("turn > 0")
         .select(
             F.col("conv_id").alias("post"),
-            F.col("turn").alias("comment"),
-            F.expr("nullif(cast(floor((turn - 1) / 2) as bigint), 0)").alias("parent"),
-            F.expr("length(text) % 100").cast("long").alias("score"),
+            F.expr(comment_id("turn")).alias("comment"),
+            F.expr("case when turn > 2 then " + comment_id("cast(floor((turn - 1) / 2) as bigint)") + " end").alias("parent"),
+            F.expr(COMMENT_SCORE).alias("score"),
             F.col("role").alias("author"),
             "text",
         )

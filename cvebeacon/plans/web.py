@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cvebeacon.operators.pages import BodyRule, HeadingRule, extract_articles, page_route
@@ -9,27 +10,30 @@ from cvebeacon.operators.threads import top_thread as best_thread
 from cvebeacon.plans import views as V
 from cvebeacon.plans.registry import query
 
-_COMMENTS_SQL = """c as (select conv_id as post, turn as comment, nullif((turn - 1) // 2, 0) as parent,
-  length(text) % 100 as score, role as author, text from conversations where turn > 0)"""
-
-
-_KEY_SQL = "lpad((1000000000000 - score)::varchar, 13, '0') || '-' || lpad(comment::varchar, 19, '0')"
+_COMMENTS_SQL = f"""c as (select conv_id as post, {V.comment_id("turn")} as comment,
+  case when turn > 2 then {V.comment_id("cast(floor((turn - 1) / 2) as bigint)")} end as parent,
+  {V.COMMENT_SCORE} as score, role as author, text from conversations where turn > 0)"""
 
 
 @query(
     "top_thread",
     f"""with recursive {_COMMENTS_SQL},
-k as (select *, {_KEY_SQL} as key from c),
-t as (select post, comment, 0 as level, key as path from k where parent is null
-      qualify row_number() over (partition by post order by score desc, comment) = 1
+k as (select *, {{'unscored': score is null, 'down': -score - 1, 'comment': comment}} as step from c),
+t as (select post, comment, 0 as level, [step] as path from k where parent is null
+      qualify row_number() over (partition by post order by score desc nulls last, comment) = 1
   union all
-  select k.post, k.comment, t.level + 1, t.path || '.' || k.key
+  select k.post, k.comment, t.level + 1, list_append(t.path, k.step)
   from t join k on k.post = t.post and k.parent = t.comment where t.level < 2)
-select t.post, t.comment, t.level, t.path, c.score, c.author, trim(c.text, e' \\n\\t\\r') as text
+select t.post, t.comment, t.level, array_to_string(list_transform(t.path, lambda x: x.comment), '/') as path,
+  row_number() over (partition by t.post order by t.path) as place, c.score, c.author, trim(c.text, e' \\n\\t\\r') as text
 from t join c on c.post = t.post and c.comment = t.comment""",
 )
 def top_thread(spark, sf_dir):
-    return best_thread(V.comments(spark, sf_dir))
+    """The thread with the place of every comment in it, depth first."""
+    found = best_thread(V.comments(spark, sf_dir))
+    place = F.row_number().over(Window.partitionBy("post").orderBy("path")).cast("long")
+    names = F.array_join(F.transform("path", lambda x: x["comment"]), "/")
+    return found.withColumn("place", place).withColumn("path", names)
 
 
 @query(

@@ -193,3 +193,50 @@ def test_target_round_trip(spark):
     for kind in ("identity", "log1p", "logit"):
         back = frame.select(T.invert_target(T.transform_target(F.col("s"), kind), kind).alias("b")).collect()
         assert [r.b for r in back][:3] == pytest.approx([0.0, 0.3, 1.0], abs=2e-6) and back[3].b is None
+
+
+def test_lookup_join_of_a_hot_key_reads_each_side_once(spark, tmp_path):
+    """Nine tenths of the rows on one key, many of them equal."""
+    facts = spark.range(20_000).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") % 3).alias("x")
+    )
+    dim = spark.range(0, 20_000, 20).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
+    dim = dim.union(spark.createDataFrame([("hot", -1)], "k string, v long"))
+    facts.repartition(6).write.parquet(str(tmp_path / "f"))
+    dim.write.parquet(str(tmp_path / "d"))
+    facts, dim = (spark.read.parquet(str(tmp_path / n)) for n in "fd")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = lookup_join(facts, dim, ["k"])
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+        rows = joined.groupBy("k", "v").count().collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {(r.k, r.v): r["count"] for r in rows if r.k == "hot"} == {("hot", -1): 18_000}
+    assert len(rows) == 2001 and sum(r["count"] for r in rows) == 20_000
+    assert all(r.v == (int(r.k) if int(r.k) % 20 == 0 else None) for r in rows if r.k != "hot")
+    # One scan of whole rows of each side, and the keys alone for the sketch.
+    scans = [x for x in plain_plan(plan) if "FileScan parquet" in x]
+    assert sum("ReadSchema: struct<k:string,x:bigint>" in x for x in scans) == 1
+    assert sum("ReadSchema: struct<k:string,v:bigint>" in x for x in scans) == 1
+    assert max(r["count"] for r in sizes) < 9000
+
+
+def plain_plan(plan):
+    return plan.split("Initial Plan")[-1].splitlines()
+
+
+def test_lookup_join_with_maps_and_null_keys(spark):
+    facts = spark.createDataFrame([(None, {"a": 1})] * 50 + [("k", None)] * 50, "k string, m map<string,int>")
+    dim = spark.createDataFrame([(None, 1), ("k", 2)], "k string, v int")
+    got = lookup_join(facts, dim, ["k"]).groupBy("k", "v").count().collect()
+    assert {(r.k, r.v): r["count"] for r in got} == {(None, None): 50, ("k", 2): 50}
+    known = spark.createDataFrame([(None, 1, 50), ("k", 2, 50)], "k string, v int, n long")
+    got = lookup_join(facts, known, ["k"], "inner", weight="n").groupBy("k", "v").count().collect()
+    assert {(r.k, r.v): r["count"] for r in got} == {(None, 1): 50, ("k", 2): 50}
+    assert lookup_join(facts.limit(0), dim, ["k"]).count() == 0
+    assert lookup_join(facts, known.limit(0), ["k"], weight="n").where("v is not null").count() == 0

@@ -202,3 +202,21 @@ def test_extract_articles(spark):
             ("https://cybersecuritynews.com/x", None)]
     got = P.extract_articles(spark.createDataFrame(rows, "url STRING, html STRING")).collect()
     assert [r.article_text for r in got] == ["Onebold& x\n\nHeader\n\nTwo", "Thetext", None, "Thetext", None, None]
+
+
+def test_threads_of_text_ids_and_wide_scores(spark):
+    """Ids longer than 19 characters, scores at the ends of a long, missing and equal ones."""
+    low, high = -(2**63), 2**63 - 1
+    rows = [
+        ("p", "t1_00000000000000000b", None, None), ("p", "t1_00000000000000000a", None, low), ("p", "t1_x", None, None),
+        ("p", "r" * 30, "t1_00000000000000000a", high), ("p", "q", "t1_00000000000000000a", None),
+        ("p", "s", "t1_00000000000000000a", -10**15), ("p", "s2", "t1_00000000000000000a", -10**15), ("p", "u", "s", 1),
+        ("other", "only", None, None),
+    ]
+    frame = spark.createDataFrame([(*r, "u", "t") for r in rows], "post STRING, comment STRING, parent STRING, score LONG, author STRING, text STRING")
+    got = [(r.comment, r.level) for r in top_thread(frame.filter("post = 'p'")).orderBy("path").collect()]
+    assert got == [("t1_00000000000000000a", 0), ("r" * 30, 1), ("s", 1), ("u", 2), ("s2", 1), ("q", 1)]
+    assert [r.comment for r in top_thread(frame.filter("post = 'other'")).collect()] == ["only"]
+    assert top_thread(frame.limit(0)).count() == 0
+    doubles = frame.withColumn("score", F.col("score").cast("double"))
+    assert [r.comment for r in top_thread(doubles.filter("post = 'p'")).orderBy("path").collect()] == [c for c, _ in got]
