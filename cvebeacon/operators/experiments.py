@@ -19,7 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cvebeacon.operators.features import FeatureConfig, assemble_features, mentions_source, observed_categories
+from cvebeacon.operators.features import FeatureConfig, assemble_features, category_table, mentions_source
 from cvebeacon.operators.metrics import BATCH, THRESHOLD, element_loss, is_high
 from cvebeacon.operators.ordering import running_totals_by, shuffled_index
 from cvebeacon.operators.training import (
@@ -247,7 +247,7 @@ def experiment_runs(
     """
     runs = runs or experiments(features.all_sources)
     table = materialize(split(materialize(drop_unscored(df), "scored"), keys), "split")
-    categories = observed_categories(table) if features.cvss_categorical else None
+    categories = category_table(table) if features.cvss_categorical else None
     full = assemble_features(table, replace(features, sources=()), categories)
     score = F.col("epss_score")
     rows = materialize(

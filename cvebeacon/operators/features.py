@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler, VectorSizeHint
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler, VectorSizeHint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +13,12 @@ from cvebeacon.functions.cve import mention_count
 from cvebeacon.functions.text import null_to_empty
 from cvebeacon.functions.time import iso_date
 from cvebeacon.operators.enrich import one_score_per_day
+from cvebeacon.operators.ordering import running_totals_by
 from cvebeacon.operators.skew import lookup_join
 from cvebeacon.operators.vector_store import VectorStore
 from cvebeacon.operators.vectors import get_encoder, zero_vector
 from cvebeacon.schemas import CVSS_CATEGORICALS
+from cvebeacon.session import materialize
 
 # Sources a model can switch on, in block order.
 SOURCES = ("mastodon", "reddit", "exploitdb", "bleepingcomputer", "telegram", "hackernews")
@@ -33,6 +35,8 @@ ONE_HOT_PREFIX = {
     "availability_impact": "ai",
 }
 MAX_CATEGORIES = 1000
+#: Most values of a column whose list is broadcast.
+BROADCAST_VALUES = 100_000
 
 
 @dataclass(frozen=True)
@@ -76,8 +80,9 @@ def observed_categories(
 ) -> dict[str, list[str]]:
     """Sorted values per column, missing as ``NONE``, from one distributed pass.
 
-    The distinct pairs are counted against ``limit`` before they reach the
-    driver, so a free-text column is an error and not a memory problem.
+    For named 0/1 columns, of which there can only be so many: the distinct pairs
+    are counted against ``limit`` before they reach the driver. ``category_table``
+    has no limit.
     """
     pairs = [
         F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit("NONE")).alias("value"))
@@ -105,6 +110,58 @@ def cvss_one_hot(
     return df.withColumns(columns), list(columns)
 
 
+def category_table(df: DataFrame, columns: list[str] = CVSS_CATEGORICALS) -> DataFrame:
+    """(column, value, position): the sorted values of each column numbered from 0, missing as ``NONE``.
+
+    Any number of values: pairs combine where they are read, are numbered in
+    ranges and stored. The places of ``columns`` in the list is their order.
+    """
+    pairs = [
+        F.struct(F.lit(i).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("NONE")).alias("value"))
+        for i, c in enumerate(columns)
+    ]
+    distinct = df.select(F.inline(F.array(*pairs))).distinct().withColumn("one", F.lit(1).cast("long"))
+    numbered = running_totals_by(distinct, "column", "value", ["one"])
+    names = F.array(*map(F.lit, columns))[F.col("column")]
+    return materialize(
+        numbered.select(
+            names.alias("column"), "value", (F.col("running_one") - 1).alias("position"), F.col("total_one").alias("size")
+        ),
+        "categories",
+    )
+
+
+def categories_one_hot(
+    df: DataFrame, table: DataFrame, columns: list[str] = CVSS_CATEGORICALS
+) -> tuple[DataFrame, list[str]]:
+    """A sparse 0/1 vector column per category column, as wide as the table has values of it.
+
+    A value that the table lacks is an error when its row is computed. Lists up
+    to ``BROADCAST_VALUES`` are broadcast, longer ones joined like any lookup.
+    """
+    sizes = {r["column"]: r for r in table.groupBy("column").agg(F.max("size").alias("n")).collect()}
+    if not sizes:
+        return df, []  # no rows, no values
+    for c in columns:
+        part = table.filter(F.col("column") == c).select(
+            F.col("value").alias(f"__{c}"), F.col("position").cast("double").alias(f"__{c}_index")
+        )
+        named = df.withColumn(f"__{c}", F.coalesce(F.col(c).cast("string"), F.lit("NONE")))
+        if sizes[c]["n"] <= BROADCAST_VALUES:
+            df = named.join(F.broadcast(part), f"__{c}", "left").drop(f"__{c}")
+        else:
+            df = lookup_join(named, part, [f"__{c}"]).drop(f"__{c}")
+    # Fitted on the last position of each column, so the widths are those of the table.
+    last = table.sparkSession.createDataFrame(
+        [tuple(float(sizes[c]["n"] - 1) for c in columns)], ", ".join(f"`__{c}_index` double" for c in columns)
+    )
+    encoder = OneHotEncoder(
+        inputCols=[f"__{c}_index" for c in columns], outputCols=[f"__{c}_vector" for c in columns], dropLast=False
+    )
+    encoded = encoder.fit(last).transform(df)
+    return encoded.drop(*[f"__{c}_index" for c in columns]), [f"__{c}_vector" for c in columns]
+
+
 def _encoded(df: DataFrame, column: str, wanted: Column, config: FeatureConfig) -> DataFrame:
     """Add ``__vector`` for the wanted rows; the others get zeros and meet no encoder."""
     zeros = zero_vector(config.vector_size)
@@ -136,10 +193,14 @@ def text_blocks(df: DataFrame, column: str, prefix: str, config: FeatureConfig)
 def assemble_features(
     df: DataFrame,
     config: FeatureConfig = FeatureConfig(),
-    categories: dict[str, list[str]] | None = None,
+    categories: DataFrame | dict[str, list[str]] | None = None,
     out: str = "features",
 ) -> DataFrame:
-    """Blocks left to right: text, description, score, categories, sources."""
+    """Blocks left to right: text, description, score, categories, sources.
+
+    ``categories`` keeps the columns of another call: a table of
+    ``category_table``, or a short list of values per column.
+    """
     inputs: list[str] = []
     result = df
     for enabled, column in ((config.text, "text"), (config.description, "description")):
@@ -153,7 +214,11 @@ def assemble_features(
         result = result.withColumn("__score", score_feature(F.col("cvss_score")))
         inputs.append("__score")
     if config.cvss_categorical:
-        result, names = cvss_one_hot(result, categories)
+        if isinstance(categories, dict):
+            result, names = cvss_one_hot(result, categories)
+        else:
+            table = category_table(df) if categories is None else categories
+            result, names = categories_one_hot(result, table)
         inputs += names
     if config.sources:
         result = source_one_hot(result, config.sources)

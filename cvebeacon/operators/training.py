@@ -13,8 +13,8 @@ from cvebeacon.operators.features import (
     SOURCES,
     FeatureConfig,
     assemble_features,
+    category_table,
     mentions_source,
-    observed_categories,
 )
 from cvebeacon.operators.metrics import THRESHOLD, batch_loss, pr_auc, r_squared
 from cvebeacon.operators.ordering import first_fraction, shuffled_index
@@ -216,7 +216,7 @@ def run_experiments(
     Every run sees the same rows and the same split; only the features differ.
     """
     table = materialize(split(materialize(drop_unscored(df), "scored"), keys), "split")
-    categories = observed_categories(table) if features.cvss_categorical else None
+    categories = category_table(table) if features.cvss_categorical else None
     results = []
     for name, enabled in (runs or experiments(features.all_sources)).items():
         vectors = assemble_features(table, experiment_config(features, enabled), categories)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -180,6 +184,66 @@ def batch_encoder(make_predict: Callable, size: int, batch_size: int = 32) -> En
     return encode
 
 
+# A model takes the token lists of a batch and gives one vector per list.
+Model = Callable[[list[list[str]]], list[list[float]]]
+
+
+def hybrid_batch_encoder(
+    make_short: Callable[[], Model], make_long: Callable[[], Model], limit: int
+) -> Encoder:
+    """Two models in one pass: the rows of a batch with at most ``limit`` tokens go to the first.
+
+    Both models are loaded once per Python worker; each sees its rows of a batch
+    at once, and the vectors come back in the order of the rows.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def encode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        models = make_short(), make_long()
+        for batch in batches:
+            tokens = [list(t) for t in batch]
+            found: list = [None] * len(tokens)
+            for model, long in zip(models, (False, True), strict=True):
+                at = [i for i, t in enumerate(tokens) if (len(t) > limit) is long]
+                if at:
+                    for i, vector in zip(at, model([tokens[i] for i in at]), strict=True):
+                        found[i] = vector
+            yield pd.Series(found)
+
+    def encode(df: DataFrame, text: str, out: str) -> DataFrame:
+        tokens = whitespace_tokens(F.lower(F.col(text)))
+        return df.withColumn(out, as_vector(encode_batches(tokens)))
+
+    return encode
+
+
+def digest_model(size: int) -> Model:
+    """The digest encoder as a model on token lists."""
+
+    def predict(lists: list[list[str]]) -> list[list[float]]:
+        found = []
+        for tokens in lists:
+            counts = np.zeros(size)
+            for token, n in Counter(tokens).items():
+                counts[hashlib.md5(token.encode()).digest()[0] % size] += n
+            norm = np.sqrt((counts * counts).sum())
+            found.append((counts / norm if norm else counts).tolist())
+        return found
+
+    return predict
+
+
+def chunk_mean_model(model: Model, chunk: int) -> Model:
+    """The mean of a model's vectors of adjacent chunks; for texts longer than one chunk."""
+
+    def predict(lists: list[list[str]]) -> list[list[float]]:
+        cut = [[tokens[i : i + chunk] for i in range(0, max(len(tokens), 1), chunk)] for tokens in lists]
+        vectors = iter(model([part for parts in cut for part in parts]))
+        return [np.mean([next(vectors) for _ in parts], axis=0).tolist() for parts in cut]
+
+    return predict
+
+
 def chunked_encoder(encoder: Encoder, max_length: int, size: int, key: str) -> Encoder:
     """Encode half-overlapping windows and average them per row ``key``."""
 
@@ -196,6 +260,10 @@ def chunked_encoder(encoder: Encoder, max_length: int, size: int, key: str) -> E
 
 register_encoder("hashing", hashing_encoder())
 register_encoder("digest", digest_encoder(8))
+register_encoder(
+    "hybrid-digest",
+    hybrid_batch_encoder(lambda: digest_model(8), lambda: chunk_mean_model(digest_model(8), 382), 382),
+)
 register_encoder("hybrid", hybrid_encoder(hashing_encoder(), hashing_encoder(), 382))
 
 

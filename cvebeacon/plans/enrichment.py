@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from cvebeacon.operators import enrich as E
 from cvebeacon.operators.metrics import missing_report
+from cvebeacon.operators.resume import SlicedJob, enrich_in_slices
 from cvebeacon.plans import views as V
 from cvebeacon.plans.registry import query
 from cvebeacon.schemas import CVSS_COLUMNS, REQUIRED_FOR_USABLE
+from cvebeacon.session import shared_folder
 
 _CVSS = ", ".join(f"c.{c}" for c in CVSS_COLUMNS)
 _USABLE = " and ".join(f"{c} is not null" for c in REQUIRED_FOR_USABLE)
@@ -145,6 +147,31 @@ def enriched_observations(spark, sf_dir):
     return enriched(spark, sf_dir).withColumn("epss_score", F.round("epss_score", 6))
 
 
+class Stopped(Exception):
+    """The run was stopped on purpose."""
+
+
+@query(
+    "enrich_resume",
+    V.with_views("obs epss scored cvss", ", " + ENRICHED_SQL + """
+select * exclude (epss_score), round(epss_score, 6) as epss_score from enriched"""),
+)
+def enrich_resume(spark, sf_dir):
+    """Enrichment in four slices, stopped when the third was written but not entered, then called again."""
+    given = V.observations(spark, sf_dir), V.epss_history(spark, sf_dir), V.nvd_records(spark, sf_dir)
+    job = SlicedJob(shared_folder(spark, "enrich"), 4)
+
+    def stop(number):
+        if number == 2:
+            raise Stopped
+
+    try:
+        enrich_in_slices(*given, job, written=stop)
+    except Stopped:
+        pass
+    return enrich_in_slices(*given, job).withColumn("epss_score", F.round("epss_score", 6))
+
+
 @query(
     "missing_report",
     V.with_views("obs epss scored cvss", ", " + ENRICHED_SQL + """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from cvebeacon.operators import training as T
 from cvebeacon.operators import vectors as Ve
 from cvebeacon.operators.enrich import attach_cvss, cvss_details, enrich_epss
 from cvebeacon.operators.metrics import is_high, r_squared
+from cvebeacon.operators.vector_store import VectorStore
 from cvebeacon.plans import views as V
 from cvebeacon.plans.enrichment import ENRICHED_SQL, enriched
 from cvebeacon.plans.evaluation import KEY_SQL, rounded
@@ -196,6 +198,30 @@ def cvss_onehot(spark, sf_dir):
     )
 
 
+@query(
+    "category_onehot",
+    """with named as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, 'o' || l_orderkey as ord,
+    case when l_suppkey = 1 then 'NONE' else 's' || l_suppkey end as sup from lineitem),
+sizes as (select count(distinct ord) as a, count(distinct sup) as b from named)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, a + b as size,
+  (dense_rank() over (order by ord) - 1) || ',' || (a + dense_rank() over (order by sup) - 1) as on_places
+from named, sizes""",
+)
+def category_onehot(spark, sf_dir):
+    """Sparse one-hot vectors of two columns with a value per order and per supplier."""
+    lines = V.table(spark, sf_dir, "lineitem").select(
+        *_LINE_KEYS, F.expr("'o' || l_orderkey").alias("ord"),
+        F.expr("case when l_suppkey <> 1 then 's' || l_suppkey end").alias("sup"),
+    )
+    both = ["ord", "sup"]
+    encoded, names = Fe.categories_one_hot(lines, Fe.category_table(lines, both), both)
+    joined = VectorAssembler(inputCols=names, outputCol="v").transform(encoded)
+    inside = F.unwrap_udt("v")
+    return joined.select(
+        *_LINE_KEYS, inside["size"].cast("long").alias("size"), F.array_join(inside["indices"], ",").alias("on_places")
+    )
+
+
 # ---- token windows --------------------------------------------------------
 
 _TOKENS_SQL = "list_filter(regexp_split_to_array(text, '[\\s\\p{Z}]+'), lambda x: x <> '')"
@@ -498,16 +524,28 @@ def embedding_cache_misses(spark, sf_dir):
     return Ve.cache_misses(docs, "text", cache.unionByName(other), "hashing")
 
 
-@query("encoded_documents")
+def _hybrid_sql(size: int, limit: int) -> str:
+    """Short texts: the digest of all tokens. Long ones: the mean of the digests of adjacent chunks."""
+    return f"""parts as (select doc_id, unnest(range(0, greatest(len(t), 1), {limit})) as a, t from (
+  select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\s\\p{{Z}}]+'), lambda x: x <> '') as t from documents)),
+hits as (select doc_id, a, ('0x' || substr(md5(w), 1, 2))::int % {size} as k, count(*) as n
+  from (select doc_id, a, unnest(t[a + 1:a + {limit}]) as w from parts) group by all),
+units as (select doc_id, a, k, n / sqrt(sum(n * n) over (partition by doc_id, a)) as v from hits),
+sums as (select doc_id, k, sum(v) as v from units group by all),
+chunks as (select doc_id, count(*) as c from parts group by all)
+select d.doc_id, string_agg(round(coalesce(v, 0) / c, 6)::varchar, ',' order by i) as vector
+from (select doc_id, c, unnest(range(0, {size})) as i from chunks) d
+left join sums s on s.doc_id = d.doc_id and s.k = i group by d.doc_id"""
+
+
+@query("encoded_documents", "with " + _hybrid_sql(_DIGEST_SIZE, 382))
 def encoded_documents(spark, sf_dir):
-    """Vectors through the cache, twice: the second call finds every text stored."""
+    """Every document by one of two encoders, through the store; a second call finds all texts there."""
     docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
-    cache = shared_folder(spark, "vectors")
-    Ve.load_or_compute(docs, "text", "hybrid", cache)
-    again = Ve.load_or_compute(docs, "text", "hybrid", cache)
-    values = vector_to_array("vector")
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x))
-    return again.select("doc_id", F.size(values).alias("size"), F.round(norm, 6).alias("norm"))
+    store = VectorStore(shared_folder(spark, "vectors"), "hybrid-digest")
+    store.fill(store.asked(docs, "text"))
+    values = F.transform(vector_to_array("vector"), lambda x: F.round(x, 6).cast("string"))
+    return store.attach(docs, "text", "vector").select("doc_id", F.array_join(values, ",").alias("vector"))
 
 
 def regression_input(spark, sf_dir, sources=Fe.SOURCES):
