@@ -30,6 +30,10 @@ CLASSES = 2 * 128 * 64
 DIMENSIONS = 32
 
 
+#: Bytes of text whose words have their vectors in memory at a time.
+SLICE_BYTES = 500_000
+
+
 @dataclass(frozen=True)
 class Quality:
     """``sample`` bounds the labelled rows of the fit; all else covers all rows."""
@@ -109,7 +113,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
     total = np.zeros((CLASSES, DIMENSIONS))
     seen = np.zeros(CLASSES, np.int64)
     for batch in batches:
-        for part in words.slices(batch):
+        for part in words.slices(batch, size=SLICE_BYTES):
             flat, counts = classes(part["text"])
             if not len(flat):
                 continue
@@ -151,7 +155,7 @@ def context_table(docs: DataFrame, window: int) -> np.ndarray:
 def _pool(batches: Iterator[pa.RecordBatch], context: np.ndarray) -> Iterator[pa.RecordBatch]:
     table = np.hstack([context, index_vectors()])
     for batch in batches:
-        for part in words.slices(batch):
+        for part in words.slices(batch, size=SLICE_BYTES):
             flat, counts = classes(part["text"])
             pooled = np.zeros((len(counts), table.shape[1] + 3), np.float32)
             some = np.flatnonzero(counts)

@@ -15,12 +15,14 @@ CHUNK_BYTES = 4_000_000
 MEMORY = 300_000
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about CHUNK_BYTES of text, one row at least."""
+def slices(
+    batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``size`` bytes of text, one row at least."""
     if batch.num_rows == 0:
         return
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0))
-    chunk = np.cumsum(sizes) // CHUNK_BYTES
+    chunk = np.cumsum(sizes) // size
     starts = np.flatnonzero(np.diff(chunk, prepend=-1))
     for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
