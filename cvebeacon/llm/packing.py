@@ -12,12 +12,14 @@ nothing is dropped, and only the last sequence is padded.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,26 +38,69 @@ class Packing:
     block_rows: int = 5_000
 
 
-_TOKENIZERS: dict[str, object] = {}
+def _tokenizer(path: str):
+    """The tokenizer of a file, or of the installed package's file of that name."""
+    from tokenizers import Tokenizer
 
+    if not os.path.exists(path):
+        import public_tokenizers
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
+        path = str(public_tokenizers.path(os.path.basename(path)))
+    return Tokenizer.from_file(path)
+
+
+class _WordIds:
+    """Ids of words that were met before.
+
+    The tokenizer splits at white space and drops it, so a text's ids are those
+    of its words one after the other, and a word is encoded once for each task.
+    New words are encoded many at a time, joined by spaces; the offset of an id
+    tells its word. After ``words.MEMORY`` words the memory starts anew.
+    """
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
+    def __init__(self, path: str):
+        self._tokenizer = _tokenizer(path)
+        self._clear()
+
+    def _clear(self) -> None:
+        self._number: dict[str, int] = {}
+        self._ids = np.zeros(0, "<u4")
+        self._starts = self._sizes = np.zeros(0, np.int64)
+
+    def _numbers(self, distinct: list[str]) -> np.ndarray:
+        if len(self._number) > words.MEMORY:
+            self._clear()
+        new = [w for w in distinct if w not in self._number]
+        for a in range(0, len(new), 5_000):
+            part = new[a : a + 5_000]
+            encoded = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
+            begins = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
+            at = np.fromiter((x for x, _ in encoded.offsets), np.int64, len(encoded.ids))
+            sizes = np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(part))
+            self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(sizes) - sizes])
+            self._sizes = np.concatenate([self._sizes, sizes])
+            self._ids = np.concatenate([self._ids, np.array(encoded.ids, "<u4")])
+            self._number.update(zip(part, range(len(self._number), len(self._number) + len(part)), strict=True))
+        return np.fromiter((self._number[w] for w in distinct), np.int64, len(distinct))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
+        cells = pc.ascii_split_whitespace(words.texts_array(texts))
+        at, distinct, counts = words.numbered(cells)
+        number = self._numbers(distinct.to_pylist())[at]
+        sizes = self._sizes[number]
+        ends = np.cumsum(sizes)
+        total = ends[-1] if len(ends) else 0
+        flat = self._ids[np.repeat(self._starts[number] - (ends - sizes), sizes) + np.arange(total)]
+        borders = np.concatenate([[0], ends])[np.cumsum(counts)]
+        return np.split(flat, borders[:-1]) if len(borders) else []
 
 
 def _encode(batches: Iterator[pa.RecordBatch], how: Packing) -> Iterator[pa.RecordBatch]:
-    tokenizer = _tokenizer(how.tokenizer)
+    tokenizer = _WordIds(how.tokenizer)
     for batch in batches:
         for part in words.slices(batch):
-            texts = [t or "" for t in part["text"].to_pylist()]
-            ids = [
-                np.array([*e.ids, how.end_id], "<u4")
-                for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            ]
+            ids = [np.append(x, np.uint32(how.end_id)).astype("<u4") for x in tokenizer.encode(part["text"])]
             # Two bytes are enough for most vocabularies; four if an id needs them.
             stored = [x.astype("<u2") if x.max() < 65536 else x for x in ids]
             yield pa.RecordBatch.from_arrays(
