@@ -37,7 +37,7 @@ COUNTERS = 1 << 16
 class LineDedup:
     """Lines with fewer than ``words`` different words are kept; similarity as a fraction."""
 
-    words: int = 5
+    words: int = 1
     numerator: int = 80
     denominator: int = 100
 
@@ -96,7 +96,7 @@ _LINE = "doc_id long, line int, h1 long, h2 long, n int, bits long, prefix array
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], how: LineDedup, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Every line with enough words: its set as two hashes, its size, its prefix."""
+    """Every line with a word: its set as two hashes, its size, its prefix."""
     for batch in batches:
         for part in words.slices(batch):
             flat, counts, per_text = _line_words(part["text"].to_pylist())
@@ -197,7 +197,9 @@ def later_matches(work: Scratch, texts: DataFrame, how: LineDedup) -> DataFrame:
         ).select("at.doc_id", "at.line", "n", "bits", "prefix"),
         "classes",
     )
-    postings = classes.select("doc_id", "line", "n", "bits", F.posexplode("prefix").alias("i", "word"))
+    # A smaller set is similar to none but its equals, which are its class already.
+    joinable = classes.where(how.denominator * F.col("n") >= how.numerator * (F.col("n") + 1))
+    postings = joinable.select("doc_id", "line", "n", "bits", F.posexplode("prefix").alias("i", "word"))
     earliest = postings.groupBy("word").agg(
         F.min(F.struct("doc_id", "line", "n", "bits", "i")).alias("x"), F.count("*").alias("members")
     )
@@ -264,8 +266,7 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with the text left after removal, and the array ``removed_lines``.
 
-    Lines end at a newline; blank lines and lines of few words stay. Lines are
-    ordered by (document id, line number), so equal lines of different documents
+    Lines end at a newline; blank lines stay. Lines are ordered by (document id, line number), so equal lines of different documents
     are no tie. Rows that share an id must be copies: they share their line
     numbers, and a line never removes one of its own number. Rows without id
     stay as they are and remove nothing of others'; null texts stay null. Extra
@@ -280,7 +281,11 @@ def dedup_lines(
 def without_later_lines(
     docs: DataFrame, how: LineDedup = LineDedup(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with later matching lines removed; documents emptied by that go."""
+    """``docs`` with later matching lines removed; documents emptied by that go.
+
+    Otherwise as ``dedup_lines``: null and blank texts, from which nothing was
+    removed, stay; rows without id and copies under one id likewise.
+    """
     found = _remaining(docs, how, id_col, text_col)
     emptied = F.col("__removed").isNotNull() & ~F.col(text_col).rlike(r"\S")
     return found.where(~emptied).drop("__removed")

@@ -54,13 +54,17 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 """
 
 
-#: Folder of the public tokenizers; the environment variable of the same name wins.
+#: Folder of the public tokenizers where their package is not installed.
 TOKENIZERS = "/opt/tokenizers"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """Place of a vocabulary file; every executor needs it at the same place."""
-    return os.path.join(os.environ.get("TOKENIZERS", TOKENIZERS), name)
+    """Place of a vocabulary file here; a task that lacks it looks in its own package."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return os.path.join(TOKENIZERS, name)
+    return str(public_tokenizers.path(name))
 
 
 _LINKS_SQL = """
@@ -100,7 +104,7 @@ WITH l AS (
     list_distinct(regexp_extract_all({_ASCII_LOWER.format("ls[i]")}, '[^\\x20\\x09-\\x0D]+')) AS ws
   FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
-t AS (SELECT doc_id, line, list_sort(ws) AS ws FROM l WHERE len(ws) >= 5),
+t AS (SELECT doc_id, line, list_sort(ws) AS ws FROM l WHERE len(ws) >= 1),
 k AS (SELECT ws, min((doc_id, line)) AS pos, len(ws) AS n FROM t GROUP BY ws),
 w AS (SELECT pos, n, ws, unnest(ws) AS w FROM k),
 f AS (SELECT w, count(*) AS df FROM w GROUP BY w),
