@@ -67,7 +67,8 @@ def lookup_join(
     runs again deals its rows the same way, and equal rows are dealt apart.
 
     ``weight`` names a column of ``dim`` that already holds the rows per key; it
-    then covers every key of ``facts``, NULLs included, and saves the sketch.
+    then covers every key of ``facts``, NULLs included, and saves the sketch; give
+    it a stored ``dim``, which is summed when the function is called.
     Without it NULL keys match nothing.
     """
     if how not in ("left", "inner"):
@@ -83,7 +84,8 @@ def lookup_join(
         heavy = F.broadcast(_sketched(facts, key(facts), limit, partitions))
         spread = dim.select(*on, *values, key(dim).alias("__lj_key")).join(heavy, "__lj_key", "left")
     else:
-        total = dim.agg(F.sum(weight).alias("t")).select("t").scalar()
+        # One number of a stored table, so the plan of the join has no single-task stage.
+        total = F.lit(dim.agg(F.sum(weight)).first()[0] or 0)
         spread = dim.select(
             *on, *values, key(dim).alias("__lj_key"), _pieces(F.col(weight), total, partitions).alias("__lj_pieces")
         )

@@ -97,7 +97,7 @@ def test_cvss_versions_fallbacks_and_descriptions(spark):
         ("bare", None, (None, None, None)),
         ("blank", [en], (metric(baseScore=1.0, attackVector="", accessVector="A"), None, None)),
     ]
-    nvd = spark.createDataFrame([(r,) for r in records], schemas.NVD)
+    nvd = spark.createDataFrame([((*r, None),) for r in records], schemas.NVD)
     obs = spark.createDataFrame([(r[0],) for r in records] + [("unknown",), (None,)], "cve STRING")
     got = {r.cve: r for r in E.attach_cvss(obs, nvd).collect()}
     assert [got[k].cvss_version for k in ("all", "v30", "v2", "bare", "unknown", None)] == ["3.1", "3.0", "2.0", None, None, None]
