@@ -441,7 +441,8 @@ r2s as (select run, 1 - sum((predicted - actual) ** 2) / (var_pop(actual) * coun
 ranked as (select run, predicted, sum(p) over w as tp, sum(n) over w as k, sum(p) over (partition by run) as p, p as own, n
   from (select run, predicted, sum((actual >= 0.02)::int) as p, count(*) as n from pred group by 1, 2)
   window w as (partition by run order by predicted desc)),
-areas as (select run, sum(own / p * (tp / k + case when k = n then 1.0 else (tp - own) / (k - n) end) / 2) as pr_auc from ranked group by run)
+areas as (select run, case when max(p) between 1 and max(k) - 1 then
+    sum(own / p * (tp / k + case when k = n then 1.0 else (tp - own) / (k - n) end) / 2) end as pr_auc from ranked group by run)
 select run as experiment, (select max(m) from cols c where c.run = l.run) - 1 as features,
   (select count(*) from r where split = 'train') as train_rows, test_rows::bigint as test_rows,
   round(test_loss, 6) as test_loss, round(r2, 6) as r2, round(pr_auc, 6) as pr_auc
