@@ -218,22 +218,31 @@ def later_matches(work: Scratch, texts: DataFrame, how: LineDedup) -> DataFrame:
         "postings",
     )
     num, den = how.numerator, how.denominator
-    passes = F.expr(
+    alike = F.expr(
         f"(a_doc < b_doc or (a_doc = b_doc and a_line < b_line))"
         f" and {num} * greatest(a_n, b_n) <= {den} * least(a_n, b_n)"
-        f" and {num + den} * least(a_n - a_i, b_n - b_i) >= {num} * (a_n + b_n)"
         # Bits that only one line has are words that only it has.
         f" and {num + den} * least(a_n - bit_count(a_bits & ~b_bits), b_n - bit_count(b_bits & ~a_bits))"
         f" >= {num} * (a_n + b_n)"
     )
+    # The first shared word: nothing before it is shared.
+    placed = F.expr(f"{num + den} * least(a_n - a_i, b_n - b_i) >= {num} * (a_n + b_n)")
+    # All words shared in the prefixes: of the line whose prefix ends first in the
+    # common order, no other word but those behind its prefix can be shared.
+    counted = F.expr(
+        f"{num + den} * (shared + ({num} * greatest(a_n, b_n) + {den - 1}) div {den} - 1) >= {num} * (a_n + b_n)"
+    )
     ids = ["a_doc", "a_line", "b_doc", "b_line"]
-    first = work.table(postings.join(earliest, "word").where(passes).select(ids).distinct(), "first-pairs")
+    first = work.table(postings.join(earliest, "word").where(alike & placed).select(ids).distinct(), "first-pairs")
     gone = _verified(work, first, texts, how)
     open_ = postings.join(small(gone), ["b_doc", "b_line"], "left_anti")
     ahead = postings.select(
         "word", *(F.col(f"b_{c}").alias(f"a_{c}") for c in ("doc", "line", "n", "bits", "i"))
     )
-    rest = open_.join(ahead, "word").where(passes).select(ids).distinct()
+    rest = open_.join(ahead, "word").where(alike).groupBy(*ids, "a_n", "b_n").agg(
+        F.count("*").alias("shared"), F.min("a_i").alias("a_i"), F.min("b_i").alias("b_i")
+    )
+    rest = rest.where(placed & counted).select(ids).distinct()
     rest = work.table(rest.join(first, ids, "left_anti"), "pairs")
     work.drop(postings)
     gone = gone.unionByName(_verified(work, rest, texts, how)).select(
