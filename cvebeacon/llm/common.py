@@ -13,6 +13,9 @@ from cvebeacon.session import shared_folder
 #: Most rows of two or three numbers that a join side may have to be broadcast.
 BROADCAST_ROWS = 1_000_000
 
+#: Lets go of an execution's shuffle files when it ends, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The frame with a broadcast hint if its counted rows allow it, else as it is.
@@ -27,7 +30,8 @@ class Scratch:
 
     A written table cuts the lineage, so a lost executor costs the running stage
     only, and all executors can read it. ``close`` removes all but the tables
-    that were kept.
+    that were kept. The shuffle files behind a table go once it is written: later
+    jobs read the table, so none would read them again.
     """
 
     def __init__(self, spark: SparkSession, purpose: str):
@@ -42,7 +46,12 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         if keep:
             self._kept.add(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
