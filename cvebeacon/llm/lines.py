@@ -3,8 +3,9 @@
 Method: a line is the set of its words. Words are ordered by rarity; two lines
 that are similar enough share a word in their prefixes, the first
 ``n - ceil(similarity * n) + 1`` words in that order. Pairs that share a prefix
-word and pass the length and positional filters, and a filter on 64-bit word maps
-that bounds what they share, are verified on their full sets.
+word and pass the length and positional filters, a filter on 64-bit word
+maps that bounds what they share, and one on the number of prefix words that they
+share, are verified on their full sets.
 A line goes if an earlier one, by document id and line number, is that similar.
 
 Rarity comes from word counts over all texts in a table of fixed size, shared by
@@ -111,10 +112,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], how: LineDedup, rank: np.ndarra
             first = np.cumsum(n[keep]) - n[keep]
             h1 = np.add.reduceat(words.mix(inside), first)
             h2 = np.add.reduceat(words.mix(inside ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (inside >> np.uint64(58)), first)
             size = prefix_size(n[keep], how)
-            short = (tokens[_ranges(starts[keep], size)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            prefix = tokens[_ranges(starts[keep], size)]
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (inside >> np.uint64(58)), first)
+            short = (prefix >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     part["doc_id"].take(pa.array(text[keep])),
@@ -197,6 +199,10 @@ def later_matches(work: Scratch, texts: DataFrame, how: LineDedup) -> DataFrame:
         ).select("at.doc_id", "at.line", "n", "bits", "prefix"),
         "classes",
     )
+    places = ["doc_id", "line"]
+    copies = lines.select(places).distinct().join(classes.select(places), places, "left_anti")
+    copies = work.table(copies, "copies")
+    work.drop(lines)
     # A smaller set is similar to none but its equals, which are its class already.
     joinable = classes.where(how.denominator * F.col("n") >= how.numerator * (F.col("n") + 1))
     postings = joinable.select("doc_id", "line", "n", "bits", F.posexplode("prefix").alias("i", "word"))
@@ -217,21 +223,24 @@ def later_matches(work: Scratch, texts: DataFrame, how: LineDedup) -> DataFrame:
         ),
         "postings",
     )
+    work.drop(classes)
     num, den = how.numerator, how.denominator
+    enough = f"{num + den} * ({{}}) >= {num} * (a_n + b_n)"
+    # The line whose prefix ends first in the common order shares no other words but
+    # those of its prefix and those behind it.
+    behind = f"({num} * greatest(a_n, b_n) + {den - 1}) div {den} - 1"
+
     alike = F.expr(
         f"(a_doc < b_doc or (a_doc = b_doc and a_line < b_line))"
         f" and {num} * greatest(a_n, b_n) <= {den} * least(a_n, b_n)"
         # Bits that only one line has are words that only it has.
-        f" and {num + den} * least(a_n - bit_count(a_bits & ~b_bits), b_n - bit_count(b_bits & ~a_bits))"
-        f" >= {num} * (a_n + b_n)"
+        f" and {enough.format('least(a_n - bit_count(a_bits & ~b_bits), b_n - bit_count(b_bits & ~a_bits))')}"
+        # No more can be shared before a shared word, or behind it, than the shorter side has there.
+        f" and {enough.format('least(a_i, b_i) + least(a_n - a_i, b_n - b_i)')}"
     )
     # The first shared word: nothing before it is shared.
-    placed = F.expr(f"{num + den} * least(a_n - a_i, b_n - b_i) >= {num} * (a_n + b_n)")
-    # All words shared in the prefixes: of the line whose prefix ends first in the
-    # common order, no other word but those behind its prefix can be shared.
-    counted = F.expr(
-        f"{num + den} * (shared + ({num} * greatest(a_n, b_n) + {den - 1}) div {den} - 1) >= {num} * (a_n + b_n)"
-    )
+    placed = F.expr(enough.format("least(a_n - a_i, b_n - b_i)"))
+    counted = F.expr(enough.format(f"shared + {behind}"))
     ids = ["a_doc", "a_line", "b_doc", "b_line"]
     first = work.table(postings.join(earliest, "word").where(alike & placed).select(ids).distinct(), "first-pairs")
     gone = _verified(work, first, texts, how)
@@ -248,9 +257,7 @@ def later_matches(work: Scratch, texts: DataFrame, how: LineDedup) -> DataFrame:
     gone = gone.unionByName(_verified(work, rest, texts, how)).select(
         F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")
     )
-    kept = classes.select("doc_id", "line").join(gone, ["doc_id", "line"], "left_anti")
-    removed = lines.where("doc_id is not null").select("doc_id", "line").distinct()
-    return work.table(removed.join(kept, ["doc_id", "line"], "left_anti"), "removed", keep=True)
+    return work.table(copies.unionByName(gone).distinct(), "removed", keep=True)
 
 
 def _remaining(docs: DataFrame, how: LineDedup, id_col: str, text_col: str) -> DataFrame:
