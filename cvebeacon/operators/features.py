@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler, VectorSizeHint
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,15 +154,108 @@ def categories_one_hot(
             df = named.join(F.broadcast(part), f"__{c}", "left").drop(f"__{c}")
         else:
             df = lookup_join(named, part, [f"__{c}"]).drop(f"__{c}")
-    # Fitted on the last position of each column, so the widths are those of the table.
-    last = table.sparkSession.createDataFrame(
-        [tuple(float(sizes[c]["n"] - 1) for c in columns)], ", ".join(f"`__{c}_index` double" for c in columns)
-    )
-    encoder = OneHotEncoder(
-        inputCols=[f"__{c}_index" for c in columns], outputCols=[f"__{c}_vector" for c in columns], dropLast=False
+    for c in columns:
+        df = df.withColumn(f"__{c}_vector", one_hot(sizes[c]["n"])(F.col(f"__{c}_index")))
+    return df.drop(*[f"__{c}_index" for c in columns]), [f"__{c}_vector" for c in columns]
+
+
+# ---- vectors ----------------------------------------------------------------
+
+# Spark ML names every position of a vector in the driver, so its encoder and
+# assembler end where a vector is as wide as a table is long. These name none.
+
+
+def _vectors(sparse: np.ndarray, sizes: np.ndarray, counts: np.ndarray, at: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Vectors of ``counts`` values each; the dense ones' positions are left out."""
+    listed = np.repeat(sparse, counts)
+    ends = [np.concatenate([[0], np.cumsum(n)]).astype(np.int32) for n in (np.where(sparse, counts, 0), counts)]
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(np.where(sparse, 0, 1).astype(np.int8)),
+            pa.array(sizes.astype(np.int32), mask=~sparse),
+            pa.ListArray.from_arrays(ends[0], pa.array(at[listed].astype(np.int32)), mask=pa.array(~sparse)),
+            pa.ListArray.from_arrays(ends[1], pa.array(values)),
+        ],
+        names=["type", "size", "indices", "values"],
     )
-    encoded = encoder.fit(last).transform(df)
-    return encoded.drop(*[f"__{c}_index" for c in columns]), [f"__{c}_vector" for c in columns]
+
+
+def one_hot(width: int) -> Callable[[Column], Column]:
+    """A sparse vector of ``width`` with a 1 at the given position; no position or one outside is an error."""
+
+    @F.arrow_udf(VectorUDT())
+    def encode(position: pa.Array) -> pa.Array:
+        if position.null_count:
+            raise ValueError("a value that the category table lacks")
+        at = position.to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(at) and not 0 <= at.min() <= at.max() < width:
+            raise ValueError(f"a position outside of {width} values")
+        ones = np.ones(len(at), np.int64)
+        return _vectors(ones > 0, ones * width, ones, at, ones.astype(float))
+
+    return encode
+
+
+def _entries(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse or not, width and number of listed values of each cell; places and values of all."""
+    n = len(cells)
+    if not pa.types.is_struct(cells.type):
+        # Missing numbers become NaN, as the assembler's "keep" has it.
+        values = cells.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+        return np.zeros(n, bool), np.ones(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64), values
+    if cells.null_count:
+        raise ValueError("a vector is missing")
+    kind, size, indices, lists = cells.flatten()
+    sparse = kind.to_numpy(zero_copy_only=False) == 0
+    counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    sizes = np.where(sparse, np.asarray(size.fill_null(0), np.int64), counts)
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    at = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at[np.repeat(sparse, counts)] = indices.flatten().to_numpy(zero_copy_only=False)
+    return sparse, sizes, counts, at, values
+
+
+def joined_vectors(*inputs: Column) -> Column:
+    """One vector of the numbers and vectors of ``inputs``, left to right, in the smaller of both forms.
+
+    Stays sparse if all inputs are sparse vectors.
+    """
+
+    @F.arrow_udf(VectorUDT())
+    def join(*cells: pa.Array) -> pa.Array:
+        parts = [_entries(c) for c in cells]
+        n = len(cells[0])
+        width = np.zeros(n, np.int64)
+        row, at, values = [], [], []
+        for _, sizes, counts, own, listed in parts:
+            row.append(np.repeat(np.arange(n), counts))
+            at.append(own + np.repeat(width, counts))
+            values.append(listed)
+            width += sizes
+        if n and width.max() >= 2**31:
+            raise ValueError(f"{width.max()} positions are too many for a vector")
+        row, at, values = map(np.concatenate, (row, at, values))
+        order = np.argsort(row, kind="stable")
+        row, at, values = row[order], at[order], values[order]
+        all_sparse = np.logical_and.reduce([p[0] for p in parts])
+        full = (values != 0) | all_sparse[row]
+        counts = np.bincount(row[full], minlength=n)
+        sparse = all_sparse | (1.5 * (counts + 1) < width)
+        # Dense rows are written out; sparse ones keep what is listed.
+        filled = np.where(sparse, counts, width)
+        first = np.cumsum(filled) - filled
+        places, numbers = np.zeros((2, filled.sum()))
+        listed = full & sparse[row]
+        inside = np.arange(listed.sum()) - np.repeat(
+            np.cumsum(np.where(sparse, counts, 0)) - np.where(sparse, counts, 0), np.where(sparse, counts, 0)
+        )
+        target = first[row[listed]] + inside
+        places[target], numbers[target] = at[listed], values[listed]
+        dense = ~sparse[row]
+        numbers[first[row[dense]] + at[dense]] = values[dense]
+        return _vectors(sparse, width, filled, places, numbers)
+
+    return join(*inputs)
 
 
 def _encoded(df: DataFrame, column: str, wanted: Column, config: FeatureConfig) -> DataFrame:
@@ -206,9 +302,6 @@ def assemble_features(
     for enabled, column in ((config.text, "text"), (config.description, "description")):
         if enabled:
             result, blocks = text_blocks(result, column, f"__{column}", config)
-            for block in blocks:
-                size = VectorSizeHint(inputCol=block, size=config.vector_size, handleInvalid="optimistic")
-                result = size.transform(result)
             inputs += blocks
     if config.cvss_score:
         result = result.withColumn("__score", score_feature(F.col("cvss_score")))
@@ -225,8 +318,7 @@ def assemble_features(
         inputs += [f"source_{n}" for n in config.sources]
     if not inputs:
         raise ValueError("no features selected")
-    assembled = VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep").transform(result)
-    return assembled.select(*df.columns, out)
+    return result.withColumn(out, joined_vectors(*map(F.col, inputs))).select(*df.columns, out)
 
 
 def feature_rows(entries: DataFrame, history: DataFrame) -> DataFrame:

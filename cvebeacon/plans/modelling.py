@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -215,7 +214,7 @@ def category_onehot(spark, sf_dir):
     )
     both = ["ord", "sup"]
     encoded, names = Fe.categories_one_hot(lines, Fe.category_table(lines, both), both)
-    joined = VectorAssembler(inputCols=names, outputCol="v").transform(encoded)
+    joined = encoded.withColumn("v", Fe.joined_vectors(*map(F.col, names)))
     inside = F.unwrap_udt("v")
     return joined.select(
         *_LINE_KEYS, inside["size"].cast("long").alias("size"), F.array_join(inside["indices"], ",").alias("on_places")

@@ -4,7 +4,9 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from cvebeacon import schemas
@@ -84,6 +86,28 @@ def test_many_categories(spark):
     assert [v for v, _ in sorted(table.items(), key=lambda x: x[1])] == sorted(f"v{i}" for i in range(6000))
 
 
+def test_wide_category_vectors_name_no_position_in_the_driver(spark):
+    df = spark.range(5000).select(F.concat(F.lit("v"), F.col("id")).alias("c"), F.lit("x").alias("d"), F.col("id") / 2)
+    encoded, names = Fe.categories_one_hot(df, Fe.category_table(df, ["c", "d"]), ["c", "d"])
+    joined = encoded.withColumn("v", Fe.joined_vectors(*map(F.col, names)))
+    assert all(joined.schema[c].metadata == {} for c in [*names, "v"])
+    rows = joined.select("c", F.unwrap_udt("v").alias("v")).collect()
+    places = {v: i for i, v in enumerate(sorted(r["c"] for r in rows))}
+    assert all(list(r["v"]) == [0, 5001, [places[r["c"]], 5000], [1.0, 1.0]] for r in rows) and len(rows) == 5000
+
+
+def test_joined_vectors_equal_the_assembler(spark):
+    rows = [
+        (float(i), Vectors.dense([0.0, i % 3]), Vectors.sparse(9, {i % 9: 1.0}), Vectors.sparse(2, [1], [0.0 if i % 2 else 2.0]))
+        for i in range(50)
+    ]
+    df = spark.createDataFrame(rows, ["x", "a", "b", "c"])
+    for columns in (["x", "a", "b", "c"], ["b", "c"], ["b", "x"], ["x"]):
+        wanted = [r["o"].toArray().tolist() for r in VectorAssembler(inputCols=columns, outputCol="o").transform(df).collect()]
+        got = df.select(Fe.joined_vectors(*map(F.col, columns)).alias("o")).collect()
+        assert [r["o"].toArray().tolist() for r in got] == wanted
+
+
 def unit(tokens, size=8):
     counts = np.zeros(size)
     for t in tokens:
