@@ -13,11 +13,13 @@ Unicode line ends, so the patterns use the classes below and ``(?d)``.
 from __future__ import annotations
 
 import html
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,17 +178,40 @@ def null_to_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def unescape_html(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _unescape_html_items(lists: pd.Series) -> pd.Series:
-    return lists.map(
-        lambda items: [t if t is None else html.unescape(t) for t in items],
-        na_action="ignore",
-    )
+#: Bytes of text that a task unescapes at a time, whatever the rows of a batch hold.
+SLICE_BYTES = 2_000_000
+
+
+def _slices(cells: pa.Array, texts: pa.Array, ends: np.ndarray) -> Iterator[pa.Array]:
+    """``cells`` in slices of about ``SLICE_BYTES``, one cell at least; cell i has the texts before ``ends[i]``."""
+    if len(cells) == 0:
+        return
+    sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))])
+    before = sizes[np.concatenate([[0], ends[:-1]])]
+    starts = np.flatnonzero(np.diff(before // SLICE_BYTES, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(cells)], strict=True):
+        yield cells.slice(a, b - a)
+
+
+@F.arrow_udf(T.StringType())
+def unescape_html(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        for part in _slices(texts, texts, np.arange(1, len(texts) + 1)):
+            yield pa.array([t if t is None else html.unescape(t) for t in part.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _unescape_html_items(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for lists in batches:
+        ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0), np.int64))
+        for part in _slices(lists, lists.flatten(), ends):
+            yield pa.array(
+                [
+                    items if items is None else [t if t is None else html.unescape(t) for t in items]
+                    for items in part.to_pylist()
+                ],
+                pa.list_(pa.string()),
+            )
 
 
 # ---- profiles -------------------------------------------------------------

@@ -4,6 +4,7 @@ import html
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -198,3 +199,20 @@ def test_emoji_points_follow_the_unicode_property():
     digits_and_flags = set(map(ord, "#*0123456789")) | set(range(0x1F1E6, 0x1F200))
     # Later Unicode versions may add a few code points to the newest blocks.
     assert {p for p in missing - digits_and_flags if p < 0x1F6D8} == set()
+
+
+def test_unescaping_holds_a_slice_of_a_batch_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(X, "SLICE_BYTES", 1000)
+    texts = [None if i % 7 == 0 else "&lt;p&gt; &amp " * (i % 90) for i in range(300)]
+    texts[5] = "&eacute" * 700
+    wanted = [t if t is None else html.unescape(t) for t in texts]
+    parts = list(X.unescape_html.func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert [t for p in parts for t in p.to_pylist()] == wanted
+    assert max(sum(len(t or "") for t in p.to_pylist()) for p in parts if len(p) > 1) < 3000
+    lists = [None if i % 11 == 0 else texts[i : i + i % 4] for i in range(300)]
+    parts = list(X._unescape_html_items.func(iter([pa.array(lists)])))
+    assert len(parts) > 20
+    assert [x for p in parts for x in p.to_pylist()] == [x if x is None else wanted[i : i + i % 4] for i, x in enumerate(lists)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = {r["i"]: r["u"] for r in df.select("i", X.unescape_html(F.col("t")).alias("u")).collect()}
+    assert got == dict(enumerate(wanted))
