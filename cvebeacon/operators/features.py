@@ -196,34 +196,50 @@ def one_hot(width: int) -> Callable[[Column], Column]:
     return encode
 
 
-def _entries(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse or not, width and number of listed values of each cell; places and values of all."""
+def _numbers(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A column of numbers, as ``_entries`` has it; missing ones become NaN, as the assembler's "keep" has it."""
     n = len(cells)
-    if not pa.types.is_struct(cells.type):
-        # Missing numbers become NaN, as the assembler's "keep" has it.
-        values = cells.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
-        return np.zeros(n, bool), np.ones(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64), values
-    if cells.null_count:
+    values = cells.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    return np.zeros(n, bool), np.ones(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64), values
+
+
+def _entries(
+    kind: pa.Array, size: pa.Array, indices: pa.Array, lists: pa.Array
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse or not, width and number of listed values of each vector; places and values of all."""
+    if kind.null_count:
         raise ValueError("a vector is missing")
-    kind, size, indices, lists = cells.flatten()
     sparse = kind.to_numpy(zero_copy_only=False) == 0
-    counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-    sizes = np.where(sparse, np.asarray(size.fill_null(0), np.int64), counts)
+    counts = np.asarray(lists.value_lengths(), np.int64)
+    sizes = np.where(sparse, np.asarray(size, np.int64), counts)
     values = lists.flatten().to_numpy(zero_copy_only=False)
     at = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
     at[np.repeat(sparse, counts)] = indices.flatten().to_numpy(zero_copy_only=False)
     return sparse, sizes, counts, at, values
 
 
-def joined_vectors(*inputs: Column) -> Column:
-    """One vector of the numbers and vectors of ``inputs``, left to right, in the smaller of both forms.
+def joined_vectors(df: DataFrame, inputs: list[str], out: str) -> DataFrame:
+    """Add one vector of the numbers and vectors of ``inputs``, left to right, in the smaller of both forms.
 
-    Stays sparse if all inputs are sparse vectors.
+    Stays sparse if all inputs are sparse vectors. Vectors go to Python field by
+    field: as structs with missing indices their size is taken anew for each row.
     """
+    fields: list[Column] = []
+    starts = []
+    for c in inputs:
+        starts.append((len(fields), isinstance(df.schema[c].dataType, VectorUDT)))
+        if starts[-1][1]:
+            v = F.unwrap_udt(c)
+            fields += [
+                v["type"], F.coalesce(v["size"], F.lit(0)),
+                F.coalesce(v["indices"], F.array().cast("array<int>")), v["values"],
+            ]
+        else:
+            fields.append(F.col(c).cast("double"))
 
     @F.arrow_udf(VectorUDT())
     def join(*cells: pa.Array) -> pa.Array:
-        parts = [_entries(c) for c in cells]
+        parts = [_entries(*cells[a : a + 4]) if vector else _numbers(cells[a]) for a, vector in starts]
         n = len(cells[0])
         width = np.zeros(n, np.int64)
         row, at, values = [], [], []
@@ -255,7 +271,7 @@ def joined_vectors(*inputs: Column) -> Column:
         numbers[first[row[dense]] + at[dense]] = values[dense]
         return _vectors(sparse, width, filled, places, numbers)
 
-    return join(*inputs)
+    return df.withColumn(out, join(*fields))
 
 
 def _encoded(df: DataFrame, column: str, wanted: Column, config: FeatureConfig) -> DataFrame:
@@ -318,7 +334,7 @@ def assemble_features(
         inputs += [f"source_{n}" for n in config.sources]
     if not inputs:
         raise ValueError("no features selected")
-    return result.withColumn(out, joined_vectors(*map(F.col, inputs))).select(*df.columns, out)
+    return joined_vectors(result, inputs, out).select(*df.columns, out)
 
 
 def feature_rows(entries: DataFrame, history: DataFrame) -> DataFrame:

@@ -214,7 +214,7 @@ def category_onehot(spark, sf_dir):
     )
     both = ["ord", "sup"]
     encoded, names = Fe.categories_one_hot(lines, Fe.category_table(lines, both), both)
-    joined = encoded.withColumn("v", Fe.joined_vectors(*map(F.col, names)))
+    joined = Fe.joined_vectors(encoded, names, "v")
     inside = F.unwrap_udt("v")
     return joined.select(
         *_LINE_KEYS, inside["size"].cast("long").alias("size"), F.array_join(inside["indices"], ",").alias("on_places")

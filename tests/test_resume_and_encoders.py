@@ -89,7 +89,7 @@ def test_many_categories(spark):
 def test_wide_category_vectors_name_no_position_in_the_driver(spark):
     df = spark.range(5000).select(F.concat(F.lit("v"), F.col("id")).alias("c"), F.lit("x").alias("d"), F.col("id") / 2)
     encoded, names = Fe.categories_one_hot(df, Fe.category_table(df, ["c", "d"]), ["c", "d"])
-    joined = encoded.withColumn("v", Fe.joined_vectors(*map(F.col, names)))
+    joined = Fe.joined_vectors(encoded, names, "v")
     assert all(joined.schema[c].metadata == {} for c in [*names, "v"])
     rows = joined.select("c", F.unwrap_udt("v").alias("v")).collect()
     places = {v: i for i, v in enumerate(sorted(r["c"] for r in rows))}
@@ -104,10 +104,17 @@ def test_joined_vectors_equal_the_assembler(spark):
     df = spark.createDataFrame(rows, ["x", "a", "b", "c"])
     for columns in (["x", "a", "b", "c"], ["b", "c"], ["b", "x"], ["x"]):
         wanted = [r["o"].toArray().tolist() for r in VectorAssembler(inputCols=columns, outputCol="o").transform(df).collect()]
-        got = df.select(Fe.joined_vectors(*map(F.col, columns)).alias("o")).collect()
+        got = Fe.joined_vectors(df, columns, "o").collect()
         assert [r["o"].toArray().tolist() for r in got] == wanted
 
 
+def test_joined_vectors_send_no_struct_to_python(spark, capsys):
+    df = spark.createDataFrame([(Vectors.dense([1.0, 2.0]), Vectors.sparse(9, {3: 1.0}))], ["a", "b"])
+    Fe.joined_vectors(df, ["a", "b"], "o").explain()
+    sent = capsys.readouterr().out.split("ArrowEvalPython [join(")[1].split(")#")[0]
+    assert "unwrap_udt(a" in sent and sent.count(".values") == 2 and "join(a#" not in sent
+
+
 def unit(tokens, size=8):
     counts = np.zeros(size)
     for t in tokens:
