@@ -3,9 +3,8 @@
 Method: a line is the set of its words. Words are ordered by rarity; two lines
 that are similar enough share a word in their prefixes, the first
 ``n - ceil(similarity * n) + 1`` words in that order. Pairs that share a prefix
-word and pass the length and positional filters, a filter on 64-bit word
-maps that bounds what they share, and one on the number of prefix words that they
-share, are verified on their full sets.
+word and pass the length and positional filters, and a filter on parities of their
+words that bounds in how many they differ, are verified on their full sets.
 A line goes if an earlier one, by document id and line number, is that similar.
 
 Rarity comes from word counts over all texts in a table of fixed size, shared by
@@ -13,25 +12,31 @@ words that collide; any common order gives exact results, a good one is fast.
 
 Hot groups: equal lines are one class, represented by the first of them, so a
 common line costs one row. In the group of a prefix word every class is first
-compared with the earliest class only; just those not removed by it meet all
-earlier ones. Kept lines are found by position, never by joining on a common line.
+compared with the earliest class only; just those not removed by it meet the
+other earlier ones. Kept lines are found by position, never by joining on a common line.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cvebeacon.llm import words
 from cvebeacon.llm.common import Scratch, scratch, small
 
-#: Counters of the rarity table.
-COUNTERS = 1 << 16
+#: Counters of the rarity table, and how many of them are added up as one row.
+COUNTERS = 1 << 20
+BLOCK = 1 << 13
+#: Turns in which the lines that share a prefix word meet, each with its own words.
+SLICES = 4
+#: Lines of so many words have a second word map.
+MANY = 48
 
 
 @dataclass(frozen=True)
@@ -43,32 +48,48 @@ class LineDedup:
     denominator: int = 100
 
 
-def _line_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all lines in turn, words per line, lines per text."""
-    lines = [(t or "").split("\n") for t in texts]
-    per_text = np.fromiter(map(len, lines), np.int64, len(lines))
-    flat, counts = words.word_hashes([line for own in lines for line in own])
-    return flat, counts, per_text
+    data, offsets = words.utf8(texts)
+    starts, ends = words.spans(data, offsets)
+    breaks = np.flatnonzero(data == 10)
+    per_text = np.diff(np.searchsorted(breaks, offsets)) + 1
+    begins = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
+    counts = np.diff(np.append(np.searchsorted(starts, begins), len(starts)))
+    return words.codes(data, starts, ends), counts, per_text
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         for part in words.slices(batch):
-            flat, _ = words.word_hashes(part["text"])
+            flat, _, _ = _line_words(part["text"])
             seen += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-    at = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["counter", "n"])
+    blocks = seen.reshape(-1, BLOCK)
+    at = np.flatnonzero(blocks.any(axis=1))
+    counts = pa.array([x.tobytes() for x in blocks[at]], pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(at), counts], names=["block", "counts"])
+
+
+def _add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BLOCK, np.int64)
+    for batch in tables:
+        for counts in batch["counts"]:
+            total += np.frombuffer(counts.as_buffer(), np.int64)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"]
+    )
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
     """Rank of every counter, rarest first, from the words of all texts."""
-    counts = texts.mapInArrow(_count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    table = np.zeros(COUNTERS, np.int64)
-    for row in counts.toPandas().itertuples():
-        table[row.counter] = row.n
+    schema = "block long, counts binary"
+    counts = texts.mapInArrow(_count, schema).groupBy("block").applyInArrow(_add, schema)
+    table = np.zeros((COUNTERS // BLOCK, BLOCK), np.int64)
+    for row in counts.collect():
+        table[row.block] = np.frombuffer(row.counts, np.int64)
     rank = np.empty(COUNTERS, np.int32)
-    rank[np.argsort(table, kind="stable")] = np.arange(COUNTERS, dtype=np.int32)
+    rank[np.argsort(table.ravel(), kind="stable")] = np.arange(COUNTERS, dtype=np.int32)
     return rank
 
 
@@ -76,7 +97,15 @@ def _sets(flat: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> tuple[np.nd
     """Different words of each line, rarest first, line after line, and their number."""
     owner = np.repeat(np.arange(len(counts)), counts)
     place = rank[(flat % np.uint64(COUNTERS)).astype(np.int64)]
-    order = np.lexsort((flat, place, owner))
+    # Line, rank and the first bits of the hash in one number sort fastest.
+    used = len(counts).bit_length() + COUNTERS.bit_length() - 1
+    key = (owner.astype(np.uint64) * np.uint64(COUNTERS) + place.astype(np.uint64)) << np.uint64(64 - used)
+    key |= flat >> np.uint64(used)
+    order = np.argsort(key)
+    tied = key[order]
+    tied = tied[1:] == tied[:-1]
+    if (tied & (flat[order][1:] != flat[order][:-1])).any():
+        order = np.lexsort((flat, place, owner))
     flat, owner = flat[order], owner[order]
     new = np.ones(len(flat), bool)
     new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
@@ -93,14 +122,14 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-_LINE = "doc_id long, line int, h1 long, h2 long, n int, bits long, prefix array<int>"
+_LINE = "doc_id long, line int, h1 long, h2 long, n int, bits long, half long, prefix array<int>"
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], how: LineDedup, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Every line with a word: its set as two hashes, its size, its prefix."""
     for batch in batches:
         for part in words.slices(batch):
-            flat, counts, per_text = _line_words(part["text"].to_pylist())
+            flat, counts, per_text = _line_words(part["text"])
             tokens, n = _sets(flat, counts, rank)
             starts = np.cumsum(n) - n
             keep = np.flatnonzero(n >= max(how.words, 1))
@@ -115,7 +144,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], how: LineDedup, rank: np.ndarra
             size = prefix_size(n[keep], how)
             prefix = tokens[_ranges(starts[keep], size)]
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (inside >> np.uint64(58)), first)
+            one = np.uint64(1) << (inside >> np.uint64(58))
+            bits = np.bitwise_xor.reduceat(one, first)
+            half = np.bitwise_xor.reduceat(one * ((inside >> np.uint64(57)) & np.uint64(1)), first)
+            half[n[keep] < MANY] = 0
             short = (prefix >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -125,26 +157,27 @@ def _prefixes(batches: Iterator[pa.RecordBatch], how: LineDedup, rank: np.ndarra
                     pa.array(h2.view(np.int64)),
                     pa.array(n[keep].astype(np.int32)),
                     pa.array(bits.view(np.int64)),
+                    pa.array(half.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(short)),
                 ],
-                names=["doc_id", "line", "h1", "h2", "n", "bits", "prefix"],
+                names=["doc_id", "line", "h1", "h2", "n", "bits", "half", "prefix"],
             )
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.slices(batch):
-            docs, numbers, sets = [], [], []
-            for doc, text, lines in zip(*(part[c].to_pylist() for c in ("doc_id", "text", "lines")), strict=True):
-                all_lines = (text or "").split("\n")
-                lines = [i for i in lines if i < len(all_lines)]
-                flat, counts = words.word_hashes([all_lines[i] for i in lines])
-                own = np.split(flat, np.cumsum(counts)[:-1]) if lines else []
-                docs += [doc] * len(lines)
-                numbers += lines
-                sets += [np.unique(x).tobytes() for x in own]
+            flat, counts, per_text = _line_words(part["text"])
+            wanted = part["lines"].flatten().to_numpy()
+            of = np.repeat(np.arange(len(per_text)), np.asarray(part["lines"].value_lengths()))
+            # Rows that share an id are copies or, at worst, have fewer lines.
+            there = wanted < per_text[of]
+            wanted, of = wanted[there], of[there]
+            at = (np.cumsum(per_text) - per_text)[of] + wanted
+            ends = np.cumsum(counts)[at]
+            sets = [np.unique(flat[e - c : e]).tobytes() for e, c in zip(ends, counts[at], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sets, pa.binary())],
+                [part["doc_id"].take(pa.array(of)), pa.array(wanted.astype(np.int32)), pa.array(sets, pa.binary())],
                 names=["doc_id", "line", "elements"],
             )
 
@@ -195,8 +228,9 @@ def later_matches(work: Scratch, texts: DataFrame, how: LineDedup) -> DataFrame:
             F.min(F.struct("doc_id", "line")).alias("at"),
             F.max("n").alias("n"),
             F.max("bits").alias("bits"),
+            F.max("half").alias("half"),
             F.any_value("prefix").alias("prefix"),
-        ).select("at.doc_id", "at.line", "n", "bits", "prefix"),
+        ).select("at.doc_id", "at.line", "n", "bits", "half", "prefix"),
         "classes",
     )
     places = ["doc_id", "line"]
@@ -205,55 +239,61 @@ def later_matches(work: Scratch, texts: DataFrame, how: LineDedup) -> DataFrame:
     work.drop(lines)
     # A smaller set is similar to none but its equals, which are its class already.
     joinable = classes.where(how.denominator * F.col("n") >= how.numerator * (F.col("n") + 1))
-    postings = joinable.select("doc_id", "line", "n", "bits", F.posexplode("prefix").alias("i", "word"))
-    earliest = postings.groupBy("word").agg(
-        F.min(F.struct("doc_id", "line", "n", "bits", "i")).alias("x"), F.count("*").alias("members")
-    )
-    earliest = work.table(
-        earliest.where("members > 1").select(
-            "word", F.col("x.doc_id").alias("a_doc"), F.col("x.line").alias("a_line"),
-            F.col("x.n").alias("a_n"), F.col("x.bits").alias("a_bits"), F.col("x.i").alias("a_i"),
-        ),
-        "earliest",
-    )
-    postings = work.table(
-        postings.join(earliest.select("word"), "word", "left_semi").select(
-            "word", F.col("doc_id").alias("b_doc"), F.col("line").alias("b_line"),
-            F.col("n").alias("b_n"), F.col("bits").alias("b_bits"), F.col("i").alias("b_i"),
-        ),
-        "postings",
-    )
-    work.drop(classes)
     num, den = how.numerator, how.denominator
     enough = f"{num + den} * ({{}}) >= {num} * (a_n + b_n)"
-    # The line whose prefix ends first in the common order shares no other words but
-    # those of its prefix and those behind it.
-    behind = f"({num} * greatest(a_n, b_n) + {den - 1}) div {den} - 1"
-
+    differ = (
+        f"if(least(a_n, b_n) < {MANY}, bit_count(a_bits ^ b_bits),"
+        " bit_count(a_bits ^ a_half ^ b_bits ^ b_half) + bit_count(a_half ^ b_half))"
+    )
     alike = F.expr(
         f"(a_doc < b_doc or (a_doc = b_doc and a_line < b_line))"
         f" and {num} * greatest(a_n, b_n) <= {den} * least(a_n, b_n)"
-        # Bits that only one line has are words that only it has.
-        f" and {enough.format('least(a_n - bit_count(a_bits & ~b_bits), b_n - bit_count(b_bits & ~a_bits))')}"
+        # A bit is the parity of the words that it stands for: where two lines differ in it, one
+        # has a word that the other has not. Parities do not fill up as lines get longer.
+        f" and {num + den} * (a_n + b_n - {differ}) >= {2 * num} * (a_n + b_n)"
         # No more can be shared before a shared word, or behind it, than the shorter side has there.
         f" and {enough.format('least(a_i, b_i) + least(a_n - a_i, b_n - b_i)')}"
     )
     # The first shared word: nothing before it is shared.
     placed = F.expr(enough.format("least(a_n - a_i, b_n - b_i)"))
-    counted = F.expr(enough.format(f"shared + {behind}"))
     ids = ["a_doc", "a_line", "b_doc", "b_line"]
-    first = work.table(postings.join(earliest, "word").where(alike & placed).select(ids).distinct(), "first-pairs")
-    gone = _verified(work, first, texts, how)
-    open_ = postings.join(small(gone), ["b_doc", "b_line"], "left_anti")
-    ahead = postings.select(
-        "word", *(F.col(f"b_{c}").alias(f"a_{c}") for c in ("doc", "line", "n", "bits", "i"))
-    )
-    rest = open_.join(ahead, "word").where(alike).groupBy(*ids, "a_n", "b_n").agg(
-        F.count("*").alias("shared"), F.min("a_i").alias("a_i"), F.min("b_i").alias("b_i")
+    sides = ["doc", "line", "n", "bits", "half", "i"]
+    ahead = [F.col(f"b_{c}").alias(f"a_{c}") for c in sides]
+    group = Window.partitionBy("word").orderBy("b_doc", "b_line")
+    so_far = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    postings = joinable.select(
+        F.col("doc_id").alias("b_doc"), F.col("line").alias("b_line"), F.col("n").alias("b_n"),
+        F.col("bits").alias("b_bits"), F.col("half").alias("b_half"),
+        F.posexplode("prefix").alias("b_i", "word"),
     )
-    rest = rest.where(placed & counted).select(ids).distinct()
-    rest = work.table(rest.join(first, ids, "left_anti"), "pairs")
+    postings = postings.select(
+        "*",
+        F.first(F.struct(ahead)).over(so_far).alias("first"),
+        # Behind the earliest of the group, and not alone there.
+        (F.row_number().over(group) > F.when(F.lead("b_doc").over(group).isNull(), 2).otherwise(1)).alias("more"),
+    ).select("word", "more", *(f"b_{c}" for c in sides), "first.*")
+    hit = alike & placed
+    postings = work.table(
+        postings.where(hit | F.col("more")).select(
+            "word", "more", *(f"b_{c}" for c in sides), *(F.when(hit, F.col(c)).alias(c) for c in ids[:2])
+        ),
+        "postings",
+    )
+    work.drop(classes)
+    first = work.table(postings.where("a_doc is not null").select(ids).distinct(), "first-pairs")
+    gone = _verified(work, first, texts, how)
+    gone_at = small(gone)
+    # The first shared word of two similar lines either has the earlier one as the earliest of
+    # its group, so they have met, or both are behind the earliest.
+    parts = []
+    for k in range(SLICES):
+        # Some of the words at a time: the shuffled postings of the others take no disk meanwhile.
+        own = postings.where(F.col("more") & (F.pmod("word", F.lit(SLICES)) == k)).drop(*ids[:2])
+        met = own.join(gone_at, ["b_doc", "b_line"], "left_anti").join(own.select("word", *ahead), "word")
+        parts.append(work.table(met.where(hit).select(ids).distinct(), "met"))
     work.drop(postings)
+    rest = reduce(DataFrame.unionByName, parts).distinct()
+    rest = work.table(rest.join(first, ids, "left_anti"), "pairs")
     gone = gone.unionByName(_verified(work, rest, texts, how)).select(
         F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")
     )

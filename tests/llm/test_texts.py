@@ -64,6 +64,24 @@ def test_lines_against_brute_force(spark):
         assert row["text"] == "\n".join(kept)
 
 
+def test_long_unlike_lines_are_no_candidates(spark, monkeypatch):
+    """Word maps of lines of many words do not fill up: lines with common words alone meet no further."""
+    draw = random.Random(5)
+    texts = [" ".join(draw.sample([f"w{i}" for i in range(1_500)], 120)) for _ in range(150)]
+    texts.append(" ".join(texts[3].split()[8:]))
+    stored, table = {}, lines.Scratch.table
+
+    def counting(self, df, name="table", keep=False):
+        found = table(self, df, name, keep)
+        stored[name] = stored.get(name, 0) + found.count()
+        return found
+
+    monkeypatch.setattr(lines.Scratch, "table", counting)
+    found = {r["doc_id"]: r["removed_lines"] for r in lines.dedup_lines(docs_frame(spark, texts)).collect()}
+    assert [d for d, gone in found.items() if gone] == [150]
+    assert stored["first-pairs"] + stored["pairs"] < 10
+
+
 def test_short_lines(spark):
     """Lines of few words match their equals only, but four words match five."""
     texts = ["a\nb b\n\na b c d", "a\nb", "x a\nA", " a \nb c\n\n", "a b c d e\nc b", "a b c\nd c b a"]
