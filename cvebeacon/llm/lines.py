@@ -33,6 +33,7 @@ from cvebeacon.llm.common import Scratch, scratch, small
 #: Counters of the rarity table, and how many of them are added up as one row.
 COUNTERS = 1 << 20
 BLOCK = 1 << 13
+COUNTED = "block long, counts binary"
 #: Turns in which the lines that share a prefix word meet, each with its own words.
 SLICES = 4
 #: Lines of so many words have a second word map.
@@ -65,10 +66,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batch):
             flat, _, _ = _line_words(part["text"])
             seen += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    yield counted(seen)
+
+
+def counted(seen: np.ndarray) -> pa.RecordBatch:
+    """The counters of a task, a block a row; schema ``COUNTED``."""
     blocks = seen.reshape(-1, BLOCK)
     at = np.flatnonzero(blocks.any(axis=1))
     counts = pa.array([x.tobytes() for x in blocks[at]], pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(at), counts], names=["block", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(at), counts], names=["block", "counts"])
 
 
 def _add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,19 +87,22 @@ def _add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     )
 
 
-def rarity(texts: DataFrame) -> np.ndarray:
-    """Rank of every counter, rarest first, from the words of all texts."""
-    schema = "block long, counts binary"
-    counts = texts.mapInArrow(_count, schema).groupBy("block").applyInArrow(_add, schema)
+def ranks(counts: DataFrame) -> np.ndarray:
+    """Rank of every counter, rarest first, from the counters of all tasks."""
     table = np.zeros((COUNTERS // BLOCK, BLOCK), np.int64)
-    for row in counts.collect():
+    for row in counts.groupBy("block").applyInArrow(_add, COUNTED).collect():
         table[row.block] = np.frombuffer(row.counts, np.int64)
     rank = np.empty(COUNTERS, np.int32)
     rank[np.argsort(table.ravel(), kind="stable")] = np.arange(COUNTERS, dtype=np.int32)
     return rank
 
 
-def _sets(flat: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rarity(texts: DataFrame) -> np.ndarray:
+    """Rank of every counter, rarest first, from the words of all texts."""
+    return ranks(texts.mapInArrow(_count, COUNTED))
+
+
+def rarest_first(flat: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different words of each line, rarest first, line after line, and their number."""
     owner = np.repeat(np.arange(len(counts)), counts)
     place = rank[(flat % np.uint64(COUNTERS)).astype(np.int64)]
@@ -116,7 +125,7 @@ def prefix_size(n: np.ndarray, how: LineDedup) -> np.ndarray:
     return n - -(-n * how.numerator // how.denominator) + 1
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All indices of the ranges that begin at ``starts``."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
@@ -130,19 +139,19 @@ def _prefixes(batches: Iterator[pa.RecordBatch], how: LineDedup, rank: np.ndarra
     for batch in batches:
         for part in words.slices(batch):
             flat, counts, per_text = _line_words(part["text"])
-            tokens, n = _sets(flat, counts, rank)
+            tokens, n = rarest_first(flat, counts, rank)
             starts = np.cumsum(n) - n
             keep = np.flatnonzero(n >= max(how.words, 1))
             if not len(keep):
                 continue
             text = np.repeat(np.arange(len(per_text)), per_text)
             line = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-            inside = tokens[_ranges(starts[keep], n[keep])]
+            inside = tokens[ranges(starts[keep], n[keep])]
             first = np.cumsum(n[keep]) - n[keep]
             h1 = np.add.reduceat(words.mix(inside), first)
             h2 = np.add.reduceat(words.mix(inside ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
             size = prefix_size(n[keep], how)
-            prefix = tokens[_ranges(starts[keep], size)]
+            prefix = tokens[ranges(starts[keep], size)]
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             one = np.uint64(1) << (inside >> np.uint64(58))
             bits = np.bitwise_xor.reduceat(one, first)

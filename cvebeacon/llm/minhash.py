@@ -7,9 +7,11 @@ on the full shingle sets, and connected components follow by alternating
 large-star and small-star.
 
 Hot groups: documents with equal sets are one node from the start. In a band
-shared by many, each document is first compared with the smallest one only;
-just the pairs that are still in different components are compared after that.
-So no pairs are lost and a group of thousands is not expanded into all pairs.
+shared by many, each document is first compared with the smallest one only.
+Documents of bands that hold more than one component after that meet by the rarest
+of their shingles: similar sets share one of the first ``n - ceil(similarity * n) + 1``,
+and what lies before it bounds what they share. So no pairs are lost, and a group of
+thousands that resemble one another, but not enough, is not expanded into all pairs.
 
 With 32 bands of 4 minima a pair at similarity 0.8 is missed with probability
 (1 - 0.8^4)^32 < 1e-7. The signature filter drops pairs that agree in fewer than
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cvebeacon.llm import words
+from cvebeacon.llm import lines, words
 from cvebeacon.llm.common import Scratch, scratch, small
 from cvebeacon.llm.components import components
 
@@ -102,16 +104,75 @@ def _sign(batches: Iterator[pa.RecordBatch], how: MinHash) -> Iterator[pa.Record
 
 
 def _distinct(batches: Iterator[pa.RecordBatch], how: MinHash) -> Iterator[pa.RecordBatch]:
+    """The set of each text beside its other columns."""
     for batch in batches:
         for part in words.slices(batch):
             flat, counts = words.word_hashes(part["text"])
             values, number = words.shingles(flat, counts, how.words)
             sets = [np.unique(x).tobytes() for x in np.split(values, np.cumsum(number)[:-1])]
+            yield part.drop_columns(["text"]).append_column("elements", pa.array(sets, pa.binary()))
+
+
+def _elements(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All sets in turn and their sizes."""
+    sets = part["elements"].to_pylist()
+    return np.frombuffer(b"".join(sets), np.uint64), np.array([len(x) // 8 for x in sets], np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(lines.COUNTERS, np.int64)
+    for batch in batches:
+        for part in words.slices(batch, "elements"):
+            at = (_elements(part)[0] % np.uint64(lines.COUNTERS)).astype(np.int64)
+            seen += np.bincount(at, minlength=lines.COUNTERS)
+    yield lines.counted(seen)
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], how: MinHash, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each set, one of which every similar set shares."""
+    for batch in batches:
+        for part in words.slices(batch, "elements"):
+            tokens, n = lines.rarest_first(*_elements(part), rank)
+            size = np.minimum(lines.prefix_size(n, how), n)
+            at = lines.ranges(np.cumsum(n) - n, size)
+            owner = np.repeat(np.arange(len(n)), size)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(sets, pa.binary())], names=["doc_id", "elements"]
+                [
+                    pa.array(tokens[at].view(np.int64)),
+                    part["doc_id"].take(pa.array(owner)),
+                    part["component"].take(pa.array(owner)),
+                    pa.array(n[owner].astype(np.int32)),
+                    pa.array((at - (np.cumsum(n) - n)[owner]).astype(np.int32)),
+                ],
+                names=["shingle", "doc_id", "component", "n", "i"],
             )
 
 
+def _apart(work: Scratch, sets: DataFrame, how: MinHash) -> DataFrame:
+    """Pairs of different components that may be similar, by their rarest shingles."""
+    rank = work.spark.sparkContext.broadcast(lines.ranks(sets.select("elements").mapInArrow(_count, lines.COUNTED)))
+    rare = work.table(
+        sets.mapInArrow(
+            lambda x: _rarest(x, how, rank.value), "shingle long, doc_id long, component long, n int, i int"
+        ),
+        "rare",
+    )
+    left, right = (
+        rare.select("shingle", *(F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "component", "n", "i")))
+        for x in ("a", "b")
+    )
+    num, den = how.numerator, how.denominator
+    # At their first shared shingle: they share none before it.
+    near = F.expr(
+        f"a_doc_id < b_doc_id and a_component <> b_component"
+        f" and {num + den} * least(a_n - a_i, b_n - b_i) >= {num} * (a_n + b_n)"
+    )
+    found = left.join(right, "shingle").where(near)
+    found = work.table(found.selectExpr("a_doc_id as a", "b_doc_id as b").distinct(), "apart")
+    work.drop(rare)
+    return found
+
+
 def _agree(batches: Iterator[pa.RecordBatch], how: MinHash) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures agree often enough."""
     for batch in batches:
@@ -145,31 +206,25 @@ def _attach(pairs: DataFrame, values: DataFrame, column: str, name: str) -> Data
     return pairs
 
 
-def _confirm(
-    work: Scratch, pairs: DataFrame, nodes: DataFrame, texts: DataFrame, how: MinHash
-) -> DataFrame:
-    """The pairs whose signatures agree and whose full sets pass, as a table."""
-    likely = work.table(
-        _attach(pairs, nodes, "signature", "sig").mapInArrow(
-            lambda x: _agree(x, how), "a long, b long"
-        ),
-        "likely",
-    )
-    wanted = work.table(
-        likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted"
-    )
-    sets = work.table(
-        texts.join(small(wanted), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"])
-        .mapInArrow(lambda x: _distinct(x, how), "doc_id long, elements binary"),
-        "sets",
-    )
-    links = work.table(
-        _attach(likely, sets, "elements", "set").mapInArrow(
-            lambda x: _linked(x, how), "a long, b long"
-        ),
-        "links",
-    )
+def _likely(work: Scratch, pairs: DataFrame, nodes: DataFrame, how: MinHash) -> DataFrame:
+    """The pairs whose signatures agree, as a table."""
+    signed = _attach(pairs, nodes, "signature", "sig")
+    return work.table(signed.mapInArrow(lambda x: _agree(x, how), "a long, b long"), "likely")
+
+
+def _sets(work: Scratch, wanted: DataFrame, texts: DataFrame, how: MinHash) -> DataFrame:
+    """The rows of ``wanted`` with the full set of their ``doc_id``, as a table."""
+    found = texts.join(small(wanted), "doc_id").dropDuplicates(["doc_id"])
+    others = [f for f in wanted.schema.fields if f.name != "doc_id"]
+    schema = ", ".join(["doc_id long", *(f"{f.name} {f.dataType.simpleString()}" for f in others), "elements binary"])
+    found = found.select("doc_id", *(f.name for f in others), "text")
+    return work.table(found.mapInArrow(lambda x: _distinct(x, how), schema), "sets")
+
+
+def _links(work: Scratch, likely: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
+    """The pairs whose full sets pass, as a table; ``sets`` goes."""
+    both = _attach(likely, sets, "elements", "set")
+    links = work.table(both.mapInArrow(lambda x: _linked(x, how), "a long, b long"), "links")
     work.drop(sets)
     return links
 
@@ -221,7 +276,9 @@ def near_duplicates(
             .distinct(),
             "pairs",
         )
-        links = _confirm(work, pairs, nodes, texts, how)
+        likely = _likely(work, pairs, nodes, how)
+        wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        links = _links(work, likely, _sets(work, work.table(wanted, "wanted"), texts, how), how)
 
         # Candidates that are still apart: bands with more than one component.
         first = work.table(components(work, links.unionByName(copies)), "components")
@@ -231,16 +288,11 @@ def near_duplicates(
         mixed = placed.groupBy("band").agg(
             F.min("component").alias("low"), F.max("component").alias("high")
         )
-        placed = work.table(
-            placed.join(mixed.where("low < high").select("band"), "band"), "mixed"
-        )
-        left, right = (
-            placed.select("band", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"))
-            for x in ("a", "b")
-        )
-        apart = left.join(right, "band").where("a < b and ca <> cb").select("a", "b").distinct()
-        apart = work.table(apart.join(pairs, ["a", "b"], "left_anti"), "apart")
-        more = _confirm(work, apart, nodes, texts, how)
+        mixed = placed.join(mixed.where("low < high").select("band"), "band", "left_semi")
+        mixed = work.table(mixed.select("doc_id", "component").distinct(), "mixed")
+        sets = _sets(work, mixed, texts, how)
+        apart = _apart(work, sets, how).join(pairs, ["a", "b"], "left_anti")
+        more = _links(work, _likely(work, apart, nodes, how), sets, how)
         edges = links.unionByName(copies).unionByName(more)
         final = work.table(components(work, edges), "components")
         result = (

@@ -247,6 +247,30 @@ def test_minhash_against_brute_force(spark, odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_unlike_copies_are_no_candidates(spark, monkeypatch):
+    """Texts that share most words, but too few, do not meet pair by pair."""
+    base = [f"w{i}" for i in range(60)]
+    draw = random.Random(9)
+    texts = []
+    for k in range(70):
+        own = list(base)
+        for j, at in enumerate(draw.sample(range(60), 8)):
+            own[at] = f"own{k}x{j}"
+        texts.append(" ".join(own))
+    texts.append(texts[30] + " more")
+    stored, table = {}, minhash.Scratch.table
+
+    def counting(self, df, name="table", keep=False):
+        found = table(self, df, name, keep)
+        stored[name] = stored.get(name, 0) + found.count()
+        return found
+
+    monkeypatch.setattr(minhash.Scratch, "table", counting)
+    rows = minhash.near_duplicates(docs_frame(spark, texts), minhash.MinHash(words=1)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {k: k if k < 70 else 30 for k in range(71)}
+    assert stored["apart"] < 20
+
+
 def auc(score, label):
     order = np.argsort(np.argsort(score)) + 1
     ones = label.sum()
