@@ -12,6 +12,7 @@ nothing is dropped, and only the last sequence is padded.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,53 +50,112 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Letters that stay one character each when a tokenizer composes and lower-cases them,
+#: marks that may follow them, and the rule of tokenizers that tell the two apart.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+_MARKS = ".,;:!?"
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _tells_apart(tokenizer) -> bool:
+    """Whether letters in any case and the marks behind them are tokenized apart."""
+    made = json.loads(tokenizer.to_str())
+    normal = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
+    first = ((made["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    return (
+        normal == _NORMAL
+        and first.get("pattern") == {"Regex": _APART}
+        and made["model"].get("end_of_word_suffix") == "</w>"
+    )
+
+
 class _WordIds:
     """Ids of words that were met before.
 
     The tokenizer splits at white space and drops it, so a text's ids are those
-    of its words one after the other, and a word is encoded once for each task.
-    New words are encoded many at a time, joined by spaces; the offset of an id
-    tells its word. After ``words.MEMORY`` words the memory starts anew.
+    of its words one after the other. Where it also lower-cases and splits letters
+    from marks, a word's ids are those of its letters in lower case and of its
+    marks. Each such part is encoded once for each task, many at a time, joined by
+    spaces; the end of a word, or the offset of an id, tells its part. After
+    ``words.MEMORY`` parts the memory starts anew.
     """
 
     def __init__(self, path: str):
         self._tokenizer = _tokenizer(path)
+        self._apart = _tells_apart(self._tokenizer)
+        if self._apart:
+            known = self._tokenizer.get_vocab()
+            self._last = np.zeros(max(known.values()) + 1, bool)
+            self._last[[i for token, i in known.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self._number: dict[str, int] = {}
+        self._number: dict[str, int] = {"": 0}
         self._ids = np.zeros(0, "<u4")
-        self._starts = self._sizes = np.zeros(0, np.int64)
+        self._starts = self._sizes = np.zeros(1, np.int64)
+
+    def _tokens(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all of ``part`` in turn, and the number of each."""
+        text = " ".join(part)
+        if self._apart and "".join(part).isalpha():
+            ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self._last[ids]) + 1
+            # Each has one end at least, so if the numbers are equal, each has one.
+            if len(ends) == len(part):
+                return ids, np.diff(ends, prepend=0)
+        encoded = self._tokenizer.encode(text, add_special_tokens=False)
+        begins = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
+        at = np.fromiter((x for x, _ in encoded.offsets), np.int64, len(encoded.ids))
+        sizes = np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(part))
+        return np.array(encoded.ids, "<u4"), sizes
 
     def _numbers(self, distinct: list[str]) -> np.ndarray:
         if len(self._number) > words.MEMORY:
             self._clear()
         new = [w for w in distinct if w not in self._number]
-        for a in range(0, len(new), 5_000):
-            part = new[a : a + 5_000]
-            encoded = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
-            begins = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
-            at = np.fromiter((x for x, _ in encoded.offsets), np.int64, len(encoded.ids))
-            sizes = np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(part))
-            self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(sizes) - sizes])
-            self._sizes = np.concatenate([self._sizes, sizes])
-            self._ids = np.concatenate([self._ids, np.array(encoded.ids, "<u4")])
-            self._number.update(zip(part, range(len(self._number), len(self._number) + len(part)), strict=True))
-        return np.fromiter((self._number[w] for w in distinct), np.int64, len(distinct))
+        letters = [w for w in new if w.isalpha()]
+        for some in (letters, [w for w in new if not w.isalpha()]):
+            for a in range(0, len(some), 5_000):
+                part = some[a : a + 5_000]
+                ids, sizes = self._tokens(part)
+                self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(sizes) - sizes])
+                self._sizes = np.concatenate([self._sizes, sizes])
+                self._ids = np.concatenate([self._ids, ids])
+                self._number.update(zip(part, range(len(self._number), len(self._number) + len(part)), strict=True))
+        return np.fromiter(map(self._number.__getitem__, distinct), np.int64, len(distinct))
+
+    def _parts(self, distinct: pa.Array) -> list[pa.Array]:
+        """The first part of each word, and the second, which may be empty."""
+        if not self._apart:
+            return [distinct]
+        bare = pc.utf8_rtrim(distinct, characters=_MARKS)
+        plain = pc.match_substring_regex(bare, f"^{_LETTERS}$")
+        marks = pc.replace_substring_regex(distinct, f"^{_LETTERS}", "")
+        return [pc.if_else(plain, pc.utf8_lower(bare), distinct), pc.if_else(plain, marks, "")]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null is empty."""
         cells = pc.ascii_split_whitespace(words.texts_array(texts))
         at, distinct, counts = words.numbered(cells)
-        number = self._numbers(distinct.to_pylist())[at]
-        sizes = self._sizes[number]
-        ends = np.cumsum(sizes)
-        total = ends[-1] if len(ends) else 0
-        flat = self._ids[np.repeat(self._starts[number] - (ends - sizes), sizes) + np.arange(total)]
+        parts = self._parts(distinct)
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        part = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        part = part.reshape(len(parts), -1).T
+        sizes = self._sizes[part].sum(axis=1)
+        known, _ = _gathered(self._ids, self._starts[part.ravel()], self._sizes[part.ravel()])
+        flat, ends = _gathered(known, (np.cumsum(sizes) - sizes)[at], sizes[at])
         borders = np.concatenate([[0], ends])[np.cumsum(counts)]
         return np.split(flat, borders[:-1]) if len(borders) else []
 
 
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` that begin at ``starts``, one after the other, and where each ends."""
+    ends = np.cumsum(sizes)
+    total = ends[-1] if len(ends) else 0
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)], ends
+
+
 def _encode(batches: Iterator[pa.RecordBatch], how: Packing) -> Iterator[pa.RecordBatch]:
     tokenizer = _WordIds(how.tokenizer)
     for batch in batches:

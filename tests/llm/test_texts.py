@@ -271,6 +271,19 @@ def test_unlike_copies_are_no_candidates(spark, monkeypatch):
     assert stored["apart"] < 20
 
 
+def test_words_are_encoded_once_in_any_case():
+    """Letters in any case and with any marks behind them take one entry of the memory."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = ["Word word. WORD, word?! word", "\u00c9t\u00e9. \u00e9t\u00e9 \u0130. i\u0307. \u0130 e\u0301. k.\u0301 \u212a \ufb01. a.b don't. x1. <|ENDOFTEXT|>."]
+    whole, own = Tokenizer.from_file(tokenizer_path()), packing._WordIds(tokenizer_path())
+    found = own.encode(pa.array(texts[:1]))
+    assert set(own._number) == {"", "word", ".", ",", "?!"}
+    found += own.encode(pa.array(texts[1:]))
+    assert [x.tolist() for x in found] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def auc(score, label):
     order = np.argsort(np.argsort(score)) + 1
     ones = label.sum()
