@@ -45,11 +45,17 @@ class Scratch:
         return f"{self.root}/{self._n}-{name}"
 
     def table(self, df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
-        path = self.path(name)
+        return self._write(df, self.path(name), keep)
+
+    def folders(self, df: DataFrame, by: str, name: str = "table") -> DataFrame:
+        """As ``table``, with a folder for each value of ``by``: a job reads those that it asks for."""
+        return self._write(df, self.path(name), False, by)
+
+    def _write(self, df: DataFrame, path: str, keep: bool, by: str | None = None) -> DataFrame:
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.parquet(path, partitionBy=by)
         finally:
             self.spark.conf.set(_CLEANUP, before)
         if keep:

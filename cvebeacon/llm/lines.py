@@ -11,9 +11,11 @@ Rarity comes from word counts over all texts in a table of fixed size, shared by
 words that collide; any common order gives exact results, a good one is fast.
 
 Hot groups: equal lines are one class, represented by the first of them, so a
-common line costs one row. In the group of a prefix word every class is first
-compared with the earliest class only; just those not removed by it meet the
-other earlier ones. Kept lines are found by position, never by joining on a common line.
+common line costs one row. The classes that share a prefix word lie side by side
+once they are sorted by it, so those of a group of up to ``CLOSE`` meet there and then.
+In a larger group every class is first compared with the earliest class only; just
+those not removed by it meet the other earlier ones, in a join by word.
+Kept lines are found by position, never by joining on a common line.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cvebeacon.llm import words
@@ -34,8 +37,16 @@ from cvebeacon.llm.common import Scratch, scratch, small
 COUNTERS = 1 << 20
 BLOCK = 1 << 13
 COUNTED = "block long, counts binary"
-#: Turns in which the lines that share a prefix word meet, each with its own words.
+#: Most lines with a prefix word that all meet where they lie; most of them that a line may
+#: resemble there, on average, and how many pairs are looked at in one step.
+CLOSE = 512
+ALIKE = 4
+STEP = 1 << 18
+#: Turns in which the lines of larger groups meet, each with its own words.
 SLICES = 4
+#: Rows of ``_MET``: a line with the earliest, with a later one that it may resemble; from here on
+#: a line that meets others in the turn of that number.
+EARLIEST, LATER, TURNS = 0, 1, 2
 #: Lines of so many words have a second word map.
 MANY = 48
 
@@ -173,6 +184,108 @@ def _prefixes(batches: Iterator[pa.RecordBatch], how: LineDedup, rank: np.ndarra
             )
 
 
+_MET = (
+    "a_doc long, a_line int, word int, b_doc long, b_line int, b_n long, b_bits long, b_half long, b_i long, kind int"
+)
+
+
+def _may_match(
+    rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, how: LineDedup
+) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of rows ``a`` and ``b`` that pass the filters; as in ``later_matches``."""
+    num, den = how.numerator, how.denominator
+    n, i = rows["n"], rows["i"]
+    left = n - i
+    near = (num + den) * np.minimum(left[a], left[b]) >= num * (n[a] + n[b])
+    a, b = a[near], b[near]
+    near = num * np.maximum(n[a], n[b]) <= den * np.minimum(n[a], n[b])
+    near &= (rows["doc"][a] != rows["doc"][b]) | (rows["line"][a] != rows["line"][b])
+    bits = rows["bits"][a] ^ rows["bits"][b]
+    half = np.where(np.minimum(n[a], n[b]) < MANY, 0, rows["half"][a] ^ rows["half"][b])
+    differ = np.bitwise_count((bits ^ half).view(np.uint64)).astype(np.int64)
+    differ += np.bitwise_count(half.view(np.uint64))
+    near &= (num + den) * (n[a] + n[b] - differ) >= 2 * num * (n[a] + n[b])
+    return a[near], b[near]
+
+
+def _pairs(
+    rows: dict[str, np.ndarray], group: np.ndarray, big: np.ndarray, starts: np.ndarray, how: LineDedup
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that may match, the earlier first: all of a small group, of a big one those with its earliest."""
+    n = rows["n"][: len(group)]
+    # By size, so that a line meets those only that are long enough for it.
+    key = (group << 32) + n
+    order = np.flatnonzero(~big)
+    order = order[np.argsort(key[order], kind="stable")]
+    least = -(-how.numerator * n[order] // how.denominator)
+    low = np.searchsorted(key[order], (group[order] << 32) + least)
+    meets = np.arange(len(order)) - low
+    step = np.cumsum(meets) // STEP
+    cuts = np.flatnonzero(np.diff(step, prepend=-1, append=-1))
+    others = np.flatnonzero(big)
+    found = [_may_match(rows, starts[group[others]], others, how)]
+    for k, upto in zip(cuts[:-1], cuts[1:], strict=True):
+        longer = np.repeat(order[k:upto], meets[k:upto])
+        found.append(_may_match(rows, order[ranges(low[k:upto], meets[k:upto])], longer, how))
+    x, y = (np.concatenate(side) for side in zip(*found, strict=True))
+    a, b = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((a, b))
+    return a[order], b[order]
+
+
+def _meet(batches: Iterator[pa.RecordBatch], how: LineDedup) -> Iterator[pa.RecordBatch]:
+    """Pairs of lines that share a prefix word, from rows sorted by word, document and line.
+
+    Lines of a group of up to ``CLOSE`` all meet, those of a larger one its earliest only;
+    the others of it are given on, for the join by word. So are those of a group in which
+    too many may match: most of them go with the earliest, and need not be compared.
+    """
+    # Of the last group, which may go on: its rows or, if it is large already, its earliest.
+    held, large = None, False
+    for batch in chain(batches, [None]):
+        rows = held
+        if batch is not None:
+            rows = {c: batch[c].to_numpy() for c in batch.schema.names}
+            rows["n"], rows["i"] = rows["size"] >> 32, rows.pop("size") & 0xFFFFFFFF
+            if held is not None:
+                rows = {c: np.concatenate([held[c], x]) for c, x in rows.items()}
+        if rows is None or not len(rows["word"]):
+            continue
+        word = rows["word"]
+        starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        sizes = np.diff(np.append(starts, len(word)))
+        big = sizes > CLOSE
+        big[0] |= large
+        if batch is not None:
+            large = bool(big[-1])
+            held = {c: x[starts[-1] :][: 1 if large else None].copy() for c, x in rows.items()}
+            if not large:
+                sizes, big = sizes[:-1], big[:-1]
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        a, b = _pairs(rows, group, big[group], starts, how)
+        later = np.zeros(len(b), bool)
+        later[1:] = b[1:] == b[:-1]
+        given = big | (np.bincount(group[b[later]], minlength=len(sizes)) > ALIKE * sizes)
+        keep = ~(later & given[group[b]])
+        a, b, later = a[keep], b[keep], later[keep]
+        others = np.flatnonzero(given[group] & (np.arange(len(group)) != starts[group]))
+        out = np.concatenate([b, others])
+        if not len(out):
+            continue
+        kind = np.concatenate([np.where(later, LATER, EARLIEST), TURNS + word[others] % SLICES])
+        none = pa.nulls(len(others), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([pa.array(rows["doc"][a]), none]),
+                pa.concat_arrays([pa.array(rows["line"][a]), none.cast(pa.int32())]),
+                pa.array(word[out]),
+                *(pa.array(rows[c][out]) for c in ("doc", "line", "n", "bits", "half", "i")),
+                pa.array(kind.astype(np.int32)),
+            ],
+            names=[c.split()[0] for c in _MET.split(", ")],
+        )
+
+
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.slices(batch):
@@ -248,8 +361,20 @@ def later_matches(work: Scratch, texts: DataFrame, how: LineDedup) -> DataFrame:
     work.drop(lines)
     # A smaller set is similar to none but its equals, which are its class already.
     joinable = classes.where(how.denominator * F.col("n") >= how.numerator * (F.col("n") + 1))
+    postings = joinable.select(
+        "doc_id", "line", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), "bits", "half",
+        F.posexplode("prefix").alias("i", "word"),
+    ).selectExpr("word", "doc_id as doc", "line", "n | i as size", "bits", "half")
+    # By word, document and line; Spark compares the first number without looking at the row.
+    word_first = F.expr("shiftleft(cast(word as long), 32) + least(greatest(doc, 0L), 4294967295L)")
+    lying = postings.repartition("word").sortWithinPartitions(word_first, "doc", "line")
+    met = work.folders(lying.mapInArrow(lambda x: _meet(x, how), _MET), "kind", "met")
+    work.drop(classes)
+    ids = ["a_doc", "a_line", "b_doc", "b_line"]
+    first = work.table(met.where(F.col("kind") == EARLIEST).select(ids).distinct(), "first-pairs")
+    gone = _verified(work, first, texts, how)
+    gone_at = small(gone)
     num, den = how.numerator, how.denominator
-    enough = f"{num + den} * ({{}}) >= {num} * (a_n + b_n)"
     differ = (
         f"if(least(a_n, b_n) < {MANY}, bit_count(a_bits ^ b_bits),"
         " bit_count(a_bits ^ a_half ^ b_bits ^ b_half) + bit_count(a_half ^ b_half))"
@@ -257,52 +382,24 @@ def later_matches(work: Scratch, texts: DataFrame, how: LineDedup) -> DataFrame:
     alike = F.expr(
         f"(a_doc < b_doc or (a_doc = b_doc and a_line < b_line))"
         f" and {num} * greatest(a_n, b_n) <= {den} * least(a_n, b_n)"
+        # The first shared word: nothing before it is shared.
+        f" and {num + den} * least(a_n - a_i, b_n - b_i) >= {num} * (a_n + b_n)"
         # A bit is the parity of the words that it stands for: where two lines differ in it, one
         # has a word that the other has not. Parities do not fill up as lines get longer.
         f" and {num + den} * (a_n + b_n - {differ}) >= {2 * num} * (a_n + b_n)"
-        # No more can be shared before a shared word, or behind it, than the shorter side has there.
-        f" and {enough.format('least(a_i, b_i) + least(a_n - a_i, b_n - b_i)')}"
     )
-    # The first shared word: nothing before it is shared.
-    placed = F.expr(enough.format("least(a_n - a_i, b_n - b_i)"))
-    ids = ["a_doc", "a_line", "b_doc", "b_line"]
-    sides = ["doc", "line", "n", "bits", "half", "i"]
-    ahead = [F.col(f"b_{c}").alias(f"a_{c}") for c in sides]
-    group = Window.partitionBy("word").orderBy("b_doc", "b_line")
-    so_far = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    postings = joinable.select(
-        F.col("doc_id").alias("b_doc"), F.col("line").alias("b_line"), F.col("n").alias("b_n"),
-        F.col("bits").alias("b_bits"), F.col("half").alias("b_half"),
-        F.posexplode("prefix").alias("b_i", "word"),
-    )
-    postings = postings.select(
-        "*",
-        F.first(F.struct(ahead)).over(so_far).alias("first"),
-        # Behind the earliest of the group, and not alone there.
-        (F.row_number().over(group) > F.when(F.lead("b_doc").over(group).isNull(), 2).otherwise(1)).alias("more"),
-    ).select("word", "more", *(f"b_{c}" for c in sides), "first.*")
-    hit = alike & placed
-    postings = work.table(
-        postings.where(hit | F.col("more")).select(
-            "word", "more", *(f"b_{c}" for c in sides), *(F.when(hit, F.col(c)).alias(c) for c in ids[:2])
-        ),
-        "postings",
-    )
-    work.drop(classes)
-    first = work.table(postings.where("a_doc is not null").select(ids).distinct(), "first-pairs")
-    gone = _verified(work, first, texts, how)
-    gone_at = small(gone)
-    # The first shared word of two similar lines either has the earlier one as the earliest of
-    # its group, so they have met, or both are behind the earliest.
-    parts = []
+    ahead = [F.col(f"b_{c}").alias(f"a_{c}") for c in ("doc", "line", "n", "bits", "half", "i")]
+    # The first shared word of two similar lines either has a small group or the earlier one as
+    # the earliest of its group, so they have met, or both are behind the earliest.
+    parts = [met.where(F.col("kind") == LATER).select(ids).join(gone_at, ["b_doc", "b_line"], "left_anti").select(ids)]
     for k in range(SLICES):
         # Some of the words at a time: the shuffled postings of the others take no disk meanwhile.
-        own = postings.where(F.col("more") & (F.pmod("word", F.lit(SLICES)) == k)).drop(*ids[:2])
-        met = own.join(gone_at, ["b_doc", "b_line"], "left_anti").join(own.select("word", *ahead), "word")
-        parts.append(work.table(met.where(hit).select(ids).distinct(), "met"))
-    work.drop(postings)
+        own = met.where(F.col("kind") == TURNS + k).drop(*ids[:2], "kind")
+        pairs = own.join(gone_at, ["b_doc", "b_line"], "left_anti").join(own.select("word", *ahead), "word")
+        parts.append(work.table(pairs.where(alike).select(ids).distinct(), "met"))
     rest = reduce(DataFrame.unionByName, parts).distinct()
     rest = work.table(rest.join(first, ids, "left_anti"), "pairs")
+    work.drop(met)
     gone = gone.unionByName(_verified(work, rest, texts, how)).select(
         F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")
     )

@@ -82,6 +82,82 @@ def test_long_unlike_lines_are_no_candidates(spark, monkeypatch):
     assert stored["first-pairs"] + stored["pairs"] < 10
 
 
+def test_unlike_lines_of_small_groups_are_not_stored(spark, monkeypatch):
+    """Lines with a rare word in common meet where they lie, and no row of them goes to a further join."""
+    draw = random.Random(6)
+    texts = [" ".join(draw.sample([f"w{i}" for i in range(600)], 12)) for _ in range(400)]
+    texts.append(texts[7] + " one")
+    stored = {}
+
+    def counting(write):
+        def call(self, df, *args, **kwargs):
+            found = write(self, df, *args, **kwargs)
+            name = kwargs.get("name") or args[-1]
+            stored[name] = stored.get(name, 0) + found.count()
+            return found
+
+        return call
+
+    monkeypatch.setattr(lines.Scratch, "table", counting(lines.Scratch.table))
+    folders = getattr(lines.Scratch, "folders", None)
+    monkeypatch.setattr(lines.Scratch, "folders", folders and counting(folders), raising=False)
+    found = {r["doc_id"]: r["removed_lines"] for r in lines.dedup_lines(docs_frame(spark, texts)).collect()}
+    assert [d for d, gone in found.items() if gone] == [400]
+    assert sum(stored.get(name, 0) for name in ("postings", "met")) < 20
+
+
+def test_lines_that_share_their_rarest_word(spark):
+    """Groups of more lines than meet where they lie, most of them alike, and a few that are not."""
+    draw = random.Random(7)
+    sets = [frozenset(draw.sample(range(14), draw.randint(8, 10))) for _ in range(1_300)]
+    assert max(Counter(w for own in set(sets) for w in own).values()) > lines.CLOSE
+    texts = [" ".join(f"w{w}" for w in own) for own in sets]
+    found = {r["doc_id"]: r["removed_lines"] for r in lines.dedup_lines(docs_frame(spark, texts)).collect()}
+    for k, own in enumerate(sets):
+        gone = any(100 * len(own & other) >= 80 * len(own | other) for other in sets[:k])
+        assert found[k] == ([0] if gone else [])
+
+
+@pytest.mark.parametrize("close, alike, size", [(3, 4, 2), (3, 4, 1000), (50, 0, 7), (50, 4, 1), (1, 4, 3), (50, 1000, 5)])
+def test_lines_meet_whatever_the_batches(monkeypatch, close, alike, size):
+    """Every pair that may match is found at once or left to the join by word, wherever a batch ends."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lines, "CLOSE", close)
+    monkeypatch.setattr(lines, "ALIKE", alike)
+    monkeypatch.setattr(lines, "STEP", 5)
+    draw, how = random.Random(8), lines.LineDedup()
+    rows = sorted(
+        (draw.choice([-5, 0, 1, 9]), draw.randint(-3, 12), draw.randint(0, 2), draw.randint(4, 7) << 32 | draw.randint(0, 1),
+         draw.choice([0, 1, 3, 1023]), 0) for _ in range(90)
+    )
+    kinds = dict(zip(["word", "doc", "line", "size", "bits", "half"], ["i4", "i8", "i4", "i8", "i8", "i8"], strict=True))
+    batch = pa.RecordBatch.from_pydict(
+        {c: np.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(kinds.items())}
+    )
+    parts = [batch.slice(k, size) for k in range(0, 90, size)]
+    out = [r for b in lines._meet(iter(parts), how) for r in b.to_pylist()]
+    met = {(r["a_doc"], r["a_line"], r["b_doc"], r["b_line"]) for r in out if r["kind"] < lines.TURNS}
+    left = defaultdict(set)
+    for r in out:
+        if r["kind"] >= lines.TURNS:
+            assert r["kind"] == lines.TURNS + r["word"] % lines.SLICES and r["a_doc"] is None
+            left[r["word"]].add((r["b_doc"], r["b_line"]))
+    groups = Counter(r[0] for r in rows)
+    if close == 50 and alike == 1000:
+        assert not left
+    wanted = set()
+    for x, y in ((x, y) for k, y in enumerate(rows) for x in rows[:k]):
+        m, n, i, j = x[3] >> 32, y[3] >> 32, x[3] & 7, y[3] & 7
+        differ = (x[4] ^ y[4]).bit_count()
+        near = 9 * min(m - i, n - j) >= 4 * (m + n) and 5 * min(m, n) >= 4 * max(m, n) and 9 * (m + n - differ) >= 8 * (m + n)
+        if x[0] == y[0] and x[1:3] != y[1:3] and near:
+            wanted.add((*x[1:3], *y[1:3]))
+            assert (*x[1:3], *y[1:3]) in met or {x[1:3], y[1:3]} <= left[x[0]]
+    assert len(wanted) > 20 and met <= wanted and len(groups) == 4
+    assert [b.num_rows for b in lines._meet(iter([]), how)] == []
+
+
 def test_short_lines(spark):
     """Lines of few words match their equals only, but four words match five."""
     texts = ["a\nb b\n\na b c d", "a\nb", "x a\nA", " a \nb c\n\n", "a b c d e\nc b", "a b c\nd c b a"]
