@@ -12,10 +12,13 @@ nothing is dropped, and only the last sequence is padded.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -50,127 +53,149 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Letters that stay one character each when a tokenizer composes and lower-cases them,
-#: marks that may follow them, and the rule of tokenizers that tell the two apart.
-_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
-_MARKS = ".,;:!?"
+#: Letters that stay one character each when a tokenizer composes and lower-cases them, a
+#: word's such letters and what follows from an ASCII character that is none, and the rules
+#: of tokenizers that tell the two apart.
+_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+_PARTS = rf"(?s)^(?P<letters>{_LETTER}+)(?P<rest>(?:[!-@\[-`{{-~].*)?)$"
 _NORMAL = ["NFC", "Replace", "Lowercase"]
 _APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Parts of words, and bytes of their ids, that a task remembers before it starts anew.
+_MEMORY, _MEMORY_BYTES = 500_000, 32_000_000
 
 
 def _tells_apart(tokenizer) -> bool:
-    """Whether letters in any case and the marks behind them are tokenized apart."""
+    """Whether letters in any case and what follows them are tokenized apart."""
     made = json.loads(tokenizer.to_str())
     normal = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
-    first = ((made["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    cuts = (made["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
     return (
         normal == _NORMAL
-        and first.get("pattern") == {"Regex": _APART}
-        and made["model"].get("end_of_word_suffix") == "</w>"
+        and cuts[0].get("pattern") == {"Regex": _APART}
+        and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in cuts[1:]] == [("ByteLevel", False, False)]
+        and made["model"]["type"] == "BPE"
+        and not made["model"].get("dropout")
+        and all(x["content"].startswith("<") and not x["single_word"] for x in made["added_tokens"])
     )
 
 
+def _binary(offsets: np.ndarray, like: pa.Array) -> pa.Array:
+    """The bytes of ``like`` cut at ``offsets``."""
+    data = like.buffers()[2] or pa.py_buffer(b"")
+    cuts = pa.py_buffer(np.ascontiguousarray(offsets, np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, cuts, data])
+
+
+def _offsets(array: pa.Array) -> np.ndarray:
+    """Where each of the bytes begins and the last ends."""
+    return np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
+
+
 class _WordIds:
     """Ids of words that were met before.
 
     The tokenizer splits at white space and drops it, so a text's ids are those
     of its words one after the other. Where it also lower-cases and splits letters
-    from marks, a word's ids are those of its letters in lower case and of its
-    marks. Each such part is encoded once for each task, many at a time, joined by
-    spaces; the end of a word, or the offset of an id, tells its part. After
-    ``words.MEMORY`` parts the memory starts anew.
+    from others, a word's ids are those of its first letters in lower case and of
+    its rest. Each such part is encoded once for each task. Letters alone need
+    none of the tokenizer's rules, only its model; others are encoded many at a
+    time, joined by spaces, and the offset of an id tells its part. After
+    ``_MEMORY`` parts or ``_MEMORY_BYTES`` of ids the memory starts anew.
+
+    Ids are kept as bytes, two for each id or four if the vocabulary needs them,
+    so that Arrow puts a text together. With ``end_id`` that id ends every text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int | None = None):
         self._tokenizer = _tokenizer(path)
         self._apart = _tells_apart(self._tokenizer)
         if self._apart:
-            known = self._tokenizer.get_vocab()
-            self._last = np.zeros(max(known.values()) + 1, bool)
-            self._last[[i for token, i in known.items() if token.endswith("</w>")]] = True
+            self._model, cuts = self._tokenizer.model, self._tokenizer.pre_tokenizer
+            # The characters that stand for the bytes of letters in the model's vocabulary.
+            spelled = {ord(" "): " "}
+            for x in filter(re.compile(_LETTER).match, map(chr, range(256))):
+                spelled |= zip(x.encode(), cuts.pre_tokenize_str(x)[0][0], strict=True)
+            self._spelled = "".join(spelled.get(x, "\ufffe") for x in range(256))
+        known = self._tokenizer.get_vocab().values()
+        self.type = np.dtype("<u2" if max(*known, end_id or 0) < 65536 else "<u4")
+        end = [] if end_id is None else [end_id]
+        self._end = pa.array([np.array(end, self.type).tobytes()], pa.large_binary())
         self._clear()
 
     def _clear(self) -> None:
         self._number: dict[str, int] = {"": 0}
-        self._ids = np.zeros(0, "<u4")
-        self._starts = self._sizes = np.zeros(1, np.int64)
+        self._ids = pa.array([b""], pa.large_binary())
 
-    def _tokens(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _tokens(self, part: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all of ``part`` in turn, and the number of each."""
         text = " ".join(part)
-        if self._apart and "".join(part).isalpha():
-            ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self._last[ids]) + 1
-            # Each has one end at least, so if the numbers are equal, each has one.
-            if len(ends) == len(part):
-                return ids, np.diff(ends, prepend=0)
+        if letters:
+            ids, sizes = [], []
+            for word in codecs.charmap_decode(text.encode(), "strict", self._spelled)[0].split(" "):
+                found = [x.id for x in self._model.tokenize(word)]
+                ids += found
+                sizes.append(len(found))
+            return np.array(ids, self.type), np.array(sizes)
         encoded = self._tokenizer.encode(text, add_special_tokens=False)
         begins = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
         at = np.fromiter((x for x, _ in encoded.offsets), np.int64, len(encoded.ids))
         sizes = np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(part))
-        return np.array(encoded.ids, "<u4"), sizes
-
-    def _numbers(self, distinct: list[str]) -> np.ndarray:
-        if len(self._number) > words.MEMORY:
+        return np.array(encoded.ids, self.type), sizes
+
+    def _numbers(self, parts: pa.Array, letters: bool) -> np.ndarray:
+        coded = parts.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self._number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            new = [distinct[k] for k in missing]
+            numbers[missing] = np.arange(len(new)) + len(self._number)
+            self._number.update(zip(new, numbers[missing].tolist(), strict=True))
+            found = [self._tokens(new[a : a + 5_000], letters) for a in range(0, len(new), 5_000)]
+            ids, sizes = map(np.concatenate, zip(*found, strict=True))
+            data = pa.array([ids.tobytes()], pa.large_binary())
+            added = _binary(np.cumsum([0, *sizes]) * self.type.itemsize, data)
+            self._ids = pa.concat_arrays([self._ids, added])
+        return numbers[np.asarray(coded.indices)]
+
+    def _word_ids(self, distinct: pa.Array) -> pa.Array:
+        """The ids of each word."""
+        if len(self._number) > _MEMORY or self._ids.nbytes > _MEMORY_BYTES:
             self._clear()
-        new = [w for w in distinct if w not in self._number]
-        letters = [w for w in new if w.isalpha()]
-        for some in (letters, [w for w in new if not w.isalpha()]):
-            for a in range(0, len(some), 5_000):
-                part = some[a : a + 5_000]
-                ids, sizes = self._tokens(part)
-                self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(sizes) - sizes])
-                self._sizes = np.concatenate([self._sizes, sizes])
-                self._ids = np.concatenate([self._ids, ids])
-                self._number.update(zip(part, range(len(self._number), len(self._number) + len(part)), strict=True))
-        return np.fromiter(map(self._number.__getitem__, distinct), np.int64, len(distinct))
-
-    def _parts(self, distinct: pa.Array) -> list[pa.Array]:
-        """The first part of each word, and the second, which may be empty."""
         if not self._apart:
-            return [distinct]
-        bare = pc.utf8_rtrim(distinct, characters=_MARKS)
-        plain = pc.match_substring_regex(bare, f"^{_LETTERS}$")
-        marks = pc.replace_substring_regex(distinct, f"^{_LETTERS}", "")
-        return [pc.if_else(plain, pc.utf8_lower(bare), distinct), pc.if_else(plain, marks, "")]
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text; null is empty."""
+            numbers = self._numbers(distinct, False)
+            return self._ids.take(pa.array(numbers))
+        cut = pc.extract_regex(distinct, _PARTS)
+        first, rest = (pc.struct_field(cut, x) for x in ("letters", "rest"))
+        first, rest = pc.fill_null(first, ""), pc.if_else(pc.is_valid(cut), rest, distinct)
+        parts = [self._numbers(pc.utf8_lower(first), True), self._numbers(rest, False)]
+        found = self._ids.take(pa.array(np.stack(parts, axis=1).ravel()))
+        return _binary(_offsets(found)[::2], found)
+
+    def runs(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text, as bytes; null is empty."""
         cells = pc.ascii_split_whitespace(words.texts_array(texts))
         at, distinct, counts = words.numbered(cells)
-        parts = self._parts(distinct)
-        coded = pa.concat_arrays(parts).dictionary_encode()
-        part = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
-        part = part.reshape(len(parts), -1).T
-        sizes = self._sizes[part].sum(axis=1)
-        known, _ = _gathered(self._ids, self._starts[part.ravel()], self._sizes[part.ravel()])
-        flat, ends = _gathered(known, (np.cumsum(sizes) - sizes)[at], sizes[at])
-        borders = np.concatenate([[0], ends])[np.cumsum(counts)]
-        return np.split(flat, borders[:-1]) if len(borders) else []
-
+        known = pa.concat_arrays([self._word_ids(distinct), self._end])
+        ends = np.cumsum(counts)
+        # The last of ``known`` ends every text.
+        flat = known.take(pa.array(np.insert(at, ends, len(distinct))))
+        return _binary(_offsets(flat)[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])], flat)
 
-def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of ``values`` that begin at ``starts``, one after the other, and where each ends."""
-    ends = np.cumsum(sizes)
-    total = ends[-1] if len(ends) else 0
-    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)], ends
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
+        return [np.frombuffer(x, self.type) for x in self.runs(texts).to_pylist()]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], how: Packing) -> Iterator[pa.RecordBatch]:
-    tokenizer = _WordIds(how.tokenizer)
+    tokenizer = _WordIds(how.tokenizer, how.end_id)
     for batch in batches:
         for part in words.slices(batch):
-            ids = [np.append(x, np.uint32(how.end_id)).astype("<u4") for x in tokenizer.encode(part["text"])]
-            # Two bytes are enough for most vocabularies; four if an id needs them.
-            stored = [x.astype("<u2") if x.max() < 65536 else x for x in ids]
+            ids = tokenizer.runs(part["text"])
+            sizes = np.diff(_offsets(ids)) // tokenizer.type.itemsize
+            width = np.full(len(ids), tokenizer.type.itemsize, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [
-                    part["doc_id"],
-                    part["source"],
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([x.dtype.itemsize for x in stored], pa.int32()),
-                    pa.array([x.tobytes() for x in stored], pa.binary()),
-                ],
+                [part["doc_id"], part["source"], pa.array(sizes), pa.array(width), ids.cast(pa.binary())],
                 names=["doc_id", "source", "doc_tokens", "width", "ids"],
             )
 

@@ -360,6 +360,42 @@ def test_words_are_encoded_once_in_any_case():
     assert [x.tolist() for x in found] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_first_letters_are_encoded_once_whatever_follows():
+    """Letters before digits, signs or apostrophes take the entry of the bare word."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = ["Word word$$$ WORD,%%% word-Word word's", "Don't x<|ENDOFTEXT|> x<|endoftext|> a1b2 \u00e9$\u0301 \u00e9\u65e5 A=\u0338 $word \u65e5\u672c l'\u00c9t\u00c9"]
+    whole, own = Tokenizer.from_file(tokenizer_path()), packing._WordIds(tokenizer_path())
+    found = own.encode(pa.array(texts[:1]))
+    assert set(own._number) == {"", "word", "$$$", ",%%%", "-Word", "'s"}
+    found += own.encode(pa.array(texts[1:]))
+    assert [x.tolist() for x in found] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_tokenizers_and_a_short_memory(monkeypatch, tmp_path):
+    """Ids are the tokenizer's own: with other rules, added words, wide ids and a memory that starts anew."""
+    import pyarrow as pa
+    from tokenizers import AddedToken, Tokenizer
+
+    texts = ["Word word. WORD,x", None, *corpus(2, 30), "a. ab. Ab. \u00c9t\u00e9.", "z" * 3000]
+    plain, added = (Tokenizer.from_file(tokenizer_path()) for _ in range(2))
+    plain.normalizer = None
+    added.add_tokens([AddedToken("ab.", normalized=False)])
+    monkeypatch.setattr(packing, "_MEMORY", 3)
+    for name, whole in (("plain", plain), ("added", added), ("same", Tokenizer.from_file(tokenizer_path()))):
+        path = str(tmp_path / f"{name}.json")
+        whole.save(path)
+        for end, width in ((None, 2), (2, 2), (70_000, 4)):
+            own = packing._WordIds(path, end)
+            assert own._apart == (name == "same") and own.type.itemsize == width
+            found = [x for k in range(0, len(texts), 5) for x in own.encode(pa.array(texts[k : k + 5], pa.string()))]
+            tail = [] if end is None else [end]
+            assert [x.tolist() for x in found] == [
+                [*whole.encode(t or "", add_special_tokens=False).ids, *tail] for t in texts
+            ]
+
+
 def auc(score, label):
     order = np.argsort(np.argsort(score)) + 1
     ones = label.sum()
